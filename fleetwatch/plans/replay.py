@@ -35,12 +35,11 @@ def islands(df: DataFrame, tl: Timeline, seconds: float, name: str = "_island",
     return tl.running(fresh, {name: ("sum", F.col("_fresh"))}).drop("_fresh")
 
 
-def replay(df: DataFrame, tl: Timeline, machine, cols: Sequence[str], reset_s: float | None = None) -> DataFrame:
+def replay(df: DataFrame, tl: Timeline, machine, cols: Sequence[str]) -> DataFrame:
     """Runs ``machine`` over every key's rows in order.
 
     The machine sees ``t`` (the order axis as a long) and ``cols``; its output
-    columns are added to the key. ``reset_s`` is a quiet gap after which the
-    machine is back in its first state: rows are then split there for free.
+    columns are added to the key.
     """
     key = list(tl.key)
     src = df.withColumn("t", axis_of(df, tl.order[0]).cast("long"))
@@ -61,10 +60,7 @@ def replay(df: DataFrame, tl: Timeline, machine, cols: Sequence[str], reset_s: f
         return emit(pdf, machine.initial(), [pdf[k].iloc[0] for k in key])[0]
 
     if tl.hot is None:
-        if reset_s is None:
-            return src.groupBy(*key).applyInPandas(whole, schema)
-        cut = islands(src, tl, reset_s)
-        return cut.groupBy(*key, "_island").applyInPandas(whole, schema)
+        return src.groupBy(*key).applyInPandas(whole, schema)
 
     cut = tl.cut(src)
     cold = cut.where(~F.col("_hot")).groupBy(*key).applyInPandas(whole, schema)
@@ -125,18 +121,29 @@ class CooldownMachine:
         return pd.DataFrame({"_kept_t": t[kept], "_kept_tie": tie[kept]}), last
 
 
-def thin(df: DataFrame, tl: Timeline, seconds: float, strict: bool = False, mark: str | None = None) -> DataFrame:
+def thin(
+    df: DataFrame,
+    tl: Timeline,
+    seconds: float,
+    strict: bool = False,
+    mark: str | None = None,
+    eligible: Column | None = None,
+) -> DataFrame:
     """Greedy cooldown: keep a row iff >= ``seconds`` after the last kept row.
 
     ``strict`` asks for more than ``seconds``. The timeline's order is
     ``(time, tie)`` with an integral tie that is unique per key and time. With
-    ``mark`` all rows stay and that boolean column tells the kept ones.
+    ``mark`` all rows stay and that boolean column tells the kept ones; rows
+    that are not ``eligible`` are passed over by the rule.
     """
     key = list(tl.key)
     ts, tie = tl.order
     names = [c for c in df.columns if c not in key]
+    judged = df if eligible is None else df.where(eligible)
+    if mark:
+        judged = judged.select(*key, ts, tie)
     if tl.hot is None:
-        runs = islands(df, tl, seconds, strict=strict)
+        runs = islands(judged, tl, seconds, strict=strict)
         carried = [tie] if mark else names
         row = F.struct(axis_of(df, ts).alias("_t"), F.col(tie).cast("long").alias("_tie"), F.struct(*carried).alias("_row"))
         gap = int(seconds * 1e6)
@@ -153,7 +160,7 @@ def thin(df: DataFrame, tl: Timeline, seconds: float, strict: bool = False, mark
             return kept.select(*key, "_k._row.*").select(*df.columns)
         ids = kept.select(*key, F.col("_k._t").alias("_kept_t"), F.col("_k._tie").alias("_kept_tie"))
     else:
-        ids = replay(df, tl, CooldownMachine(seconds, strict, tie), [tie])
+        ids = replay(judged, tl, CooldownMachine(seconds, strict, tie), [tie])
     ids = ids.withColumn("_hit", F.lit(True))
     body = df.withColumn("_kept_t", axis_of(df, ts)).withColumn("_kept_tie", F.col(tie).cast("long"))
     joined = body.join(ids, [*key, "_kept_t", "_kept_tie"], "left" if mark else "left_semi")

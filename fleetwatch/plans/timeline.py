@@ -57,7 +57,8 @@ class Timeline:
         limit = limit or rows_per_task(df)
         x = axis_of(df, order[0])
         sizes = (
-            df.groupBy(*key)
+            df.dropna(subset=list(key))
+            .groupBy(*key)
             .agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_t0"), F.max(x).alias("_t1"))
             .where(F.col("_n") > limit)
             .select(
@@ -75,8 +76,13 @@ class Timeline:
         return Timeline(key, order, sizes)
 
     def ordered_by(self, *order: str) -> "Timeline":
+        """Same keys and cut, other order columns on the same axis."""
         return replace(self, order=tuple(order))
 
+    def within(self, *more: str) -> "Timeline":
+        """Finer keys: a part of a key needs no more cutting than the key."""
+        return replace(self, key=(*self.key, *more))
+
     # -- cutting -----------------------------------------------------------
 
     @property
@@ -90,7 +96,7 @@ class Timeline:
         x = axis_of(df, self.order[0])
         return (
             df.withColumn("_x", x.cast("double"))
-            .join(self.hot, list(self.key), "left")
+            .join(self.hot, [c for c in self.hot.columns if c in self.key], "left")
             .withColumn("_hot", F.col("_t0").isNotNull())
             .withColumn("_slice", F.coalesce(F.floor((F.col("_x") - F.col("_t0")) / F.col("_w")), F.lit(0)))
             .drop("_x", "_t0", "_w")
