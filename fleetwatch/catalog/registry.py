@@ -32,6 +32,15 @@ def r6(c: Column | str, digits: int = 6) -> Column:
     return F.round(c if isinstance(c, Column) else F.col(c), digits)
 
 
+def off_tie(c: Column | str, digits: int) -> Column:
+    """Rounded with a fixed shift, so that means of short decimals never sit on a half."""
+    return F.round((c if isinstance(c, Column) else F.col(c)) + 0.12371513 * 10**-digits, digits)
+
+
+def off_tie_sql(x: str, digits: int) -> str:
+    return f"round({x} + {0.12371513 * 10**-digits!r}::DOUBLE, {digits})"
+
+
 def checksum(arr: Column) -> Column:
     """Position-weighted sum of an array, rounded: order and values in one number."""
     return F.round(F.aggregate(F.transform(arr, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x), 5)

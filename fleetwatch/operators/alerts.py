@@ -76,7 +76,7 @@ def notify(alerts: DataFrame, window_s: int = 30, limit_s: float = 15.0, cap: in
 
 
 def _machine(df: DataFrame, machine, key="robot_id", order=ORDER) -> DataFrame:
-    return replay(df, Timeline.of(df, key, order), machine, machine.cols)
+    return replay(df, Timeline.of(df, key, order), machine)
 
 
 def patrol_pause(alerts: DataFrame, **limits) -> DataFrame:

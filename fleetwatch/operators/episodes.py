@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.crypto import unit_hash
 from ..functions.geometry import goal_distance, grid_cell
-from ..functions.scan import finite
+from ..functions.scan import bind, finite
 from ..plans.replay import replay
 from ..plans.timeline import Timeline
 from .machines import TurningStuck, VisitProgress
@@ -135,13 +135,11 @@ def smooth_actions(actions: DataFrame, n: int = 3, forward: int = 0) -> DataFram
 
 
 def turning_stuck(actions: DataFrame, **limits) -> DataFrame:
-    machine = TurningStuck(**limits)
-    return replay(actions, _steps(actions), machine, machine.cols)
+    return replay(actions, _steps(actions), TurningStuck(**limits))
 
 
 def visit_progress(steps: DataFrame, key=STEP_KEY, order=("step",), **limits) -> DataFrame:
-    machine = VisitProgress(**limits)
-    return replay(steps, Timeline.of(steps, key, order), machine, machine.cols)
+    return replay(steps, Timeline.of(steps, key, order), VisitProgress(**limits))
 
 
 def delta_prev(steps: DataFrame) -> DataFrame:
@@ -203,10 +201,11 @@ def outcomes(episodes: DataFrame) -> DataFrame:
     return episodes.groupBy("run_id", "event").agg(F.count(F.lit(1)).alias("episodes"))
 
 
-def numbered(df: DataFrame, key="run_id", order=("episode",)) -> DataFrame:
+def numbered(df: DataFrame, key="run_id", order=("episode",), tl: Timeline | None = None) -> DataFrame:
     """Adds ``_i`` = 0.. per key, also for keys cut over tasks."""
     one = df.withColumn("_one", F.lit(1))
-    return Timeline.of(one, key, order).running(one, {"_i": ("count", F.col("_one"))}, before=True).drop("_one")
+    tl = tl or Timeline.of(df, key, order)
+    return tl.running(one, {"_i": ("count", F.col("_one"))}, before=True).drop("_one")
 
 
 def bootstrap_ci(df: DataFrame, col: str, draws: int = 1000, low: float = 2.5, high: float = 97.5, seed: int = 0,
@@ -246,12 +245,16 @@ def bootstrap_ci_poisson(df: DataFrame, col: str, draws: int = 1000, low: float
         "_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
     )
     u = unit_hash(F.lit(seed), F.col(key), F.col("_b"), *[F.col(c) for c in order])
-    weight, total, p = F.lit(0.0), 0.0, 0.36787944117144233
-    for k in range(1, 13):
-        total += p
-        weight = F.when(u >= total, F.lit(float(k))).otherwise(weight)
-        p /= k
-    weighed = rows.withColumn("_w", weight)
+
+    def poisson(v: Column) -> Column:
+        weight, total, p = F.lit(0.0), 0.0, 0.36787944117144233
+        for k in range(1, 13):
+            total += p
+            weight = F.when(v >= total, F.lit(float(k))).otherwise(weight)
+            p /= k
+        return weight
+
+    weighed = rows.withColumn("_w", bind(u, poisson))
     sums = weighed.groupBy(key, "_b").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.sum("_w").alias("_n"))
     means = sums.where("_n > 0").select(key, "_b", (F.col("_s") / F.col("_n")).alias("_m"))
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(col).cast("double")).alias("mean"))
@@ -267,13 +270,13 @@ def curriculum(episodes: DataFrame, stages: int = 5, window: int = 50, least: in
     stages, so each is one window pass over the rows after the last promotion.
     """
     # Promotion only needs the position in the run and successes up to it.
-    rows = numbered(episodes, "run_id", order)
-    flags = rows.select("run_id", "_i", F.col("success").cast("double").alias("_s"))
+    tl = Timeline.of(episodes, "run_id", order)
+    rows = numbered(episodes, "run_id", order, tl)
+    flags = rows.select("run_id", *order, "_i", F.col("success").cast("double").alias("_s"))
     starts = flags.select("run_id").distinct().withColumn("_from", F.lit(0).cast("long"))
     gates = []
     for stage in range(1, stages):
         mine = flags.join(starts, "run_id").where(F.col("_i") >= F.col("_from"))
-        tl = Timeline.of(mine, "run_id", "_i")
 
         def build(w):
             return {"_m": F.avg("_s").over(w.rowsBetween(1 - window, 0))}

@@ -1,16 +1,14 @@
 """State machines over ordered rows: small pure steps, no Spark inside.
 
 Each is run per key by ``plans.replay`` (batch) or ``streaming.stateful``.
-States are JSON values, so an exit state can be compared and handed on.
-Times are microseconds.
+``run`` takes tuples ``(t, *cols)``. States are JSON values, so an exit state
+can be compared and handed on. Times are microseconds.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
-
 SEC = 1_000_000
 
 
@@ -32,10 +30,10 @@ class PatrolPause:
     def initial(self):
         return {"pause": None, "history": [], "quiet": None}
 
-    def run(self, pdf, s):
+    def run(self, rows, s):
         pause, history, quiet = s["pause"], list(s["history"]), s["quiet"]
         out = []
-        for t in pdf["t"].tolist():
+        for (t,) in rows:
             if quiet is not None:
                 if t < quiet:
                     out.append((t, "quiet", None, False))
@@ -52,9 +50,7 @@ class PatrolPause:
             if escalated:
                 quiet = t + self.quiet
             out.append((t, "pause", t, escalated))
-        frame = pd.DataFrame(out, columns=["t", "action", "pause_start", "escalated"])
-        frame["pause_start"] = frame["pause_start"].astype("Int64")
-        return frame, {"pause": pause, "history": history, "quiet": quiet}
+        return out, {"pause": pause, "history": history, "quiet": quiet}
 
 
 class MissionMode:
@@ -74,10 +70,10 @@ class MissionMode:
     def initial(self):
         return {"mode": "PATROL", "since": None, "stops": []}
 
-    def run(self, pdf, s):
+    def run(self, rows, s):
         mode, since, stops = s["mode"], s["since"], list(s["stops"])
         out = []
-        for t, kind, danger in zip(pdf["t"].tolist(), pdf["kind"].tolist(), pdf["danger"].tolist()):
+        for t, kind, danger in rows:
             stopped = mode == "EMERGENCY_STOP"
             if kind == "sensor" and not stopped:
                 mode = "AVOID_OBSTACLE" if danger else "PATROL"
@@ -89,7 +85,7 @@ class MissionMode:
             elif kind == "tick" and stopped and t - since >= self.recovery:
                 mode, since = "PATROL", None
                 out.append((t, mode, kind, False))
-        return pd.DataFrame(out, columns=["t", "mode", "cause", "escalated"]), {"mode": mode, "since": since, "stops": stops}
+        return out, {"mode": mode, "since": since, "stops": stops}
 
 
 class TrainingGuard:
@@ -108,10 +104,10 @@ class TrainingGuard:
     def initial(self):
         return {"stopped": False, "history": [], "quiet": None}
 
-    def run(self, pdf, s):
+    def run(self, rows, s):
         stopped, history, quiet = s["stopped"], list(s["history"]), s["quiet"]
         out = []
-        for t, kind in zip(pdf["t"].tolist(), pdf["kind"].tolist()):
+        for t, kind in rows:
             if kind == "reset":
                 stopped = False
                 continue
@@ -126,7 +122,7 @@ class TrainingGuard:
             else:
                 out.append((t, "held" if stopped else "stop"))
                 stopped = True
-        return pd.DataFrame(out, columns=["t", "action"]), {"stopped": stopped, "history": history, "quiet": quiet}
+        return out, {"stopped": stopped, "history": history, "quiet": quiet}
 
 
 class StuckWatch:
@@ -145,10 +141,10 @@ class StuckWatch:
     def initial(self):
         return {"at": None, "since": None, "n": 0, "until": None}
 
-    def run(self, pdf, s):
+    def run(self, rows, s):
         at, since, n, until = s["at"], s["since"], s["n"], s["until"]
         out = []
-        for t, x, y, arrived in zip(pdf["t"].tolist(), pdf["x"].tolist(), pdf["y"].tolist(), pdf["arrived"].tolist()):
+        for t, x, y, arrived in rows:
             if at is None:
                 at, since = [x, y], t
             if until is not None:
@@ -165,7 +161,7 @@ class StuckWatch:
                 continue
             if arrived:
                 since, at, n = t, [x, y], 0
-        return pd.DataFrame(out, columns=["t", "stuck_no", "turn"]), {"at": at, "since": since, "n": n, "until": until}
+        return out, {"at": at, "since": since, "n": n, "until": until}
 
 
 class TurningStuck:
@@ -184,10 +180,10 @@ class TurningStuck:
     def initial(self):
         return {"n": 0, "back": 0, "recent": []}
 
-    def run(self, pdf, s):
+    def run(self, rows, s):
         n, back, recent = s["n"], s["back"], list(s["recent"])
         out = []
-        for t, raw in zip(pdf["t"].tolist(), pdf["raw_action"].tolist()):
+        for t, raw in rows:
             if back > 0:
                 back -= 1
                 out.append((t, self.forward, True))
@@ -199,9 +195,7 @@ class TurningStuck:
             if n >= self.limit:
                 n, back, recent = 0, self.back, []
             out.append((t, action, False))
-        frame = pd.DataFrame(out, columns=["t", "action", "reversed"])
-        frame["action"] = frame["action"].astype("int32")
-        return frame, {"n": n, "back": back, "recent": recent}
+        return out, {"n": n, "back": back, "recent": recent}
 
 
 class VisitProgress:
@@ -221,11 +215,11 @@ class VisitProgress:
     def initial(self):
         return {"i": 0, "goto": None, "done": False}
 
-    def run(self, pdf, s):
+    def run(self, rows, s):
         i, goto, done = s["i"], s["goto"], s["done"]
         out = []
-        for t, x, y, rx, ry, gx, gy in pdf[["t", *self.cols]].itertuples(index=False, name=None):
-            if gx is not None and gx == gx:
+        for t, x, y, rx, ry, gx, gy in rows:
+            if gx is not None:
                 goto = [float(gx), float(gy)]
             if done or len(rx) == 0:
                 continue
@@ -239,9 +233,7 @@ class VisitProgress:
                 i = 0 if goto is not None or last else i + 1
                 goto = None
             out.append((t, target, dist, reached, done))
-        frame = pd.DataFrame(out, columns=["t", "target", "dist", "reached", "done"])
-        frame["target"] = frame["target"].astype("int32")
-        return frame, {"i": i, "goto": goto, "done": done}
+        return out, {"i": i, "goto": goto, "done": done}
 
 
 class ActionSmoother:
@@ -256,12 +248,10 @@ class ActionSmoother:
     def initial(self):
         return []
 
-    def run(self, pdf, recent):
+    def run(self, rows, recent):
         out = []
-        for t, raw in zip(pdf["t"].tolist(), pdf["raw_action"].tolist()):
+        for t, raw in rows:
             recent = [*recent, int(raw)][-self.n:]
             turning = len(recent) == self.n and self.forward not in recent and len(set(recent)) > 1
             out.append((t, self.forward if turning else int(raw)))
-        frame = pd.DataFrame(out, columns=["t", "action"])
-        frame["action"] = frame["action"].astype("int32")
-        return frame, recent
+        return out, recent

@@ -1,28 +1,81 @@
 """Order-dependent state machines and greedy thinning, batch side.
 
-A machine is a small object: ``initial()`` gives the state, ``run(pdf, state)``
-eats ordered rows and returns ``(rows, state)``. The same object serves the
-stream (``streaming.stateful``). Keys are independent. A key too large for one
-task is cut along its order; every slice starts from a guessed entry state,
-exit states are handed to the next slice and slices whose guess was wrong run
-again until nothing changes. The fixpoint is the sequential result; machines
-that forget quickly settle in two or three rounds.
+A machine is a small object: ``initial()`` gives the state, ``run(rows, state)``
+eats ordered row tuples and returns ``(output tuples, state)``. The same object
+serves the stream (``streaming.stateful``). Spark partitions by key and sorts;
+a task walks its sorted rows batch by batch and holds one state, not a key.
+
+A key too large for one task is cut along its order; every slice starts from a
+guessed entry state, exit states are handed to the next slice and slices whose
+guess was wrong run again until nothing changes. The fixpoint is the sequential
+result; machines that forget quickly settle in two or three rounds.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import checkpointed
 from .timeline import Timeline, axis_of
 
 
-def _types(df: DataFrame, names: Sequence[str]) -> str:
-    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+def _struct(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
+    return [T.StructField(n, df.schema[n].dataType) for n in names]
+
+
+def _walk(df: DataFrame, group: Sequence[str], order: Sequence[str], machine, exits: bool = False) -> DataFrame:
+    """Runs the machine over every group of ``df`` (columns: group, order, ``t``, cols, maybe ``_in``).
+
+    Gives the machine's rows, or with ``exits`` one row per group with its entry
+    and exit state.
+    """
+    group, seeded = list(group), "_in" in df.columns
+    fed = ["t", *machine.cols]
+    own = T._parse_datatype_string(machine.schema).fields
+    if exits:
+        own = [T.StructField("_in", T.StringType()), T.StructField("_out", T.StringType())]
+    schema = T.StructType([*_struct(df, group), *own])
+    arrow = to_arrow_schema(schema)
+    first = json.dumps(machine.initial())
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, entry = None, None, None
+
+        def pack(rows: list) -> pa.RecordBatch:
+            cols = zip(*rows) if rows else [[] for _ in arrow]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+        for batch in batches:
+            keys = list(zip(*[batch.column(g).to_pylist() for g in group]))
+            rows = list(zip(*[batch.column(c).to_pylist() for c in fed]))
+            starts = batch.column("_in").to_pylist() if seeded else None
+            out, i, n = [], 0, len(rows)
+            while i < n:
+                j = i
+                while j < n and keys[j] == keys[i]:
+                    j += 1
+                if keys[i] != key:
+                    if exits and key is not None:
+                        out.append((*key, entry, json.dumps(state)))
+                    key, entry = keys[i], starts[i] if seeded else first
+                    state = json.loads(entry)
+                made, state = machine.run(rows[i:j], state)
+                if not exits:
+                    out.extend((*key, *m) for m in made)
+                i = j
+            if out:
+                yield pack(out)
+        if exits and key is not None:
+            yield pack([(*key, entry, json.dumps(state))])
+
+    sorted_rows = df.repartition(*group).sortWithinPartitions(*group, *order)
+    wanted = [*dict.fromkeys([*group, *fed, *(["_in"] if seeded else [])])]
+    return sorted_rows.select(*wanted).mapInArrow(walk, schema)
 
 
 def islands(df: DataFrame, tl: Timeline, seconds: float, name: str = "_island", strict: bool = False) -> DataFrame:
@@ -35,60 +88,34 @@ def islands(df: DataFrame, tl: Timeline, seconds: float, name: str = "_island",
     return tl.running(fresh, {name: ("sum", F.col("_fresh"))}).drop("_fresh")
 
 
-def replay(df: DataFrame, tl: Timeline, machine, cols: Sequence[str]) -> DataFrame:
+def replay(df: DataFrame, tl: Timeline, machine) -> DataFrame:
     """Runs ``machine`` over every key's rows in order.
 
-    The machine sees ``t`` (the order axis as a long) and ``cols``; its output
-    columns are added to the key.
+    The machine sees ``t`` (the order axis as a long) and its ``cols``; its
+    output columns are added to the key.
     """
-    key = list(tl.key)
-    src = df.withColumn("t", axis_of(df, tl.order[0]).cast("long"))
-    ties = [c for c in tl.order[1:] if c not in cols]
-    need = [*dict.fromkeys([*key, tl.order[0], "t", *ties, *cols])]
-    src = src.select(*need)
-    schema = f"{_types(src, key)}, {machine.schema}"
-    sort_by = ["t", *tl.order[1:]]
-    names = [f.name for f in T._parse_datatype_string(machine.schema).fields]
-
-    def emit(pdf: pd.DataFrame, state, ks: list) -> tuple[pd.DataFrame, object]:
-        out, state = machine.run(pdf.sort_values(sort_by, kind="stable"), state)
-        for i, k in enumerate(key):
-            out.insert(i, k, [ks[i]] * len(out))
-        return out[[*key, *names]], state
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return emit(pdf, machine.initial(), [pdf[k].iloc[0] for k in key])[0]
-
+    key, order = list(tl.key), list(tl.order)
+    src = df.withColumn("t", axis_of(df, order[0]).cast("long"))
+    src = src.select(*dict.fromkeys([*key, *order, "t", *machine.cols]))
     if tl.hot is None:
-        return src.groupBy(*key).applyInPandas(whole, schema)
+        return _walk(src, key, order, machine)
 
     cut = tl.cut(src)
-    cold = cut.where(~F.col("_hot")).groupBy(*key).applyInPandas(whole, schema)
-    rows = checkpointed(cut.where("_hot"))
-    first = json.dumps(machine.initial())
-
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[0]
-        state = emit(pdf, json.loads(one["_in"]), [one[k] for k in key])[1]
-        return pd.DataFrame([{**{k: one[k] for k in slot}, "_in": one["_in"], "_out": json.dumps(state)}])
-
-    def outputs(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[0]
-        return emit(pdf, json.loads(one["_in"]), [one[k] for k in key])[0]
-
+    cold = _walk(cut.where(~F.col("_hot")), key, order, machine)
     slot = [*key, "_slice"]
-    exit_schema = f"{_types(rows, slot)}, _in string, _out string"
+    rows = checkpointed(cut.where("_hot").drop("_hot"))
+    first = json.dumps(machine.initial())
     todo = rows.select(*slot).distinct().withColumn("_in", F.lit(first))
     known = None
     while True:
-        ran = rows.join(todo, slot).groupBy(*slot).applyInPandas(exits, exit_schema)
+        ran = _walk(rows.join(todo, slot), slot, order, machine, exits=True)
         known = checkpointed(ran if known is None else known.join(todo.select(*slot), slot, "left_anti").unionByName(ran))
-        order = W.partitionBy(*key).orderBy("_slice")
-        entry = known.withColumn("_want", F.coalesce(F.lag("_out").over(order), F.lit(first)))
+        along = W.partitionBy(*key).orderBy("_slice")
+        entry = known.withColumn("_want", F.coalesce(F.lag("_out").over(along), F.lit(first)))
         todo = checkpointed(entry.where(F.col("_want") != F.col("_in")).select(*slot, F.col("_want").alias("_in")))
         if todo.isEmpty():
             break
-    hot = rows.join(known.select(*slot, "_in"), slot).groupBy(*slot).applyInPandas(outputs, schema)
+    hot = _walk(rows.join(known.select(*slot, "_in"), slot), slot, order, machine).drop("_slice")
     return cold.unionByName(hot)
 
 
@@ -98,27 +125,19 @@ class CooldownMachine:
     schema = "_kept_t long, _kept_tie long"
 
     def __init__(self, seconds: float, strict: bool, tie: str):
-        self.gap = int(seconds * 1e6)
-        self.strict = strict
-        self.tie = tie
+        self.gap = int(seconds * 1e6) + (1 if strict else 0)
+        self.cols = (tie,)
 
     def initial(self):
         return None
 
-    def run(self, pdf: pd.DataFrame, last):
-        t = pdf["t"].to_numpy()
-        tie = pdf[self.tie].to_numpy()
-        kept, i, n = [], 0, len(t)
-        side = "right" if self.strict else "left"
-        while i < n:
-            if last is not None:
-                i = max(i, int(t.searchsorted(last + self.gap, side=side)))
-                if i >= n:
-                    break
-            kept.append(i)
-            last = int(t[i])
-            i += 1
-        return pd.DataFrame({"_kept_t": t[kept], "_kept_tie": tie[kept]}), last
+    def run(self, rows, last):
+        kept = []
+        for t, tie in rows:
+            if last is None or t - last >= self.gap:
+                last = t
+                kept.append((t, tie))
+        return kept, last
 
 
 def thin(
@@ -160,7 +179,7 @@ def thin(
             return kept.select(*key, "_k._row.*").select(*df.columns)
         ids = kept.select(*key, F.col("_k._t").alias("_kept_t"), F.col("_k._tie").alias("_kept_tie"))
     else:
-        ids = replay(judged, tl, CooldownMachine(seconds, strict, tie), [tie])
+        ids = replay(judged, tl, CooldownMachine(seconds, strict, tie))
     ids = ids.withColumn("_hit", F.lit(True))
     body = df.withColumn("_kept_t", axis_of(df, ts)).withColumn("_kept_tie", F.col(tie).cast("long"))
     joined = body.join(ids, [*key, "_kept_t", "_kept_tie"], "left" if mark else "left_semi")
