@@ -20,6 +20,12 @@ def u_sql(*parts: str) -> str:
     return f"(('0x' || substr(sha256({text}), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)"
 
 
+def draw_sql(*parts: str) -> str:
+    """SQL twin of ``hashed_draws``: draw b is the b % 5-th piece of hash b // 5."""
+    text = " || '|' || ".join(f"({p})::VARCHAR" for p in (*parts, "b // 5"))
+    return f"(('0x' || substr(sha256({text}), 1 + 12 * (b % 5), 12))::BIGINT / 281474976710656.0::DOUBLE)"
+
+
 # -- steps -------------------------------------------------------------------------
 
 
@@ -34,10 +40,10 @@ def _(spark, sf):
 
 
 @query("path_length", "E8", sql=with_ctes(I.ST) + """
-SELECT episode, step, round(sum(h) OVER (PARTITION BY episode ORDER BY step), 6) AS path_length FROM (
+SELECT episode, step, round(sum(h) OVER (PARTITION BY episode ORDER BY step), 8) AS path_length FROM (
   SELECT episode, step, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS h FROM st WINDOW w AS (PARTITION BY episode ORDER BY step))""")
 def _(spark, sf):
-    return E.path_length(I.steps(spark, sf)).select("episode", "step", r6("path_length").alias("path_length"))
+    return E.path_length(I.steps(spark, sf)).select("episode", "step", r6("path_length", 8).alias("path_length"))
 
 
 @query("optimal_length", "E9", sql=with_ctes(I.PT, I.WP) + """,
@@ -108,11 +114,11 @@ def _(spark, sf):
 
 
 @query("delta_prev", "E17", sql=with_ctes(I.ST) + """
-SELECT episode, step, round((a0 - pa0) ** 2 + (a1 - pa1) ** 2, 6) AS action_change2, round(sqrt((gx - px) ** 2 + (gy - py) ** 2) - sqrt((gx - x) ** 2 + (gy - y) ** 2), 6) AS progress
+SELECT episode, step, round((a0 - pa0) ** 2 + (a1 - pa1) ** 2, 6) AS action_change2, round(sqrt((gx - px) ** 2 + (gy - py) ** 2) - sqrt((gx - x) ** 2 + (gy - y) ** 2), 8) AS progress
 FROM (SELECT *, coalesce(lag(a0) OVER w, 0) AS pa0, coalesce(lag(a1) OVER w, 0) AS pa1, coalesce(lag(x) OVER w, x) AS px, coalesce(lag(y) OVER w, y) AS py
       FROM st WINDOW w AS (PARTITION BY episode ORDER BY step))""")
 def _(spark, sf):
-    return E.delta_prev(I.steps(spark, sf)).select("episode", "step", r6("action_change2").alias("action_change2"), r6("progress").alias("progress"))
+    return E.delta_prev(I.steps(spark, sf)).select("episode", "step", r6("action_change2").alias("action_change2"), r6("progress", 8).alias("progress"))
 
 
 @query("transitions", "E18", sql=with_ctes(I.ST) + """
@@ -195,7 +201,7 @@ DRAWS = 100
 
 @query("bootstrap_interval", "F4", sql=with_ctes(I.EP) + f""",
 base AS (SELECT run_id, spl AS v, row_number() OVER (PARTITION BY run_id ORDER BY day, episode) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n FROM ep),
-picks AS (SELECT run_id, b, least(floor({u_sql('7', 'run_id', 'b', 'i')} * n), n - 1)::BIGINT AS i FROM base, range({DRAWS}) r(b)),
+picks AS (SELECT run_id, b, least(floor({draw_sql('7', 'run_id', 'i')} * n), n - 1)::BIGINT AS i FROM base, range({DRAWS}) r(b)),
 means AS (SELECT p.run_id, b, avg(v) AS m FROM picks p JOIN base USING (run_id, i) GROUP BY ALL)
 SELECT run_id, n, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi
 FROM (SELECT run_id, count(*) AS n, avg(v) AS mean FROM base GROUP BY ALL) JOIN (SELECT run_id, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM means GROUP BY ALL) USING (run_id)""")
@@ -215,7 +221,7 @@ def _poisson_sql() -> str:
 
 
 @query("bootstrap_interval_poisson", "F4", sql=with_ctes(I.EP) + f""",
-w AS (SELECT run_id, b, v, {_poisson_sql()} AS w FROM (SELECT run_id, b, spl AS v, {u_sql('7', 'run_id', 'b', 'day', 'episode')} AS u FROM ep, range({DRAWS}) r(b))),
+w AS (SELECT run_id, b, v, {_poisson_sql()} AS w FROM (SELECT run_id, b, spl AS v, {draw_sql('7', 'run_id', 'day', 'episode')} AS u FROM ep, range({DRAWS}) r(b))),
 means AS (SELECT run_id, b, sum(w * v) / sum(w) AS m FROM w GROUP BY ALL HAVING sum(w) > 0)
 SELECT run_id, n, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi
 FROM (SELECT run_id, count(*) AS n, avg(spl) AS mean FROM ep GROUP BY ALL) JOIN (SELECT run_id, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM means GROUP BY ALL) USING (run_id)""")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.crypto import hmac_sha256
+from ..functions.scan import bind
 from ..operators import alerts as A, artifacts as R, graph as G, integrity as S, report as P
+from ..session import checkpointed
 from . import inputs as I
 from .column_queries import hmac_sql
 from .detector_queries import HOUR, greedy
@@ -19,27 +22,28 @@ def envelopes(spark, sf):
     Payload = props, channel = event type, sent at the event, received up to 14 s
     later; the nonce repeats where type, number and user do. Every seventh
     signature is spoiled, every eleventh text is cut, every thirteenth payload
-    is a number. Each message is also received by a second receiver.
+    is a number. The messages are written once, as a bus would have logged them.
     """
-    ev = I.events(spark, sf)
+    ev = I.events(spark, sf).repartition("seq")
     nonce = F.substring(F.sha2(F.concat_ws("|", "event_type", F.col("k").cast("string"), F.col("user_id").cast("string")), 256), 1, 16)
     sent = F.floor(F.col("us") / 1_000_000)
     body = F.when(
         F.col("seq") % 13 == 0, F.to_json(F.struct(F.col("event_type").alias("channel"), nonce.alias("nonce"), F.col("k").alias("payload"), sent.alias("ts")))
     ).otherwise(F.to_json(F.struct(F.col("event_type").alias("channel"), nonce.alias("nonce"), F.col("props").alias("payload"), sent.alias("ts"))))
-    from ..functions.crypto import hmac_sha256
+    seq = F.col("seq")
+
+    def seal(b):
+        spoil = lambda sig: F.when(seq % 7 == 0, F.reverse(sig)).otherwise(sig)
+        return F.to_json(F.struct(b.alias("body"), bind(hmac_sha256(b, I.KEY), spoil).alias("sig")))
 
-    signed = ev.withColumn("body", body).withColumn("sig", hmac_sha256(F.col("body"), I.KEY))
-    sig = F.when(F.col("seq") % 7 == 0, F.reverse("sig")).otherwise(F.col("sig"))
-    raw = F.to_json(F.struct("body", sig.alias("sig")))
-    raw = F.when(F.col("seq") % 11 == 0, F.substring(raw, 2, 1000000)).otherwise(raw)
+    raw = bind(bind(body, seal), lambda r: F.when(seq % 11 == 0, F.substring(r, 2, 1000000)).otherwise(r))
     late = (F.col("seq") % 15) * 1_000_000
-    return signed.select(
+    return checkpointed(ev.select(
         "robot_id", F.timestamp_micros(F.col("us") + late).alias("recv_ts"), "seq",
         F.concat(F.lit("rx"), (F.col("seq") % 3).cast("string")).alias("receiver"),
         F.when(F.col("seq") % 17 == 0, F.lit("view")).otherwise(F.col("event_type")).alias("topic"),
         raw.alias("raw"),
-    )
+    ))
 
 
 # What the checks must find, from how the messages were made.
@@ -121,8 +125,6 @@ def _(spark, sf):
 
 def files(spark, sf):
     """Documents as files; sidecars missing for ids 0 mod 5 and spoiled for 1 mod 5."""
-    from ..functions.crypto import hmac_sha256
-
     d = I.text_table(spark, sf)
     content = F.encode("text", "UTF-8")
     sig = hmac_sha256(content, I.KEY, binary=True)

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .scan import bind
 
 
 def pads(key: bytes) -> tuple[bytes, bytes]:
@@ -30,6 +32,23 @@ def fingerprint(secret: Column, length: int = 16) -> Column:
     return F.substring(F.sha2(secret, 256), 1, length)
 
 
+def hashed_draws(df: DataFrame, draws: int, *parts: Column) -> DataFrame:
+    """Each row times ``draws``: adds ``_b`` = 0.. and ``_u``, uniform in [0, 1).
+
+    One SHA-256 over the parts and ``_b // 5`` yields five draws of 48 bits. Rows
+    are spread first: few short rows turn into much work.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = df.repartition(n, *parts).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 5))))
+    text = F.concat_ws("|", *[p.cast("string") for p in (*parts, F.col("_g"))])
+
+    def pieces(h: Column) -> Column:
+        return F.array(*[F.conv(F.substring(h, 1 + 12 * i, 12), 16, 10).cast("double") / float(1 << 48) for i in range(5)])
+
+    drawn = blocks.select("*", F.posexplode(bind(F.sha2(text, 256), pieces)).alias("_p", "_u"))
+    return drawn.withColumn("_b", F.col("_g") * 5 + F.col("_p")).where(F.col("_b") < draws).drop("_g", "_p")
+
+
 def unit_hash(*parts: Column) -> Column:
     """A reproducible uniform number in [0, 1) from the given parts.
 

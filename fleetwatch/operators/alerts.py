@@ -8,6 +8,7 @@ from ..functions.text import burst_text
 from ..plans.asof import hold
 from ..plans.replay import replay, thin
 from ..plans.timeline import Timeline
+from ..session import checkpointed
 from .machines import MissionMode, PatrolPause, StuckWatch, TrainingGuard
 
 ORDER = ("recv_ts", "seq")
@@ -63,7 +64,8 @@ def notify(alerts: DataFrame, window_s: int = 30, limit_s: float = 15.0, cap: in
     A summary is sent at the end of its window. ``rate_limited`` marks what the
     push limit would swallow.
     """
-    edge = cooldown(alerts, seconds=window_s, mark="_edge")
+    tl = Timeline.of(alerts, "robot_id", ORDER)
+    edge = checkpointed(thin(alerts, tl, window_s, mark="_edge"))
     now = edge.where("_edge").select("robot_id", F.col("recv_ts").alias("sent_ts"), F.lit("immediate").alias("kind"),
                                      F.lit(1).cast("long").alias("total"), "seq")
     late = burst_summary(edge.where("not _edge"), None, window_s, cap, shown).select(
@@ -71,7 +73,7 @@ def notify(alerts: DataFrame, window_s: int = 30, limit_s: float = 15.0, cap: in
         F.lit("summary").alias("kind"), "total", F.lit(-1).cast("long").alias("seq"),
     )
     sent = now.unionByName(late)
-    kept = thin(sent, Timeline.of(sent, "robot_id", ("sent_ts", "seq")), limit_s, mark="_kept")
+    kept = thin(sent, tl.ordered_by("sent_ts", "seq"), limit_s, mark="_kept")
     return kept.select("robot_id", "sent_ts", "kind", "total", (~F.col("_kept")).alias("rate_limited"))
 
 

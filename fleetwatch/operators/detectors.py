@@ -8,6 +8,7 @@ from ..functions.scan import frame_diff, frame_std, gate_scan, share_near_max
 from ..plans.asof import hold
 from ..plans.replay import thin
 from ..plans.timeline import Timeline
+from ..session import checkpointed
 
 # The live limits of the six detectors.
 LIN_MAX, ANG_MAX = 0.23, 3.00
@@ -209,11 +210,15 @@ def detections(ticks: DataFrame, cmd: DataFrame, odom: DataFrame, scan: DataFram
 
 
 def ids(at_ticks: DataFrame, cooldown: float = COOLDOWN_S, tl: Timeline | None = None) -> DataFrame:
-    """Latch, vote and cooldown: alert ticks with ``emitted`` true or swallowed."""
+    """Latch, vote and cooldown: alert ticks with ``emitted`` true or swallowed.
+
+    The few alert ticks are written once; the cooldown reads them twice.
+    """
     voting = vote(at_ticks.withColumn("d5", F.col("d5_new")))
     alerts = voting.where(F.col("verdict").isin("vote", "strong-D4")).withColumn("seq", F.lit(0).cast("long"))
+    alerts = checkpointed(alerts.select("robot_id", "tick_ts", "seq", "votes", "verdict"))
     tl = tl.ordered_by("tick_ts", "seq") if tl else Timeline.of(alerts, "robot_id", ("tick_ts", "seq"))
-    return thin(alerts.select("robot_id", "tick_ts", "seq", "votes", "verdict"), tl, cooldown, mark="emitted").drop("seq")
+    return thin(alerts, tl, cooldown, mark="emitted").drop("seq")
 
 
 def seen_frames_skipped(scan: DataFrame, tl: Timeline | None = None) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.crypto import unit_hash
+from ..functions.crypto import hashed_draws
 from ..functions.geometry import goal_distance, grid_cell
-from ..functions.scan import bind, finite
+from ..functions.scan import finite
 from ..plans.replay import replay
 from ..plans.timeline import Timeline
 from .machines import TurningStuck, VisitProgress
@@ -212,19 +212,18 @@ def bootstrap_ci(df: DataFrame, col: str, draws: int = 1000, low: float = 2.5, h
                  key="run_id", order=("episode",)) -> DataFrame:
     """Percentile interval of resampled means: (run_id, n, mean, lo, hi).
 
-    Draw i of resample b takes value floor(u * n) with u hashed from
-    (seed, run, b, i): any partitioning gives the same interval. The join is on
+    Draw i of resample b takes value floor(u * n) with u hashed from the seed,
+    the run, i and b: any partitioning gives the same interval. The join is on
     (run, index), spread over all rows; sums per resample combine before the
     last shuffle. For very long runs see ``bootstrap_ci_poisson``.
     """
     base = numbered(df.select(key, *order, col), key, order).select(key, "_i", F.col(col).cast("double").alias("_v"))
     sizes = base.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
-    slots = base.join(sizes.select(key, "n"), key).select(
-        key, "n", F.col("_i").alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_b")
-    )
-    u = unit_hash(F.lit(seed), F.col(key), F.col("_b"), F.col("_slot"))
-    picks = slots.select(key, "_b", F.least(F.floor(u * F.col("n")), F.col("n") - 1).alias("_i"))
-    means = picks.join(base, [key, "_i"]).groupBy(key, "_b").agg(F.avg("_v").alias("_m"))
+    slots = base.join(sizes.select(key, "n"), key).select(key, "n", F.col("_i").alias("_slot"))
+    drawn = hashed_draws(slots, draws, F.lit(seed), F.col(key), F.col("_slot"))
+    picks = drawn.select(key, "_b", F.least(F.floor(F.col("_u") * F.col("n")), F.col("n") - 1).alias("_i"))
+    # Catalyst does not see that drawing multiplied the rows and would broadcast them.
+    means = picks.join(base.hint("shuffle_hash"), [key, "_i"]).groupBy(key, "_b").agg(F.avg("_v").alias("_m"))
     return sizes.join(_interval(means, key, low, high), key).select(key, "n", "mean", "lo", "hi")
 
 
@@ -241,20 +240,14 @@ def bootstrap_ci_poisson(df: DataFrame, col: str, draws: int = 1000, low: float
     Each row weighs itself for every resample, so only ``draws`` partial sums
     per run and task are shuffled. The resample size varies around n.
     """
-    rows = df.select(key, *order, F.col(col).cast("double").alias("_v")).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
-    )
-    u = unit_hash(F.lit(seed), F.col(key), F.col("_b"), *[F.col(c) for c in order])
-
-    def poisson(v: Column) -> Column:
-        weight, total, p = F.lit(0.0), 0.0, 0.36787944117144233
-        for k in range(1, 13):
-            total += p
-            weight = F.when(v >= total, F.lit(float(k))).otherwise(weight)
-            p /= k
-        return weight
-
-    weighed = rows.withColumn("_w", bind(u, poisson))
+    rows = df.select(key, *order, F.col(col).cast("double").alias("_v"))
+    drawn = hashed_draws(rows, draws, F.lit(seed), F.col(key), *[F.col(c) for c in order])
+    weight, total, p = F.lit(0.0), 0.0, 0.36787944117144233
+    for k in range(1, 13):
+        total += p
+        weight = F.when(F.col("_u") >= total, F.lit(float(k))).otherwise(weight)
+        p /= k
+    weighed = drawn.withColumn("_w", weight)
     sums = weighed.groupBy(key, "_b").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.sum("_w").alias("_n"))
     means = sums.where("_n > 0").select(key, "_b", (F.col("_s") / F.col("_n")).alias("_m"))
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(col).cast("double")).alias("mean"))

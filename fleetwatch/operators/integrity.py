@@ -8,6 +8,7 @@ from ..functions.crypto import hmac_sha256
 from ..functions.scan import bind
 from ..plans.replay import thin
 from ..plans.timeline import Timeline, axis_of
+from ..session import checkpointed
 
 # The six channels, the topics that carry them, and how old a
 # message may be per receiver (seconds).
@@ -108,21 +109,27 @@ def inspect(df: DataFrame, key: bytes, expected: Column, max_age: Column | float
 
 
 def drop_replays(df: DataFrame, keys=("receiver", "nonce"), ttl: float = REPLAY_TTL_S, order=("recv_ts", "seq"),
-                 mark: str | None = None, eligible: Column | None = None) -> DataFrame:
+                 mark: str | None = None, eligible: Column | None = None, tl: Timeline | None = None) -> DataFrame:
     """First copy wins; a refused copy does not extend the expiry.
 
     A nonce is a random 64-bit value per message, so groups are the copies of
     one message; a flood of copies is cut along time like any large key.
     """
-    tl = Timeline.of(df, keys, order)
+    tl = tl or Timeline.of(df, keys, order)
     return thin(df, tl, ttl, mark=mark, eligible=eligible)
 
 
 def verify(df: DataFrame, key: bytes, expected: Column, max_age: Column | float = MAX_AGE_S, skew: float = CLOCK_SKEW_S,
            keys=("receiver", "nonce"), ttl: float = REPLAY_TTL_S, order=("recv_ts", "seq")) -> DataFrame:
-    """All six checks; ``reject_reason`` ends with ``replay``."""
+    """All six checks; ``reject_reason`` ends with ``replay``.
+
+    Sizes of the copy groups come from the nonce text alone, before any hash is
+    computed.
+    """
+    nonce = F.get_json_object(F.get_json_object("raw", "$.body"), "$.nonce")
+    tl = Timeline.of(df.withColumn("nonce", nonce), keys, order)
     seen = inspect(df, key, expected, max_age, skew, order[0])
-    marked = drop_replays(seen, keys, ttl, order, mark="_first", eligible=F.col("reject_reason").isNull())
+    marked = drop_replays(seen, keys, ttl, order, "_first", F.col("reject_reason").isNull(), tl)
     reason = F.coalesce("reject_reason", F.when(~F.col("_first"), F.lit("replay")))
     return marked.withColumn("reject_reason", reason).drop("_first")
 
@@ -137,11 +144,13 @@ def rejections(verified: DataFrame, seconds: float = 5.0, key: str = "receiver",
     """One row per throttled report: its time and how many refusals it covers.
 
     A report goes out for the first refusal and then at most every
-    ``seconds``; refusals in between are counted into the next report.
+    ``seconds``; refusals in between are counted into the next report. The
+    refusals' times are written once, as verifying is dear and they are read
+    several times.
     """
-    bad = verified.where(F.col("reject_reason").isNotNull())
+    bad = checkpointed(verified.where(F.col("reject_reason").isNotNull()).select(key, *order))
     tl = Timeline.of(bad, key, order)
-    marked = thin(bad.select(key, *order), tl, seconds, strict=strict, mark="_report")
+    marked = thin(bad, tl, seconds, strict=strict, mark="_report")
     before = tl.running(marked, {"_seg": ("count", F.when(F.col("_report"), 1))}, before=True)
     per = before.groupBy(key, "_seg").agg(
         F.count(F.lit(1)).alias("refused"), F.max(F.when(F.col("_report"), F.col(order[0]))).alias("report_ts")

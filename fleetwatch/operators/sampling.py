@@ -78,7 +78,7 @@ def safe_positions(points: DataFrame, obstacles: DataFrame, clearance: float = 0
     return placed.join(cells, close, "left_anti").drop("_cx", "_cy", "_id")
 
 
-def sample_starts(seeds: DataFrame, obstacles: DataFrame, tries: int = 2000, clearance: float = 0.5, batch: int = 50,
+def sample_starts(seeds: DataFrame, obstacles: DataFrame, tries: int = 2000, clearance: float = 0.5, batch: int = 8,
                   seed: str = "seed") -> DataFrame:
     """(seed, x, y, yaw): the first hashed candidate clear of obstacles, else the fallback.
 
