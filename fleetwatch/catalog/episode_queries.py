@@ -344,3 +344,8 @@ def _(spark, sf):
 SELECT robot_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY robot_id ORDER BY us DESC, seq DESC) AS r FROM ev) WHERE r <= 20""")
 def _(spark, sf):
     return H.keep_latest(I.events(spark, sf), 20, "robot_id", ("recv_ts", "seq")).select("robot_id", "seq")
+
+
+@query("keep_latest_overall", "H6", sql="SELECT event_id AS seq FROM events ORDER BY ts DESC, event_id DESC LIMIT 3000")
+def _(spark, sf):
+    return H.keep_latest(I.events(spark, sf), 3000, None, ("recv_ts", "seq")).select("seq")
