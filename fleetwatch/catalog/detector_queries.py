@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scan import frame_diff
 from ..operators import alerts as A, detectors as D, graph as G
 from ..plans.asof import hold
+from ..plans.replay import thin
 from ..plans.timeline import Timeline
 from . import inputs as I
 from .column_queries import DIRTY, _SHAPED, _dirty, shaped
@@ -43,9 +44,8 @@ def _(spark, sf):
 def _(spark, sf):
     cmd = I.events(spark, sf).select("robot_id", "recv_ts", "seq", "us", "v_lin", "v_ang")
     tl = Timeline.of(cmd, "robot_id", ("recv_ts", "seq"))
-    from ..plans.replay import thin
-
-    return thin(D.physics(cmd, tl).where("d1"), tl, HOUR).select("robot_id", "us", "seq")
+    fired = D.physics(cmd, tl).where("d1").select("robot_id", "recv_ts", "seq", "us")
+    return thin(fired, tl, HOUR).select("robot_id", "us", "seq")
 
 
 @query("direction_conflict", "E2", sql=with_ctes(I.EV) + f"""

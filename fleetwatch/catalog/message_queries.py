@@ -270,7 +270,7 @@ _NA = "na AS (SELECT event_type AS robot_id, us, seq, '/u' || user_id AS node, k
 @query("burst_summary", "F6", sql=with_ctes(I.EV, _NA) + """
 SELECT robot_id, ws AS window_us, total, total - overflow AS listed, overflow, names FROM (
   SELECT robot_id, ws, count(*) AS total, greatest(count(*) FILTER (NOT is_exit) - 40, 0) AS overflow,
-         array_to_string(list(node ORDER BY us, seq)[1:10], ',') AS names
+         array_to_string(list(CASE WHEN is_exit THEN '(exit) ' || node ELSE node END ORDER BY us, seq)[1:10], ',') AS names
   FROM (SELECT n.*, o + (us - o) // 86400000000 * 86400000000 AS ws FROM na n JOIN (SELECT robot_id, min(us) AS o FROM na GROUP BY ALL) USING (robot_id)) GROUP BY ALL)""")
 def _(spark, sf):
     a = node_alerts(spark, sf)

@@ -93,7 +93,7 @@ def health_text(sensor: Column, mission: Column, security: Column) -> Column:
 def progress(steps: Column, elapsed_s: Column, total: Column) -> Column:
     """struct(rate, share, eta_s, eta): steps per second and time left as H:MM:SS."""
     rate = F.when(elapsed_s > 0, steps / elapsed_s).otherwise(F.lit(0.0))
-    left = F.when(rate > 0, (total - steps) / rate).otherwise(F.lit(0.0))
+    left = F.when(rate > 0, F.greatest(total - steps, F.lit(0)) / rate).otherwise(F.lit(0.0))
     s = F.floor(left)
     clock = F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
     return F.struct(rate.alias("rate"), (steps / total).alias("share"), left.alias("eta_s"), clock.alias("eta"))

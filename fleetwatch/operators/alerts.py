@@ -39,6 +39,7 @@ def burst_summary(alerts: DataFrame, starts: DataFrame | None = None, window_s:
         origin = F.col("_o")
     width = int(window_s * 1_000_000)
     rows = rows.withColumn("_w", F.floor((us - origin) / width) * width + origin)
+    rows = rows.withColumn("node", F.when(F.col("is_exit"), F.concat(F.lit("(exit) "), "node")).otherwise(F.col("node")))
     # Exit alerts are always listed; of the join alerts only the first ``cap``
     # are. Ranks up to ``shown`` are enough to find the names, counts the rest.
     ahead = W.partitionBy("robot_id", "_w").orderBy(*ORDER)

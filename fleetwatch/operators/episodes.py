@@ -9,6 +9,7 @@ from ..functions.geometry import goal_distance, grid_cell
 from ..functions.scan import finite
 from ..plans.replay import replay
 from ..plans.timeline import Timeline
+from ..session import checkpointed
 from .machines import TurningStuck, VisitProgress
 
 STEP_KEY = ("run_id", "episode")
@@ -260,12 +261,13 @@ def curriculum(episodes: DataFrame, stages: int = 5, window: int = 50, least: in
 
     A run is promoted at the first row whose last ``window`` episodes of the
     stage, ``least`` at the minimum, succeed at ``promote``. There are few
-    stages, so each is one window pass over the rows after the last promotion.
+    stages, so each is one window pass over the rows after the last promotion;
+    positions with successes are written once, and so are the promotions (one
+    row per run), or every pass would repeat those before it.
     """
-    # Promotion only needs the position in the run and successes up to it.
     tl = Timeline.of(episodes, "run_id", order)
     rows = numbered(episodes, "run_id", order, tl)
-    flags = rows.select("run_id", *order, "_i", F.col("success").cast("double").alias("_s"))
+    flags = checkpointed(rows.select("run_id", *order, "_i", F.col("success").cast("double").alias("_s")))
     starts = flags.select("run_id").distinct().withColumn("_from", F.lit(0).cast("long"))
     gates = []
     for stage in range(1, stages):
@@ -276,7 +278,7 @@ def curriculum(episodes: DataFrame, stages: int = 5, window: int = 50, least: in
 
         seen = tl.frame(mine, window - 1, build)
         ready = (F.col("_i") - F.col("_from") + 1 >= least) & (F.col("_m") >= promote)
-        gate = seen.where(ready).groupBy("run_id").agg(F.min("_i").alias("_at"))
+        gate = checkpointed(seen.where(ready).groupBy("run_id").agg(F.min("_i").alias("_at")))
         gates.append(gate.select("run_id", F.col("_at").alias(f"_g{stage}")))
         starts = gate.select("run_id", (F.col("_at") + 1).alias("_from"))
     out = rows

@@ -323,7 +323,7 @@ class Notify:
             s["total"] += 1
             s["joins"] += 0 if is_exit else 1
             if len(s["names"]) < self.shown:
-                s["names"] = [*s["names"], node]
+                s["names"] = [*s["names"], f"(exit) {node}" if is_exit else node]
         return out, s
 
 
@@ -349,6 +349,57 @@ class Reports:
         return out, {"last": last, "n": n}
 
 
+class FrameRepeat:
+    """The frame equals the last accepted one (see ``detectors.frame_repeat``)."""
+
+    schema = "t long, seq long, repeated boolean"
+    cols = ("seq", "ranges")
+
+    def __init__(self, top: float = 3.5, min_points: int = 50):
+        self.top, self.min_points = top, min_points
+
+    def initial(self):
+        return None
+
+    def run(self, rows, stored):
+        out = []
+        for t, seq, ranges in rows:
+            judged = len(ranges) > self.min_points
+            cur = _plain(ranges)
+            filled = np.array([self.top if r is None else r for r in cur])
+            low = judged and float(filled.std()) < 0.01
+            far = judged and float((filled > 0.9 * self.top).mean()) > 0.95
+            out.append((t, seq, judged and not low and stored is not None and cur == stored))
+            if not low and not far:
+                stored = cur
+        return out, stored
+
+
+class SecurityStatus:
+    """G7 at ticks: the last alert's text until it is older than ``timeout_s``.
+
+    Rows have ``kind`` alert or tick and ``status``; order by (t, late, seq).
+    """
+
+    schema = "t long, status string"
+    cols = ("kind", "status")
+
+    def __init__(self, timeout_s: float = 30.0, calm: str = "OK"):
+        self.timeout, self.calm = int(timeout_s * SEC), calm
+
+    def initial(self):
+        return None
+
+    def run(self, rows, last):
+        out = []
+        for t, kind, status in rows:
+            if kind == "alert":
+                last = [t, status]
+            else:
+                out.append((t, last[1] if last and t - last[0] <= self.timeout else self.calm))
+        return out, last
+
+
 class Visits:
     """Prior visits of a grid cell; key by (run_id, gx, gy)."""
 

@@ -209,3 +209,41 @@ def test_tick_aggregates(spark):
     want = G.publisher_multiplicity(pubs, I.EVENT_TOPICS)
     cols = ("robot_id", "tick_ts", "topic", "publishers")
     assert lines(got, *cols) == lines(want, *cols)
+
+
+def test_frame_repeat_and_status(spark, events):
+    scans = Q.shaped(spark, SF)
+    stream, path = feed(spark, scans, "recv_ts")
+    got = drain(spark, run_stream(stream, "robot_id", "recv_ts", SM.FrameRepeat(), "1 hour"), path)
+    assert lines(got, "seq", "repeated") == lines(D.frame_repeat(scans), "seq", "repeated")
+
+    alerts = events.where("event_type = 'error'").withColumn("status", F.col("props"))
+    ticks = I.ticks(spark, SF)
+    want = A.security_status(alerts, ticks, 86400).select("robot_id", F.unix_micros("tick_ts").alias("t"), "status")
+    rows = alerts.select("robot_id", "recv_ts", F.lit(0).alias("late"), "seq", F.lit("alert").alias("kind"), "status").unionByName(
+        ticks.select("robot_id", F.col("tick_ts").alias("recv_ts"), F.lit(1).alias("late"), F.lit(0).cast("long").alias("seq"), F.lit("tick").alias("kind"), F.lit(None).cast("string").alias("status"))
+    )
+    stream, path = feed(spark, rows, "recv_ts")
+    got = drain(spark, run_stream(stream, "robot_id", "recv_ts", SM.SecurityStatus(86400), "1 hour", order=("late", "seq")), path)
+    assert lines(got, "robot_id", "t", "status") == lines(want, "robot_id", "t", "status")
+
+
+def test_impostors(spark):
+    base = spark.range(40).select(F.lit("a").alias("receiver"), F.timestamp_seconds(1000 + F.col("id") * 5).alias("recv_ts"), F.col("id").cast("string").alias("nonce"))
+    own = base.where("nonce % 3 != 0").select("nonce", F.col("recv_ts").alias("sent_ts"))
+    left, path = feed(spark, base, "recv_ts")
+    right, _ = feed(spark, own, "sent_ts")
+    got = drain(spark, J.impostors(left, right), path)
+    seen = {int(r.nonce) for r in got.collect()}
+    assert seen <= set(range(0, 40, 3)) and {0, 3, 6} <= seen  # the newest still wait for the watermark
+
+
+def test_sinks(spark, events):
+    from fleetwatch.sources.sinks import stream_batches, stream_table
+
+    rows = events.select("robot_id", "recv_ts", "seq")
+    stream, path = feed(spark, rows, "recv_ts")
+    stream_table(stream, f"{path}/out", f"{path}/c1").awaitTermination(120)
+    stream_batches(stream, f"{path}/out2", f"{path}/c2").awaitTermination(120)
+    assert spark.read.parquet(f"{path}/out").count() == rows.count()
+    assert spark.read.parquet(f"{path}/out2").count() == rows.count()
