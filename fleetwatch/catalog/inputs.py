@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.timeline import ntz_micros
+
 KEY = b"fleet-secret"
 
 
@@ -15,19 +17,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def micros(ts: str) -> Column:
-    """Microseconds of a zone-less timestamp, whatever the session zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})")
-
-
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """(robot_id, recv_ts, seq, us, kind, k, value, v_lin, v_ang, props, event_type, user_id)."""
     k = F.get_json_object("props", "$.k").cast("int")
     return table(spark, sf, "events").select(
         F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("robot_id"),
-        F.timestamp_micros(micros("ts")).alias("recv_ts"),
+        F.timestamp_micros(ntz_micros("ts")).alias("recv_ts"),
         F.col("event_id").alias("seq"),
-        micros("ts").alias("us"),
+        ntz_micros("ts").alias("us"),
         k.alias("k"),
         "value",
         ((F.col("value") - 50) / 200).alias("v_lin"),
@@ -89,7 +86,7 @@ def episodes(spark: SparkSession, sf: str) -> DataFrame:
     status = F.col("o_orderstatus")
     return o.select(
         F.col("o_orderpriority").alias("run_id"),
-        micros("o_orderdate").alias("day"),
+        ntz_micros("o_orderdate").alias("day"),
         F.col("o_orderkey").alias("episode"),
         F.col("o_totalprice").alias("reward"),
         (F.col("o_custkey") % 500).cast("int").alias("steps"),

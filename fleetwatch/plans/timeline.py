@@ -30,13 +30,20 @@ def rows_per_task(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.fleetwatch.rowsPerTask", str(ROWS_PER_TASK)))
 
 
+def ntz_micros(name: str) -> Column:
+    """Microseconds since the epoch of a zone-less timestamp, whatever the session zone."""
+    day = F.unix_date(F.col(name).cast("date")).cast("long") * 86_400_000_000
+    second = (F.expr(f"extract(SECOND FROM `{name}`)") * 1_000_000).cast("long")
+    return day + F.hour(name).cast("long") * 3_600_000_000 + F.minute(name).cast("long") * 60_000_000 + second
+
+
 def axis_of(df: DataFrame, name: str) -> Column:
     """The order column as a number that keeps differences (micros for time)."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(name)
     if isinstance(kind, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {name})")
+        return ntz_micros(name)
     if isinstance(kind, T.DateType):
         return F.unix_date(name)
     return F.col(name)
