@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality
+from . import bpe, lines, pii, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +15,30 @@ def op6_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_ratio,)}
-SQL: dict[str, str] = {}
+def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def vocabulary() -> str:
+    """The public 50k byte-level vocabulary; installed beside Python on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokenize(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymize(_table(spark, sf_dir, "documents"), key="replace this key")
+    return out.select("row.doc_id", F.col("safe_text").alias("text"), "n_found", "n_replaced")
+
+
+def op10_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_line_spread, op6_quality_ratio, op7_bpe_automaton, op9_feistel_pseudonyms, op10_credential_links)}
+SQL = {"op3_line_spread": lines.SQL}
