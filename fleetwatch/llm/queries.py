@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, lines, pii, quality, secrets
+from . import bpe, lines, mixing, pii, quality, secrets
+from .common import words_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,27 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+#: Target weights of the mixing queries; sources not listed weigh the same.
+WEIGHTS = {("domain", "web"): 0.5, ("domain", "books"): 0.3, ("domain", "forum"): 0.2, ("lang", "en"): 0.4, ("lang", "de"): 0.25, ("lang", "fr"): 0.2, ("lang", "es"): 0.15}
+#: The tables name no domain; the number of a source stands in for it.
+DOMAIN_SQL = "CASE WHEN regexp_extract(source, '[0-9]+', 0) = '' OR source IS NULL THEN 'web' WHEN regexp_extract(source, '[0-9]+', 0)::BIGINT % 3 = 0 THEN 'web' WHEN regexp_extract(source, '[0-9]+', 0)::BIGINT % 3 = 1 THEN 'books' ELSE 'forum' END"
+SHARE, SEED, EPOCHS = 0.5, 17, 2
+
+
+def domain_of(source: str = "source") -> Column:
+    number = F.pmod(F.regexp_extract(source, "[0-9]+", 0).try_cast("bigint"), F.lit(3))
+    return F.when(number == 1, "books").when(number == 2, "forum").otherwise("web")
+
+
+def weight_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(level, name, w) for (level, name), w in WEIGHTS.items()], "level string, name string, weight double")
+
+
+def op8_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_table(spark, sf_dir, "documents"), weight_table(spark), SHARE, SEED, EPOCHS, tokens=F.size(words_of(F.col("text"))), domain=domain_of())
+    return out.select("row.doc_id", "epoch")
+
+
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymize(_table(spark, sf_dir, "documents"), key="replace this key")
     return out.select("row.doc_id", F.col("safe_text").alias("text"), "n_found", "n_replaced")
@@ -40,5 +62,8 @@ def op10_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_spread, op6_quality_ratio, op7_bpe_automaton, op9_feistel_pseudonyms, op10_credential_links)}
-SQL = {"op3_line_spread": lines.SQL}
+QUERIES = {f.__name__: f for f in (op3_line_spread, op6_quality_ratio, op7_bpe_automaton, op8_hierarchical_budgets, op9_feistel_pseudonyms, op10_credential_links)}
+SQL = {
+    "op3_line_spread": lines.SQL,
+    "op8_hierarchical_budgets": mixing.oracle("documents", DOMAIN_SQL, "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))", WEIGHTS, SHARE, SEED, EPOCHS),
+}
