@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, lines, mixing, pii, quality, secrets
+from . import bpe, lines, mixing, pii, quality, secrets, warc
 from .common import words_of
 
 
@@ -16,6 +16,10 @@ def op6_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages")).drop("url")
+
+
 def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
@@ -62,8 +66,14 @@ def op10_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_spread, op6_quality_ratio, op7_bpe_automaton, op8_hierarchical_budgets, op9_feistel_pseudonyms, op10_credential_links)}
+QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op3_line_spread, op6_quality_ratio, op7_bpe_automaton, op8_hierarchical_budgets, op9_feistel_pseudonyms, op10_credential_links)}
 SQL = {
+    "op1_warc_dictionary": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to FROM f""",
     "op3_line_spread": lines.SQL,
     "op8_hierarchical_budgets": mixing.oracle("documents", DOMAIN_SQL, "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))", WEIGHTS, SHARE, SEED, EPOCHS),
 }
