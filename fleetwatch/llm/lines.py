@@ -60,7 +60,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     found = saved(boilerplate(lines, min_sites), "boilerplate")
     gone = lines.join(found, ["a", "b"]).where(~F.struct("id", "i").eqNullSafe(F.col("first")))
     by_row = gone.groupBy("k1", "k2").agg(F.collect_set("i").alias("removed"))
-    out = packed.join(by_row, ["k1", "k2"], "left").withColumn("text", F.col("row")[text_col])
+    out = packed.join(by_row.hint("shuffle_hash"), ["k1", "k2"], "left").withColumn("text", F.col("row")[text_col])
     parts = F.split("text", "\n")
     out = out.withColumns({"parts": F.when(F.col("removed").isNotNull(), parts), "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))})
     places = F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col("removed"))
