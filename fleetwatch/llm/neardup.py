@@ -17,8 +17,8 @@ SLOTS = BANDS * ROWS
 PERCENT = 85
 #: Slots in which two linked documents surely agree: six standard errors below the 68 expected at 85 of 100.
 LEAST_AGREED = 49
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 512
+#: Shingles of the members that one task compares with as many others.
+BLOCK_SHINGLES = 200_000
 BATCH = 256
 
 
@@ -99,49 +99,66 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal slots of each row of a with each row of b (16-bit lanes)."""
-    return (a[:, None, :] == b[None, :, :]).sum(2)
-
-
 def _lanes(bands: pd.Series) -> np.ndarray:
     return np.stack(bands.to_numpy()).astype(np.int64).view(np.uint16).reshape(len(bands), -1)
 
 
-def rest_pairs(members: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of one bucket but different components that agree in enough slots, without those tried.
+def rest_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components that meet in a bucket: every such pair is tested, none is written out.
 
-    ``members`` is (band, key, cid, component, bands) of buckets with more than
-    one component. All but the members of a bucket's largest component meet the
-    whole bucket, in blocks of BLOCK by BLOCK.
+    ``members`` is (band, key, leader, cid, component, bands, n_shingles) of
+    buckets with more than one component. Of two linked members of a bucket at
+    least one isn't in its largest component: those ("loose") meet the others
+    in pairs of blocks that some bucket touches. Blocks hold about
+    BLOCK_SHINGLES shingles, members of one family beside each other. A task
+    tests pairs that share a band and agree in enough slots on their full sets.
     """
     sizes = members.groupBy("band", "key", "component").count()
-    top = sizes.groupBy("band", "key").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("n"))
-    top = top.select("band", "key", F.col("top.component").alias("largest"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("top.count")) / BLOCK).cast("int").alias("chunks"))
-    all_ = members.join(top, ["band", "key"])
-    part = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.greatest(F.col(n), F.lit(1))).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
-    x = all_.withColumn("block", part("blocks", 1)).withColumn("chunk", each("chunks"))
-    y = all_.where("component <> largest").withColumn("chunk", part("chunks", 2)).withColumn("block", each("blocks"))
-    keys = ["band", "key", "block", "chunk"]
-    columns = [*keys, "cid", "component", "bands"]
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    largest = sizes.groupBy("band", "key").agg(F.max(F.struct("count", "component"))["component"].alias("largest"))
+    marked = members.join(largest, ["band", "key"])
+    each = marked.groupBy("cid").agg(F.min("leader").alias("family"), F.first("component").alias("component"), F.first("bands").alias("bands"),
+                                     F.first("n_shingles").alias("n"), F.max(F.col("component") != F.col("largest")).alias("loose"))
+    each = saved(each, "open-members")
+    parts = each.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    sub = F.pmod(F.xxhash64("cid"), F.greatest("parts", F.lit(1)))
+    block = saved(each.join(parts, "family").select("cid", "loose", F.struct("family", sub.alias("sub")).alias("block")), "blocks")
+    touched = marked.select("band", "key", "cid", (F.col("component") != F.col("largest")).alias("out")).join(block.select("cid", "block"), "cid")
+    ones = touched.select("band", "key", F.col("block").alias("x")).distinct()
+    loose = touched.where("out").select("band", "key", F.col("block").alias("y")).distinct()
+    met = saved(ones.join(loose, ["band", "key"]).select("x", "y").distinct(), "block-pairs")
+    schema = "cid long, items array<long>"
+
+    def sets(batches):
+        for batch in batches:
+            items = [shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64()))], ["cid", "items"])
+
+    full = each.select("cid", "component", "bands").join(texts.join(each.select("cid"), "cid", "left_semi").select("cid", "text").mapInArrow(sets, schema), "cid").join(block, "cid")
+    full = saved(full, "open-sets")
+    left = full.join(met, full["block"] == met["x"]).select("x", "y", "cid", "component", "bands", "items")
+    right = full.where("loose").join(met, full["block"] == met["y"]).select(F.col("x").alias("u"), F.col("y").alias("v"), F.col("cid").alias("cid2"), F.col("component").alias("component2"), F.col("bands").alias("bands2"), F.col("items").alias("items2"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(left) and len(right):
-            a, b = _lanes(left["bands"]), _lanes(right["y_bands"])
-            for at in range(0, len(b), 64):
-                ok = _agree(b[at : at + 64], a) >= LEAST_AGREED
-                ok &= right["y_component"].to_numpy()[at : at + 64, None] != left["component"].to_numpy()[None, :]
-                i, j = np.nonzero(ok)
-                p, q = right["y_cid"].to_numpy()[at + i], left["cid"].to_numpy()[j]
-                out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
-        got = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame(np.unique(got, axis=0), columns=["a", "b"])
-
-    other = y.select(*(F.col(c).alias(f"y_{c}") for c in columns))
-    found = x.select(columns).groupBy(*keys).cogroup(other.groupBy(*(f"y_{k}" for k in keys))).applyInPandas(run, "a long, b long")
-    return found.distinct().join(tried, ["a", "b"], "left_anti")
+        if len(a) and len(b):
+            one, two = _lanes(a["bands"]), _lanes(b["bands2"])
+            keys_one, keys_two = np.stack(a["bands"].to_numpy()), np.stack(b["bands2"].to_numpy())
+            left_sets, right_sets = a["items"].to_numpy(), b["items2"].to_numpy()
+            left_ids, right_ids = a["cid"].to_numpy(), b["cid2"].to_numpy()
+            at_one, at_two = a["component"].to_numpy(), b["component2"].to_numpy()
+            for at in range(len(b)):
+                some = np.flatnonzero((keys_one == keys_two[at]).any(1) & (at_one != at_two[at]))
+                some = some[(one[some] == two[at]).sum(1) >= LEAST_AGREED]
+                for i in some:
+                    n, m = len(left_sets[i]), len(right_sets[at])
+                    if 100 * min(n, m) < PERCENT * max(n, m):
+                        continue
+                    shared = len(np.intersect1d(left_sets[i], right_sets[at], assume_unique=True))
+                    if 100 * shared >= PERCENT * (n + m - shared):
+                        out.append((int(left_ids[i]), int(right_ids[at])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return left.groupBy("x", "y").cogroup(right.groupBy("u", "v")).applyInPandas(run, "a long, b long").distinct()
 
 
 def consensus_pairs(members: DataFrame) -> DataFrame:
@@ -173,7 +190,7 @@ def groups(docs: DataFrame, report: dict | None = None) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = saved(signatures(source), "signatures")
     named = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = saved(named.groupBy("f", "g").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands")), "classes")
+    classes = saved(named.groupBy("f", "g").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "classes")
     banded = classes.select("cid", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.min("cid").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = saved(banded.join(shared.select("band", "key", "leader"), ["band", "key"]), "bucket-members")
@@ -196,22 +213,22 @@ def groups(docs: DataFrame, report: dict | None = None) -> DataFrame:
     label = labelled(links)
     if report is not None:
         report |= {"classes": classes.count(), "members": inner.count(), "stars": stars.count(), "best": best.count(), "links": links.count()}
-    for source_of in ("stars", "centres", "rest"):
-        if source_of == "stars":
-            more = saved(across(stars.select("a", "b").join(tried, ["a", "b"], "left_anti"), label), "pairs")
+    for step in ("stars", "centres", "rest"):
+        if step == "stars":
+            more = across(stars.select("a", "b").join(tried, ["a", "b"], "left_anti"), label)
         else:
-            open_ = members.select("band", "key", "cid").join(label, "cid")
+            open_ = members.join(label, "cid")
             mixed = open_.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
-            open_ = saved(open_.join(mixed, ["band", "key"]).join(classes.select("cid", "bands"), "cid"), "open-buckets")
-            if source_of == "centres":
-                more = saved(across(consensus_pairs(open_).join(tried, ["a", "b"], "left_anti"), label), "pairs")
-            else:
-                more = saved(rest_pairs(open_, tried), "pairs")
-        if report is not None:
-            report[source_of] = more.count()
-        if not more.isEmpty():
-            links = saved(links.unionByName(confirmed(more, texts)), "links")
+            open_ = saved(open_.join(mixed, ["band", "key"]).join(classes.select("cid", "bands", "n_shingles"), "cid"), "open-buckets")
+            more = across(consensus_pairs(open_).join(tried, ["a", "b"], "left_anti"), label) if step == "centres" else None
+        if more is not None:
+            more = saved(more, "pairs")
             tried = tried.unionByName(more)
+        new = saved(rest_links(open_, texts) if more is None else confirmed(more, texts), "links")
+        if report is not None:
+            report[step] = (0 if more is None else more.count(), new.count())
+        if not new.isEmpty():
+            links = links.unionByName(new)
             label = labelled(links)
     label = saved(label, "class-components")
     least = label.groupBy("component").agg(F.min("cid").alias("component_id"))
