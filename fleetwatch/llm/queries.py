@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, lines, mixing, neardup, pii, quality, secrets, warc
+from . import ann, bpe, lines, mixing, neardup, pii, quality, secrets, warc
 from .common import words_of
 
 
@@ -12,6 +12,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_learned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op5_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "documents"))
 
@@ -70,7 +75,7 @@ def op10_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op3_line_spread, op5_super_minhash, op6_quality_ratio, op7_bpe_automaton, op8_hierarchical_budgets, op9_feistel_pseudonyms, op10_credential_links)}
+QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op3_line_spread, op4_learned_parts, op5_super_minhash, op6_quality_ratio, op7_bpe_automaton, op8_hierarchical_budgets, op9_feistel_pseudonyms, op10_credential_links)}
 SQL = {
     "op1_warc_dictionary": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
