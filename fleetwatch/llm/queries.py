@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, lines, mixing, neardup, pii, quality, secrets, warc
+from . import ann, bpe, lines, mixing, neardup, pii, quality, repeats, secrets, warc
 from .common import words_of
 
 
@@ -29,6 +29,10 @@ def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages")).drop("url")
 
 
+def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
@@ -75,7 +79,7 @@ def op10_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op3_line_spread, op4_learned_parts, op5_super_minhash, op6_quality_ratio, op7_bpe_automaton, op8_hierarchical_budgets, op9_feistel_pseudonyms, op10_credential_links)}
+QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op2_suffix_repeats, op3_line_spread, op4_learned_parts, op5_super_minhash, op6_quality_ratio, op7_bpe_automaton, op8_hierarchical_budgets, op9_feistel_pseudonyms, op10_credential_links)}
 SQL = {
     "op1_warc_dictionary": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
