@@ -83,7 +83,7 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes, date: str =
             for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if out is None:
                     path, n, size = f"{root}/pages-{uuid.uuid4().hex}.warc.zst", 0, 0
-                    out = place.open_output_stream(path)
+                    out = place.open_output_stream(path, compression=None)
                     if dictionary:
                         out.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
                 frame = pack.compress(record(*row, date))
@@ -163,7 +163,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 
         for paths in batches:
             for path in paths.column(0).to_pylist():
-                with place.open_input_stream(path) as stream:
+                with place.open_input_stream(path, compression=None) as stream:
                     for fields, block in read_records(stream):
                         size, digest, kind = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha256:"), fields["warc-type"]
                         if kind == "response":
