@@ -129,12 +129,10 @@ def _divided_ranges(strings: DataFrame) -> DataFrame:
     sure = runs.where("same").select("g", "s", "t", "first", (F.col("first") + F.col("count") - 1).alias("last"))
     parts = runs.where("NOT same").select("g", "s", "t", "first", "count")
     again = strings.join(parts, ["g", "s", "t"]).select(
-        "g", "s", "t", "copies", F.col("count").alias("n"), (F.col("lead") - F.col("first")).alias("lead"), F.expr("substring(bytes, cast(first + 1 as int), cast(count + 399 as int))").alias("bytes"), F.col("first").alias("shift"))
-    again = saved(again, "open-runs")
-    shift = again.select("g", "s", "t", "shift", "lead", "n")
-    single = _judged(_pieces(again, 1)).select("g", "s", "t", "place")
-    found = single.join(shift, ["g", "s", "t"]).where((F.col("place") <= F.col("lead")) & (F.col("place") > F.col("lead") - F.col("n")))
-    at = F.col("shift") + F.col("lead") - F.col("place")
+        "g", "s", "t", "copies", F.col("count").alias("n"), (F.col("lead") - F.col("first")).alias("lead"), F.expr(f"substring(bytes, cast(first + 1 as int), cast(count + {WINDOW - 1} as int))").alias("bytes"))
+    single = _judged(_pieces(saved(again, "open-runs"), 1)).select("g", "s", "t", "place")
+    found = single.join(strings.select("g", "s", "t", "lead"), ["g", "s", "t"])
+    at = F.col("lead") - F.col("place")
     return sure.unionByName(found.select("g", "s", "t", at.alias("first"), at.alias("last")))
 
 
