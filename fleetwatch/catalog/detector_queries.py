@@ -168,7 +168,7 @@ def _(spark, sf):
 
 _PUBS = """pubs AS (
   SELECT robot_id, (us + 21599999999) // 21600000000 * 21600000000 AS t, '/' || event_type AS topic, 'u' || (seq % 40) AS node_name
-  FROM ev WHERE seq % 3 = 0),
+  FROM ev),
 bad AS (
   SELECT robot_id, t, topic, string_agg(node_name, ',' ORDER BY node_name) AS nodes FROM pubs p
   WHERE NOT EXISTS (SELECT 1 FROM al WHERE al.topic = p.topic AND al.node_name = p.node_name) GROUP BY ALL),
@@ -180,9 +180,9 @@ alarm AS (
 
 
 def tick_publishers(spark, sf):
-    """A third of the events seen as publishers at the next six-hour tick."""
+    """The events seen as publishers at the next six-hour tick."""
     step = 6 * HOUR
-    return I.events(spark, sf).where("seq % 3 = 0").select(
+    return I.events(spark, sf).select(
         "robot_id",
         F.timestamp_seconds(F.ceil(F.col("us") / 1_000_000 / step) * step).alias("tick_ts"),
         F.concat(F.lit("/"), F.col("event_type")).alias("topic"),
@@ -264,15 +264,26 @@ def _(spark, sf):
 
 
 @query("silent_scans", "G13", sql=with_ctes(I.EV) + """
-SELECT robot_id, us AS since, until, round((until - us) / 1e6, 6) AS gap_s
-FROM (SELECT robot_id, us, lead(us) OVER (PARTITION BY robot_id ORDER BY us, seq) AS until FROM ev) WHERE (until - us) / 1e6 > 36000""")
+SELECT robot_id, us AS since, coalesce(next, last) AS until, round((coalesce(next, last) - us) / 1e6, 6) AS gap_s, next IS NULL AS open
+FROM (SELECT robot_id, us, lead(us) OVER (PARTITION BY robot_id ORDER BY us, seq) AS next, (SELECT max(us) FROM ev) + 86400000000 AS last FROM ev)
+WHERE (coalesce(next, last) - us) / 1e6 > 36000""")
 def _(spark, sf):
-    g = D.silent_scans(I.events(spark, sf), 10 * HOUR)
-    return g.select("robot_id", F.unix_micros("since").alias("since"), F.unix_micros("until").alias("until"), r6("gap_s").alias("gap_s"))
+    ev = I.events(spark, sf)
+    g = D.silent_scans(ev, 10 * HOUR, ticks=watch_end(ev))
+    return g.select("robot_id", F.unix_micros("since").alias("since"), F.unix_micros("until").alias("until"), r6("gap_s").alias("gap_s"), "open")
+
+
+def watch_end(ev):
+    """Every robot is watched until a day after the last event of all."""
+    end = ev.agg((F.max("us") + 86_400_000_000).alias("us"))
+    return ev.select("robot_id").distinct().withColumn("tick_ts", F.timestamp_micros(end.scalar()))
 
 
 @query("beat_cadence", "G14", sql=with_ctes(I.EV) + """
-SELECT seq, round(g, 6) AS gap_s, floor(g / 18000)::BIGINT - 1 AS missed
-FROM (SELECT seq, (us - lag(us) OVER (PARTITION BY robot_id ORDER BY us, seq)) / 1e6 AS g FROM ev WHERE event_type = 'view') WHERE g > 36000""")
+SELECT seq, round(g, 6) AS gap_s, floor(g / 18000)::BIGINT - 1 AS missed, open
+FROM (SELECT seq, (coalesce(next, last) - us) / 1e6 AS g, next IS NULL AS open
+      FROM (SELECT seq, us, lead(us) OVER (PARTITION BY robot_id ORDER BY us, seq) AS next, (SELECT max(us) FROM ev) + 86400000000 AS last
+            FROM ev WHERE event_type = 'view')) WHERE g > 36000""")
 def _(spark, sf):
-    return D.beat_cadence(beats(spark, sf), 5 * HOUR).select("seq", r6("gap_s").alias("gap_s"), "missed")
+    late = D.beat_cadence(beats(spark, sf), 5 * HOUR, ticks=watch_end(I.events(spark, sf)))
+    return late.select("seq", r6("gap_s").alias("gap_s"), "missed", "open")

@@ -265,11 +265,11 @@ def _(spark, sf):
 
 # -- sampling --------------------------------------------------------------------------
 
-_OB = "ob AS (SELECT (n_nationkey % 5 - 2) * 0.9::DOUBLE AS ox, (n_nationkey // 5 - 2) * 0.9::DOUBLE AS oy FROM nation WHERE n_nationkey % 2 = 0)"
+_OB = "ob AS (SELECT (n_nationkey % 5 - 2) * 0.9::DOUBLE AS ox, (n_nationkey // 5 - 2) * 0.9::DOUBLE AS oy FROM nation)"
 
 
 def obstacles(spark, sf):
-    n = I.table(spark, sf, "nation").where("n_nationkey % 2 = 0")
+    n = I.table(spark, sf, "nation")
     return n.select(((F.col("n_nationkey") % 5 - 2) * 0.9).alias("ox"), ((F.floor(F.col("n_nationkey") / 5) - 2) * 0.9).alias("oy"))
 
 

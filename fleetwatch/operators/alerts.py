@@ -35,7 +35,11 @@ def burst_summary(alerts: DataFrame, starts: DataFrame | None = None, window_s:
     origin = F.lit(0).cast("long")
     rows = alerts
     if starts is not None:
-        rows = alerts.join(starts.groupBy("robot_id").agg(F.min(F.unix_micros("started")).alias("_o")), "robot_id")
+        # a robot without a start counts from its first alert
+        first = alerts.groupBy("robot_id").agg(F.min(us).alias("_f"))
+        begun = starts.groupBy("robot_id").agg(F.min(F.unix_micros("started")).alias("_o"))
+        begun = first.join(begun, "robot_id", "left").select("robot_id", F.coalesce("_o", "_f").alias("_o"))
+        rows = alerts.join(begun, "robot_id")
         origin = F.col("_o")
     width = int(window_s * 1_000_000)
     rows = rows.withColumn("_w", F.floor((us - origin) / width) * width + origin)

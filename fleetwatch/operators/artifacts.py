@@ -16,25 +16,29 @@ def sign_artifacts(files: DataFrame, key: bytes) -> DataFrame:
     )
 
 
-def with_sidecars(listing: DataFrame) -> DataFrame:
-    """Joins ``binaryFile`` rows with the sidecar text found beside them."""
-    notes = listing.where(F.col("path").endswith(SIDECAR)).select(
-        F.expr(f"left(path, length(path) - {len(SIDECAR)})").alias("path"),
-        F.trim(F.col("content").cast("string")).alias("sidecar"),
-    )
+def with_sidecars(listing: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """Joins ``binaryFile`` rows with the sidecar text found beside them, or with given ``notes`` (path, sidecar)."""
+    if notes is None:
+        notes = listing.where(F.col("path").endswith(SIDECAR)).select(
+            F.expr(f"left(path, length(path) - {len(SIDECAR)})").alias("path"),
+            F.trim(F.col("content").cast("string")).alias("sidecar"),
+        )
     return listing.where(~F.col("path").endswith(SIDECAR)).join(notes, "path", "left")
 
 
+def hashed(files: DataFrame, key: bytes) -> DataFrame:
+    """(path, expected): the keyed hash of each file's content."""
+    return files.select("path", hmac_sha256(F.col("content"), key, binary=True).alias("expected"))
+
+
+def verdict_of(expected: Column, sidecar: Column) -> Column:
+    """ok, tampered, unsigned, or too_large where content was not readable."""
+    return F.when(expected.isNull(), "too_large").when(sidecar.isNull(), "unsigned").when(sidecar == expected, "ok").otherwise("tampered")
+
+
 def verify_artifacts(files: DataFrame, key: bytes) -> DataFrame:
     """Adds ``verdict``: ok, tampered, unsigned, or too_large where content was not readable."""
-    want = hmac_sha256(F.col("content"), key, binary=True)
-    verdict = (
-        F.when(F.col("content").isNull(), "too_large")
-        .when(F.col("sidecar").isNull(), "unsigned")
-        .when(F.col("sidecar") == want, "ok")
-        .otherwise("tampered")
-    )
-    return files.withColumn("verdict", verdict)
+    return files.withColumn("verdict", verdict_of(hmac_sha256(F.col("content"), key, binary=True), F.col("sidecar")))
 
 
 def load_policy(verdict: Column, strict: bool) -> Column:

@@ -28,7 +28,7 @@ def physics(cmd: DataFrame, tl: Timeline | None = None, lin_max: float = LIN_MAX
         last5 = w.rowsBetween(-4, 0)
         return {"max_lin": F.max(F.abs("v_lin")).over(last5), "max_ang": F.max(F.abs("v_ang")).over(last5)}
 
-    return tl.frame(cmd, 4, build).withColumn("d1", (F.col("max_lin") > lin_max) | (F.col("max_ang") > ang_max))
+    return tl.frame(cmd, 4, build).withColumn("d1", F.coalesce(F.col("max_lin") > lin_max, F.lit(False)) | F.coalesce(F.col("max_ang") > ang_max, F.lit(False)))
 
 
 def direction_conflict(cmd: DataFrame, tl: Timeline | None = None, share: float = DIRECTION_SHARE) -> DataFrame:
@@ -54,7 +54,7 @@ def scan_motion(scan: DataFrame, tl: Timeline | None = None, repeat: float = REP
     usable = (
         scan.withColumn("_g", gate_scan(F.col("ranges"), min_points=min_points))
         .where("_g.usable")
-        .withColumn("ranges", F.col("_g.ranges"))
+        .withColumns({"ranges": F.col("_g.ranges"), "oversize": F.col("_g.oversize")})
         .drop("_g")
     )
     pairs = tl.previous(usable, {"_prev": "ranges"})
@@ -131,21 +131,34 @@ def latched(at_ticks: DataFrame, tl: Timeline | None = None) -> DataFrame:
     return seen.withColumn("d5_new", F.col("d5") & ~again).drop("_d5", "_beat")
 
 
-def beat_cadence(beats: DataFrame, period: float = 2.0, tl: Timeline | None = None) -> DataFrame:
-    """Beats that came more than two periods after the one before, with the missed count."""
+def beat_cadence(beats: DataFrame, period: float = 2.0, tl: Timeline | None = None, ticks: DataFrame | None = None) -> DataFrame:
+    """Beats that the next one, or with ``ticks`` the robot's last tick (``open``), follows by more than two periods."""
     tl = tl or Timeline.of(beats, "robot_id", ORDER)
-    seen = tl.previous(beats, {"_p": "recv_ts"})
-    gap = (F.unix_micros("recv_ts") - F.unix_micros("_p")) / 1e6
+    seen = _with_end(tl.following(beats, {"until": "recv_ts"}), ticks, "until")
+    gap = (F.unix_micros("until") - F.unix_micros("recv_ts")) / 1e6
     late = seen.withColumn("gap_s", gap).where(F.col("gap_s") > 2 * period)
-    return late.withColumn("missed", (F.floor(F.col("gap_s") / period) - 1).cast("long")).drop("_p")
+    return late.withColumn("missed", (F.floor(F.col("gap_s") / period) - 1).cast("long"))
+
+
+def _with_end(rows: DataFrame, ticks: DataFrame | None, column: str) -> DataFrame:
+    """``column`` filled with the robot's last tick where it is null, and ``open`` there."""
+    if ticks is None:
+        return rows.withColumn("open", F.lit(False))
+    last = ticks.groupBy("robot_id").agg(F.max("tick_ts").alias("_end"))
+    ended = rows.join(last, "robot_id", "left").withColumn("open", F.col(column).isNull())
+    return ended.withColumn(column, F.coalesce(column, "_end")).drop("_end")
+
 
+def silent_scans(scan: DataFrame, limit_s: float = 1.0, tl: Timeline | None = None, ticks: DataFrame | None = None) -> DataFrame:
+    """Intervals without a scan for more than ``limit_s``: (robot_id, since, until, gap_s, open).
 
-def silent_scans(scan: DataFrame, limit_s: float = 1.0, tl: Timeline | None = None) -> DataFrame:
-    """Intervals without a scan for more than ``limit_s``: (robot_id, since, until, gap_s)."""
+    With ``ticks`` (robot_id, tick_ts) the silence after a robot's last scan
+    counts up to its last tick, as ``open``.
+    """
     tl = tl or Timeline.of(scan, "robot_id", ORDER)
-    seen = tl.following(scan.select("robot_id", *ORDER), {"until": "recv_ts"})
+    seen = _with_end(tl.following(scan.select("robot_id", *ORDER), {"until": "recv_ts"}), ticks, "until")
     gap = (F.unix_micros("until") - F.unix_micros("recv_ts")) / 1e6
-    return seen.select("robot_id", F.col("recv_ts").alias("since"), "until", gap.alias("gap_s")).where(F.col("gap_s") > limit_s)
+    return seen.select("robot_id", F.col("recv_ts").alias("since"), "until", gap.alias("gap_s"), "open").where(F.col("gap_s") > limit_s)
 
 
 def vote(at_ticks: DataFrame, detectors=("d1", "d2", "d3", "d4", "d5", "d6"), strong=("d4", "d5"), need: int = VOTES) -> DataFrame:
@@ -227,8 +240,6 @@ def seen_frames_skipped(scan: DataFrame, tl: Timeline | None = None) -> DataFram
     return tl.previous(scan, {"_p": "stamp_s"}).where(~F.col("stamp_s").eqNullSafe(F.col("_p"))).drop("_p")
 
 
-
-
 def frame_repeat(scan: DataFrame, tl: Timeline | None = None, min_points: int = 50) -> DataFrame:
     """``repeated``: the frame equals the last accepted one.
 

@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 
 # The default allow-lists, waypoints and obstacles of one arena.
-DEFAULT_WHITELIST = """
-bt_navigator planner_server controller_server map_server amcl behavior_server waypoint_follower velocity_smoother
-lifecycle_manager_navigation lifecycle_manager_localization robot_state_publisher joint_state_publisher rviz2 rviz
-cartographer_node cartographer_occupancy_grid_node turtlebot3_node turtlebot3_fake_node diff_drive_controller
-teleop_keyboard turtlebot3_patrol_server my_nav_client dds_security_monitor patrol_node ros_gz_bridge ros_gz_image
-ros_gz_point_cloud ros_gz_sim gazebo gzserver gzclient route_server smoother_server collision_monitor docking_server
-nav2_container nav_to_pose_client sensor_hub_node mission_manager_node system_status_node intelligent_defense_node
-mission_manager monitor_node burger_env_top
-""".split()
+DEFAULT_WHITELIST = [
+    "bt_navigator", "planner_server", "controller_server", "map_server", "amcl", "behavior_server",
+    "waypoint_follower", "velocity_smoother", "lifecycle_manager_navigation", "lifecycle_manager_localization",
+    "robot_state_publisher", "joint_state_publisher", "rviz2", "rviz", "cartographer_node",
+    "cartographer_occupancy_grid_node", "turtlebot3_node", "turtlebot3_fake_node", "diff_drive_controller",
+    "teleop_keyboard", "turtlebot3_patrol_server", "my_nav_client", "dds_security_monitor", "patrol_node",
+    "ros_gz_bridge", "ros_gz_image", "ros_gz_point_cloud", "ros_gz_sim", "gazebo", "gzserver", "gzclient",
+    "route_server", "smoother_server", "collision_monitor", "docking_server", "nav2_container", "nav_to_pose_client",
+    "sensor_hub_node", "mission_manager_node", "system_status_node", "intelligent_defense_node", "mission_manager",
+    "monitor_node", "burger_env_top",
+]
 DEFAULT_TOPIC_ALLOW = {
-    "/cmd_vel": "burger_env_top teleop_keyboard patrol_node dds_security_monitor intelligent_defense_node".split(),
-    "/scan": "ros_gz_bridge parameter_bridge hokuyo_driver rplidar_node ldlidar_node urg_node".split(),
-    "/odom": "ros_gz_bridge parameter_bridge turtlebot3_node diff_drive_controller gazebo".split(),
-    "/imu": "ros_gz_bridge parameter_bridge turtlebot3_node gazebo".split(),
+    "/cmd_vel": ["burger_env_top", "teleop_keyboard", "patrol_node", "dds_security_monitor", "intelligent_defense_node"],
+    "/scan": ["ros_gz_bridge", "parameter_bridge", "hokuyo_driver", "rplidar_node", "ldlidar_node", "urg_node"],
+    "/odom": ["ros_gz_bridge", "parameter_bridge", "turtlebot3_node", "diff_drive_controller", "gazebo"],
+    "/imu": ["ros_gz_bridge", "parameter_bridge", "turtlebot3_node", "gazebo"],
 }
 DEFAULT_WAYPOINTS = [
     ("default", 0, "power control room", -1.5, -1.5),
@@ -81,10 +83,37 @@ def read_episodes(spark, path, fmt="csv", **kw) -> DataFrame:
 
 
 def read_artifacts(spark: SparkSession, glob: str) -> DataFrame:
-    """Files and their sidecars as (path, content, sidecar)."""
-    from ..operators.artifacts import with_sidecars
+    """Files and their sidecars as (path, content, sidecar); content is null for files above Spark's binary limit."""
+    from ..operators.artifacts import SIDECAR, with_sidecars
+
+    files, large = sized_files(spark, glob)
+    listing = files.select("path", "content").unionByName(large.withColumn("content", F.lit(None).cast("binary")))
+    return with_sidecars(listing.where(~F.col("path").endswith(SIDECAR)), sidecars(spark, glob))
+
+
+def sized_files(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
+    """Files whose content can be read, and the paths of larger ones; the limit on length is pushed to the listing."""
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+    files = spark.read.format("binaryFile").load(glob)
+    return files.where(F.col("length") <= most), files.where(F.col("length") > most).select("path")
+
+
+def sidecars(spark: SparkSession, glob: str) -> DataFrame:
+    """(path, sidecar) of the notes beside the files."""
+    from ..operators.artifacts import SIDECAR
+
+    notes = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SIDECAR}").load(glob)
+    return notes.select(F.expr(f"left(path, length(path) - {len(SIDECAR)})").alias("path"), F.trim(F.col("content").cast("string")).alias("sidecar"))
+
+
+def check_artifacts(spark: SparkSession, glob: str, key: bytes) -> DataFrame:
+    """(path, verdict): files are hashed where they are read, and only hashes are joined with the notes."""
+    from ..operators.artifacts import SIDECAR, hashed, verdict_of
 
-    return with_sidecars(spark.read.format("binaryFile").load(glob).select("path", "content"))
+    files, large = sized_files(spark, glob)
+    mine = hashed(files.where(~F.col("path").endswith(SIDECAR)).select("path", "content"), key)
+    mine = mine.unionByName(large.where(~F.col("path").endswith(SIDECAR)).withColumn("expected", F.lit(None).cast("string")))
+    return mine.join(sidecars(spark, glob), "path", "left").select("path", verdict_of(F.col("expected"), F.col("sidecar")).alias("verdict"))
 
 
 def defaults(spark: SparkSession, kind: str) -> DataFrame:

@@ -35,8 +35,36 @@ class Cooldown:
         return out, last
 
 
+def above(a: float | None, b: float) -> bool:
+    """a > b as Spark compares: NaN is above every number, null above none."""
+    return a is not None and (math.isnan(a) or a > b)
+
+
+def below(a: float | None, b: float) -> bool:
+    return a is not None and not math.isnan(a) and a < b
+
+
+def largest(values) -> float | None:
+    """The largest of what isn't null; NaN if there is one."""
+    some = [v for v in values if v is not None]
+    return next((v for v in some if math.isnan(v)), max(some, default=None))
+
+
+def mean(values) -> float | None:
+    some = [v for v in values if v is not None]
+    return sum(some) / len(some) if some else None
+
+
+def size_of(v: float | None) -> float | None:
+    return None if v is None else abs(v)
+
+
 class LastRows:
-    """Window values over the last commands, one output per command."""
+    """Window values over the last commands, one output per command.
+
+    Null velocities count as rows but have no value; a NaN one breaks a limit
+    and counts as forward, as in the batch plan.
+    """
 
     schema = "t long, seq long, max_lin double, max_ang double, d1 boolean, d2 boolean, cmd5 double, speed10 double"
     cols = ("seq", "v_lin", "v_ang")
@@ -52,12 +80,12 @@ class LastRows:
         for t, seq, lin, ang in rows:
             last = [*last, [lin, ang]][-D.HISTORY:]
             five, n = last[-5:], len(last)
-            max_lin, max_ang = max(abs(r[0]) for r in five), max(abs(r[1]) for r in five)
-            fwd, bwd = sum(r[0] > D.DIRECTION_DEAD for r in last), sum(r[0] < -D.DIRECTION_DEAD for r in last)
+            max_lin, max_ang = largest(size_of(r[0]) for r in five), largest(size_of(r[1]) for r in five)
+            fwd, bwd = sum(above(r[0], D.DIRECTION_DEAD) for r in last), sum(below(r[0], -D.DIRECTION_DEAD) for r in last)
             d2 = n >= 10 and fwd / n >= self.share and bwd / n >= self.share
             ten = last[-10:]
-            out.append((t, seq, max_lin, max_ang, max_lin > self.lin_max or max_ang > self.ang_max, d2,
-                        sum(r[0] for r in five) / len(five), sum(abs(r[0]) for r in ten) / len(ten)))
+            out.append((t, seq, max_lin, max_ang, above(max_lin, self.lin_max) or above(max_ang, self.ang_max), d2,
+                        mean(r[0] for r in five), mean(size_of(r[0]) for r in ten)))
         return out, last
 
 
@@ -188,7 +216,7 @@ class Detectors:
                 made, s["cmd"] = self.commands.run([(t, 0, a, b)], s["cmd"])
                 s["c"] = [made[0][4], made[0][5], made[0][6]]
             elif kind == "odom":
-                s["odo"] = [*s["odo"], abs(a)][-10:]
+                s["odo"] = [*s["odo"], size_of(a)][-10:]
             elif kind == "scan":
                 made, s["scan"] = self.frames.run([(t, 0, ranges)], s["scan"])
                 if made:
@@ -208,9 +236,9 @@ class Detectors:
         d5 = s["beat"] is not None and t - s["beat"] > self.timeout
         d6 = False
         if len(s["odo"]) >= 10 and frames >= 5:
-            speed = sum(s["odo"]) / 10
-            d6 = (speed > self.moving and (diff2 or 0.0) < self.still) or (
-                len(s["cmd"]) >= 5 and cmd5 > self.moving and speed < self.frozen
+            speed = mean(s["odo"])
+            d6 = (above(speed, self.moving) and (diff2 or 0.0) < self.still) or (
+                len(s["cmd"]) >= 5 and above(cmd5, self.moving) and below(speed, self.frozen)
             )
         new = d5 and not s["latched"]
         s["latched"] = s["latched"] or d5

@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Pandas can't tell null from NaN in a number column, so a flag goes with each.
+NAN = "_nan_"
+
 
 def _tuples(pdf: pd.DataFrame, names: Sequence[str]) -> list[tuple]:
+    """Rows as tuples; null is None, and NaN stays NaN where its flag column says so."""
     cols = []
     for n in names:
         c = pdf[n]
-        cols.append(c.astype(object).where(c.notna(), None).tolist() if c.isna().any() else c.tolist())
+        values = c.astype(object).where(c.notna(), None).tolist() if c.isna().any() else c.tolist()
+        if NAN + n in pdf:
+            values = [math.nan if f else v for v, f in zip(values, pdf[NAN + n])]
+        cols.append(values)
     return list(zip(*cols))
 
 
@@ -31,6 +39,8 @@ def run_stream(df: DataFrame, key, ts: str, machine, watermark: str = "12 second
     ties = [c for c in order if c not in machine.cols]
     src = df.withWatermark(ts, watermark).withColumn("t", F.unix_micros(ts))
     src = src.select(*dict.fromkeys([*key, ts, "t", *ties, *machine.cols]))
+    floats = [c for c in machine.cols if isinstance(src.schema[c].dataType, T.FractionalType)]
+    src = src.withColumns({NAN + c: F.coalesce(F.isnan(c), F.lit(False)) for c in floats if not isinstance(src.schema[c].dataType, T.DecimalType)})
     fed = ["t", *machine.cols]
     own = T._parse_datatype_string(machine.schema).fields
     out_schema = T.StructType([*[T.StructField(k, src.schema[k].dataType) for k in key], *own])

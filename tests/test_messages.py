@@ -149,3 +149,26 @@ def test_sources_and_sinks(spark, tmp_path):
     head = next((tmp_path / "out" / "run_id=a").glob("*.csv")).read_text().splitlines()[0]
     assert head == "episode,seed,reward,steps,spl,success,collision,timeout,wp_done,clearance"
     assert len(readers.defaults(spark, "obstacles").collect()) == 9 and readers.defaults(spark, "waypoints").count() == 5
+
+
+def test_files_above_the_limit_are_told_and_the_rest_is_judged(spark, tmp_path):
+    for name, data in (("small", b"x" * 10), ("bare", b"y"), ("large", b"z" * 5000)):
+        (tmp_path / name).write_bytes(data)
+        if name != "bare":
+            (tmp_path / f"{name}{R.SIDECAR}").write_text(hmac.new(KEY, data, hashlib.sha256).hexdigest())
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        got = {r.path.rsplit("/", 1)[1]: r.verdict for r in readers.check_artifacts(spark, str(tmp_path), KEY).collect()}
+        assert got == {"small": "ok", "bare": "unsigned", "large": "too_large"}
+        got = {r.path.rsplit("/", 1)[1]: r.verdict for r in R.verify_artifacts(readers.read_artifacts(spark, str(tmp_path)), KEY).collect()}
+        assert got == {"small": "ok", "bare": "unsigned", "large": "too_large"}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_alerts_of_a_robot_without_a_start_are_counted(spark):
+    rows = [("a", 100, 1, "n1", False), ("b", 205, 2, "n2", False), ("b", 220, 3, "n3", False), ("b", 240, 4, "n4", False)]
+    alerts = spark.createDataFrame(rows, "robot_id string, s long, seq long, node string, is_exit boolean").select("robot_id", F.timestamp_seconds("s").alias("recv_ts"), "seq", "node", "is_exit")
+    starts = spark.createDataFrame([("a", 95)], "robot_id string, s long").select("robot_id", F.timestamp_seconds("s").alias("started"))
+    got = sorted((r.robot_id, r.window_start, r.total) for r in A.burst_summary(alerts, starts).select("robot_id", F.unix_seconds("window_start").alias("window_start"), "total").collect())
+    assert got == [("a", 95, 1), ("b", 205, 2), ("b", 235, 1)]

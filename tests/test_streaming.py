@@ -247,3 +247,27 @@ def test_sinks(spark, events):
     stream_batches(stream, f"{path}/out2", f"{path}/c2").awaitTermination(120)
     assert spark.read.parquet(f"{path}/out").count() == rows.count()
     assert spark.read.parquet(f"{path}/out2").count() == rows.count()
+
+
+def test_bad_numbers_on_a_stream_equal_the_batch(spark):
+    nan, inf = float("nan"), float("inf")
+    speeds = [0.1, nan, None, 0.2, inf, -inf, 0.0, None, None, None, None, None, 0.1, -0.1, 0.3, nan, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, -0.2, -0.2, -0.2]
+    rows = [(r, 1000 + 10 * i, i, speeds[(i + s) % len(speeds)], speeds[(i * s) % len(speeds)]) for s, r in enumerate("abc", 1) for i in range(60)]
+    cmd = spark.createDataFrame(rows, "robot_id string, s long, seq long, v_lin double, v_ang double").select("robot_id", F.timestamp_seconds("s").alias("recv_ts"), "seq", "v_lin", "v_ang")
+    stream, path = feed(spark, cmd, "recv_ts", parts=4)
+    got = drain(spark, run_stream(stream, "robot_id", "recv_ts", SM.LastRows(), "1 hour"), path)
+    want = D.direction_conflict(D.physics(cmd))
+    assert want.where("d1").count() and want.where("NOT d1").count()
+    assert lines(got, "robot_id", "seq", "d1", "d2") == lines(want, "robot_id", "seq", "d1", "d2")
+    rows = [(t, "odom", v, None, None, None) for t, v in enumerate([nan, None] * 6)] + [(100, "cmd", None, nan, None, None), (200, "tick", None, None, None, None)]
+    out, _ = SM.Detectors().run([(t * 1_000_000, *r) for t, *r in rows], SM.Detectors().initial())
+    assert out[0][1] is True and out[0][2] is False
+
+
+def test_open_silence_and_missing_beats(spark):
+    rows = [("stops", 1000 + i, i) for i in range(10)] + [("goes on", 1000 + i, 100 + i) for i in range(60)]
+    scan = spark.createDataFrame(rows, "robot_id string, s long, seq long").select("robot_id", F.timestamp_seconds("s").alias("recv_ts"), "seq")
+    ticks = spark.createDataFrame([(r, 1059) for r in ("stops", "goes on")], "robot_id string, s long").select("robot_id", F.timestamp_seconds("s").alias("tick_ts"))
+    assert [(r.robot_id, r.gap_s, r.open) for r in D.silent_scans(scan, 1.0, ticks=ticks).collect()] == [("stops", 50.0, True)]
+    assert [(r.robot_id, r.missed, r.open) for r in D.beat_cadence(scan, 2.0, ticks=ticks).collect()] == [("stops", 24, True)]
+    assert D.silent_scans(scan, 1.0).count() == 0
