@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import checkpointed
+from ..session import checkpointed, ship
 from .timeline import Timeline, axis_of
 
 
@@ -73,6 +73,7 @@ def _walk(df: DataFrame, group: Sequence[str], order: Sequence[str], machine, ex
         if exits and key is not None:
             yield pack([(*key, entry, json.dumps(state))])
 
+    ship(df.sparkSession)
     sorted_rows = df.repartition(*group).sortWithinPartitions(*group, *order)
     wanted = [*dict.fromkeys([*group, *fed, *(["_in"] if seeded else [])])]
     return sorted_rows.select(*wanted).mapInArrow(walk, schema)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import ship
+
 #: Pandas can't tell null from NaN in a number column, so a flag goes with each.
 NAN = "_nan_"
 
@@ -72,4 +74,5 @@ def run_stream(df: DataFrame, key, ts: str, machine, watermark: str = "12 second
             yield pack(k, rows)
 
     timeout = GroupStateTimeout.NoTimeout if idle_s is None else GroupStateTimeout.EventTimeTimeout
+    ship(df.sparkSession)
     return src.groupBy(*key).applyInPandasWithState(step, out_schema, "state string", "append", timeout)
