@@ -63,17 +63,17 @@ def burst_summary(alerts: DataFrame, starts: DataFrame | None = None, window_s:
     )
 
 
-def notify(alerts: DataFrame, window_s: int = 30, limit_s: float = 15.0, cap: int = 256, shown: int = 10) -> DataFrame:
+def notify(alerts: DataFrame, window_s: int = 30, limit_s: float = 15.0, cap: int = 256, shown: int = 10, starts: DataFrame | None = None) -> DataFrame:
     """Leading edge at once, the rest in bursts: (robot_id, sent_ts, kind, total, rate_limited).
 
-    A summary is sent at the end of its window. ``rate_limited`` marks what the
+    Bursts count from ``starts`` (robot_id, started), or from the epoch. A summary is sent at the end of its window. ``rate_limited`` marks what the
     push limit would swallow.
     """
     tl = Timeline.of(alerts, "robot_id", ORDER)
     edge = checkpointed(thin(alerts, tl, window_s, mark="_edge"))
     now = edge.where("_edge").select("robot_id", F.col("recv_ts").alias("sent_ts"), F.lit("immediate").alias("kind"),
                                      F.lit(1).cast("long").alias("total"), "seq")
-    late = burst_summary(edge.where("not _edge"), None, window_s, cap, shown).select(
+    late = burst_summary(edge.where("not _edge"), starts, window_s, cap, shown).select(
         "robot_id", F.timestamp_micros(F.unix_micros("window_start") + window_s * 1_000_000).alias("sent_ts"),
         F.lit("summary").alias("kind"), "total", F.lit(-1).cast("long").alias("seq"),
     )

@@ -64,10 +64,11 @@ def rolling_scores(episodes: DataFrame, n: int = 100, order=("episode",)) -> Dat
         }
 
     scores = tl.frame(episodes, n - 1, build)
-    real = episodes.where(finite(F.col("clearance"))).select("run_id", *order, "clearance")
-    means = tl.frame(real, n - 1, lambda w: {"_clear": F.avg("clearance").over(w.rowsBetween(1 - n, 0))}).drop("clearance")
-    joined = scores.join(means, ["run_id", *order], "left")
-    return tl.running(joined, {"mean_clearance": ("last", F.col("_clear"))}).drop("_clear")
+    # finite and other rows are windowed apart; the last finite row's mean is carried on
+    marked = scores.withColumn("_fin", F.coalesce(finite(F.col("clearance")), F.lit(False)))
+    means = tl.within("_fin").frame(marked, n - 1, lambda w: {"_clear": F.avg("clearance").over(w.rowsBetween(1 - n, 0))})
+    means = means.withColumn("_clear", F.when(F.col("_fin"), F.col("_clear")))
+    return tl.running(means, {"mean_clearance": ("last", F.col("_clear"))}).drop("_clear", "_fin")
 
 
 def best_so_far(scores: DataFrame, metric: str, eligible: Column, order=("episode",)) -> DataFrame:

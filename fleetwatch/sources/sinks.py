@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 
 from ..schemas import EVAL
@@ -34,10 +36,11 @@ def stream_table(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet"
 
 
 def stream_batches(df: DataFrame, path: str, checkpoint: str, mode: str = "append", **trigger):
-    """Writes every micro-batch under its number, so a repeated batch replaces itself."""
+    """Writes every micro-batch under its checkpoint's name and its number: a repeated batch replaces itself, and no other run's."""
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
 
     out = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(put)
     return out.trigger(**(trigger or {"availableNow": True})).start()
