@@ -89,7 +89,7 @@ def _halves(data: bytes) -> tuple[int, int]:
 
 
 def _pieces(strings: DataFrame, step: int) -> DataFrame:
-    """Windows of large families' strings by blocks of ``step`` places from the anchor.
+    """Windows of large families' strings (those of ``parts``) by blocks of ``step`` places from the anchor.
 
     A piece is what one string has in a block. It comes with hashes of the
     bytes that all windows of the block have in common, whichever of them the
@@ -99,20 +99,21 @@ def _pieces(strings: DataFrame, step: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for g, s, t, copies, n, lead, data in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                j = 0
-                while j < n:
-                    place = lead - j
-                    block = place // step
-                    count = min(place - block * step + 1, n - j)
-                    at = lead - block * step
-                    core = _halves(data[at : at - step + 1 + WINDOW])
-                    out.append((g, s, t, copies, block, place, count, *core, *(core if step == 1 else _halves(data[j : j + count - 1 + WINDOW])), j))
-                    j += count
+            for g, s, t, copies, lead, data, parts in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                for part in parts:
+                    j, end = part["first"], part["first"] + part["count"]
+                    while j < end:
+                        place = lead - j
+                        block = place // step
+                        count = min(place - block * step + 1, end - j)
+                        at = lead - block * step
+                        core = _halves(data[at : at - step + 1 + WINDOW])
+                        out.append((g, s, t, copies, block, place, count, *core, *(core if step == 1 else _halves(data[j : j + count - 1 + WINDOW])), j))
+                        j += count
             columns = list(zip(*out)) or [[]] * len(PIECE_NAMES)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], PIECE_NAMES)
 
-    return strings.select("g", "s", "t", "copies", "n", "lead", "bytes").mapInArrow(run, ", ".join(f"{n} long" for n in PIECE_NAMES))
+    return strings.select("g", "s", "t", "copies", "lead", "bytes", "parts").mapInArrow(run, ", ".join(f"{n} long" for n in PIECE_NAMES))
 
 
 def _judged(pieces: DataFrame) -> DataFrame:
@@ -125,19 +126,16 @@ def _judged(pieces: DataFrame) -> DataFrame:
 
 def _divided_ranges(strings: DataFrame) -> DataFrame:
     """The same as :func:`_array_ranges` for large families, by counting: runs of windows first, single ones where runs differ."""
-    runs = saved(_judged(saved(_pieces(strings, STEP), "window-runs")), "judged-runs")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n").alias("count")))
+    runs = saved(_judged(saved(_pieces(strings.withColumn("parts", whole), STEP), "window-runs")), "judged-runs")
     sure = runs.where("same").select("g", "s", "t", "first", (F.col("first") + F.col("count") - 1).alias("last"))
-    parts = runs.where("NOT same").select("g", "s", "t", "first", "count")
-    again = strings.join(parts, ["g", "s", "t"]).select(
-        "g", "s", "t", "copies", F.col("count").alias("n"), (F.col("lead") - F.col("first")).alias("lead"), F.expr(f"substring(bytes, cast(first + 1 as int), cast(count + {WINDOW - 1} as int))").alias("bytes"))
-    single = _judged(_pieces(saved(again, "open-runs"), 1)).select("g", "s", "t", "place")
-    found = single.join(strings.select("g", "s", "t", "lead"), ["g", "s", "t"])
-    at = F.col("lead") - F.col("place")
-    return sure.unionByName(found.select("g", "s", "t", at.alias("first"), at.alias("last")))
+    parts = runs.where("NOT same").groupBy("g", "s", "t").agg(F.collect_list(F.struct("first", "count")).alias("parts"))
+    single = _judged(saved(_pieces(strings.join(parts, ["g", "s", "t"]), 1), "single-windows"))
+    return sure.unionByName(single.select("g", "s", "t", "first", F.col("first").alias("last")))
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
-    """(k1, k2, first, last): runs of starts of WINDOW-byte strings that stand anywhere else.
+    """(k1, k2, found): runs (first, last) of starts of WINDOW-byte strings that stand anywhere else, in one or more rows.
 
     Equal strings have equal anchors and lie equally around them, so only
     strings of one family (anchor) need comparing. A string that stands several
@@ -152,11 +150,13 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     families = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.count(F.when(F.col("copies") == 1, 1)).alias("once")).where("kinds > 1 AND once > 0")
     wanted = kinds.join(families, "g").select("g", "s", "t", "copies", "at.*", (F.col("kinds") > FAMILY).alias("many"))
     strings = saved(_fetched(texts, wanted), "open-strings")
-    ranges = _array_ranges(strings.where("NOT many")).unionByName(_divided_ranges(strings.where("many"))).distinct()
+    ranges = _array_ranges(strings.where("NOT many")).unionByName(_divided_ranges(strings.where("many")))
+    ranges = ranges.groupBy("g", "s", "t").agg(F.collect_set(F.struct("first", "last")).alias("found"))
     once = kinds.where("copies = 1").select("g", "s", "t", "at.k1", "at.k2", "at.start").join(ranges, ["g", "s", "t"])
-    once = once.select("k1", "k2", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
+    moved = F.transform("found", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["last"]).alias("last")))
     often = some.join(kinds.where("copies > 1").select("g", "s", "t"), ["g", "s", "t"], "left_semi")
-    return once.unionByName(often.select("k1", "k2", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1).alias("last")))
+    all_of_it = F.array(F.struct(F.col("start").alias("first"), (F.col("start") + F.col("n") - 1).alias("last")))
+    return once.select("k1", "k2", moved.alias("found")).unionByName(often.select("k1", "k2", all_of_it.alias("found")))
 
 
 def spans(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -183,7 +183,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     k1, k2 = row_keys(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     source = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    found = saved(repeated_windows(source.select("k1", "k2", "text")).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("found")), "repeated")
+    found = saved(repeated_windows(source.select("k1", "k2", "text")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("found")).alias("found")), "repeated")
     both = source.join(found.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "found")
     kind = source.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, removed array<struct<begin:long,end:long>>" if keep_bytes else "")
