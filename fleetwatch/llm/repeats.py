@@ -59,7 +59,14 @@ def _array_ranges(strings: DataFrame) -> DataFrame:
     """(g, s, t, first, last): windows of each string of small families that stand elsewhere, from the families' suffix arrays."""
     def ranges(family):
         groups = maximal_repeats([f[3] for f in family], WINDOW, max(len(f[3]) for f in family))
-        return {(*family[i][:3], p, p + length - WINDOW) for length, owner, place in groups for i, p in zip(owner.tolist(), place.tolist())}
+        places = sorted({(i, p, p + length - WINDOW) for length, owner, place in groups for i, p in zip(owner.tolist(), place.tolist())})
+        runs: list[list[int]] = []
+        for i, first, last in places:  # repeats within and beside each other make one run of starts
+            if runs and runs[-1][0] == i and first <= runs[-1][2] + 1:
+                runs[-1][2] = max(runs[-1][2], last)
+            else:
+                runs.append([i, first, last])
+        return {(*family[i][:3], first, last) for i, first, last in runs}
 
     def run(batches):
         held, size, last = [], 0, None
