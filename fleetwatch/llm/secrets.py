@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -24,7 +26,7 @@ KINDS = ["assign", "access", "hex", "weak_id", "weak_secret", "endpoint"]
 
 #: Weak parts: identifiers, secrets and endpoints that prove nothing alone.
 WEAK_ID = re.compile(r"""\b(?:(?:client|account|tenant|access|user|app)[_-]?(?:id|key|name)|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""", re.I | re.A)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""(?:\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3|sftp)://[^\s"'<>]+|\bendpoint["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws|azure|googleapis)\.com\b)""", re.I | re.A)
 
 
@@ -48,13 +50,8 @@ def weak_parts(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, s
     found += [(m.start(), "weak_secret", m.end()) for m in WEAK_SECRET.finditer(text) if _random_looking(m[0])]
     found += [(m.start(), "endpoint", m.end()) for m in ENDPOINT.finditer(text)]
     found.sort()
-    free, j, reach = [], 0, 0
-    for s, k, e in found:
-        while j < len(base) and base[j][0] < e:
-            reach, j = max(reach, base[j][2]), j + 1
-        if s >= reach:
-            free.append((s, k, e))
-    return free
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max, initial=0))
+    return [(s, k, e) for s, k, e in found if reach[bisect_left(starts, e)] <= s]
 
 
 def _joined(spans) -> str:

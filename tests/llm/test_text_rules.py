@@ -139,6 +139,17 @@ def test_links_equal_brute_force(spark):
         assert r.spans == ",".join(want)
 
 
+def test_parts_of_env_files_and_addresses(spark):
+    secret = "aB3dE5gH7jK9mN1pQ3sT5vW7xY9zA2cD4fG6hJ8k"
+    url = "https://h/cb?client_id=robot7&client_secret=ABCDEFGH12345678"
+    rows = [(1, f"AWS_ACCESS_KEY_ID=AKIAABCDEFGHIJKL\nAWS_SECRET_ACCESS_KEY={secret}"), (2, f"client_id=robot7\nprivate_key={secret}=="), (3, f"private_key={secret}"),
+            (4, url), (5, f"{url} user=bob1 token=ABCDEFGH12345678 https://x.y/z")]
+    got = {r.doc_id: [(k, rows[r.doc_id - 1][1][int(s) : int(e)]) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    weak_id, assign = ("weak_id", "client_id=robot7"), ("assign", "secret=ABCDEFGH12345678")
+    assert got == {1: [("access", "AKIAABCDEFGHIJKL"), ("weak_secret", secret)], 2: [weak_id, ("weak_secret", secret + "==")], 3: [], 4: [weak_id, assign],
+                   5: [weak_id, assign, ("weak_id", "user=bob1"), ("assign", "token=ABCDEFGH12345678"), ("endpoint", "https://x.y/z")]}
+
+
 def luhn(digits):
     return sum(int(d) if i % 2 == 0 else (2 * int(d) - 9 if d > "4" else 2 * int(d)) for i, d in enumerate(reversed(digits))) % 10 == 0
 
