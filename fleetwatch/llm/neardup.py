@@ -13,7 +13,7 @@ from .shingles import mix, shingle_set
 
 BANDS, ROWS = 20, 4
 SLOTS = BANDS * ROWS
-#: Links have 100 * shared >= PERCENT * united shingles.
+#: Links have 100 * shared >= percent * united shingles, by default this.
 PERCENT = 85
 #: Slots in which two linked documents surely agree: six standard errors below the 68 expected at 85 of 100.
 LEAST_AGREED = 49
@@ -60,8 +60,8 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(mix(signature).astype(np.uint16)).view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, f, g, bands) of (doc_id, text): set size, 128-bit fingerprint of the set, band keys (null for empty sets)."""
+def signatures(docs: DataFrame, count: int = BANDS) -> DataFrame:
+    """(doc_id, n_shingles, f, g, bands) of (doc_id, text): set size, 128-bit fingerprint of the set, ``count`` band keys (null for empty sets)."""
     def run(batches):
         for batch in batches:
             n, f, g, bands = [], [], [], []
@@ -71,14 +71,14 @@ def signatures(docs: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     f.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
                     g.append(int(mix(s ^ np.uint64(0xD1B54A32D192ED03)).sum(dtype=np.uint64).view(np.int64)))
-                bands.append(band_keys(super_min_hash(s)) if len(s) else None)
+                bands.append(band_keys(super_min_hash(s, count * ROWS)) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "f", "g", "bands"])
 
     small_batches(docs.sparkSession, BATCH)
     return docs.mapInArrow(run, "doc_id long, n_shingles long, f long, g long, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets are similar enough; ``texts`` is (cid, text)."""
     def run(batches):
         seen: tuple[str | None, np.ndarray] = (None, shingle_set(None))
@@ -90,7 +90,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     seen = (x, shingle_set(x))
                 other = shingle_set(y)
                 shared = len(np.intersect1d(seen[1], other, assume_unique=True))
-                ok.append(100 * shared >= PERCENT * (len(seen[1]) + len(other) - shared) and shared > 0)
+                ok.append(100 * shared >= percent * (len(seen[1]) + len(other) - shared) and shared > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     small_batches(pairs.sparkSession, BATCH)
@@ -103,7 +103,7 @@ def _lanes(bands: pd.Series) -> np.ndarray:
     return np.stack(bands.to_numpy()).astype(np.int64).view(np.uint16).reshape(len(bands), -1)
 
 
-def rest_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+def rest_links(members: DataFrame, texts: DataFrame, percent: int = PERCENT, least_agreed: int = LEAST_AGREED) -> DataFrame:
     """Links between components that meet in a bucket: every such pair is tested, none is written out.
 
     ``members`` is (band, key, leader, cid, component, bands, n_shingles) of
@@ -148,13 +148,13 @@ def rest_links(members: DataFrame, texts: DataFrame) -> DataFrame:
             at_one, at_two = a["component"].to_numpy(), b["component2"].to_numpy()
             for at in range(len(b)):
                 some = np.flatnonzero((keys_one == keys_two[at]).any(1) & (at_one != at_two[at]))
-                some = some[(one[some] == two[at]).sum(1) >= LEAST_AGREED]
+                some = some[(one[some] == two[at]).sum(1) >= least_agreed]
                 for i in some:
                     n, m = len(left_sets[i]), len(right_sets[at])
-                    if 100 * min(n, m) < PERCENT * max(n, m):
+                    if 100 * min(n, m) < percent * max(n, m):
                         continue
                     shared = len(np.intersect1d(left_sets[i], right_sets[at], assume_unique=True))
-                    if 100 * shared >= PERCENT * (n + m - shared):
+                    if 100 * shared >= percent * (n + m - shared):
                         out.append((int(left_ids[i]), int(right_ids[at])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
@@ -172,14 +172,15 @@ def consensus_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, report: dict | None = None) -> DataFrame:
+def groups(docs: DataFrame, report: dict | None = None, percent: int = PERCENT, bands: int = BANDS, least_agreed: int = LEAST_AGREED) -> DataFrame:
     """Near-duplicate groups of documents (doc_id long, text).
 
     Returns doc_id, n_shingles, component_id and kept, one row per input row.
     Documents with the same shingle set are one class, linked by that; classes
-    are linked if 100 * shared >= 85 * united shingles, confirmed on the full
-    sets. Candidates share one of 20 bands of four slots. Within a bucket first
-    the smallest id meets the others, then the most central member of buckets
+    are linked if 100 * shared >= ``percent`` * united shingles, confirmed on
+    the full sets. Candidates share one of ``bands`` bands of four slots, and at
+    last at least ``least_agreed`` slots; both have to suit the percentage, as
+    the defaults suit 85. Within a bucket first the smallest id meets the others, then the most central member of buckets
     that still hold several components, then all that remains; pairs already in
     one component need no test, so no group is expanded into all its pairs.
 
@@ -188,7 +189,7 @@ def groups(docs: DataFrame, report: dict | None = None) -> DataFrame:
     empty table gives an empty result; other columns are ignored.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = saved(signatures(source), "signatures")
+    signed = saved(signatures(source, bands), "signatures")
     named = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = saved(named.groupBy("f", "g").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "classes")
     banded = classes.select("cid", F.posexplode("bands").alias("band", "key"))
@@ -198,7 +199,7 @@ def groups(docs: DataFrame, report: dict | None = None) -> DataFrame:
     inner = members.select("cid").distinct()
     texts = saved(source.join(inner.withColumnRenamed("cid", "doc_id").hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("cid"), "text"), "candidate-texts")
     best = stars.groupBy("b").agg(F.max(F.struct("bands", -F.col("a"), "a"))["a"].alias("a")).select("a", "b")
-    links = saved(confirmed(best, texts), "links")
+    links = saved(confirmed(best, texts, percent), "links")
     tried = best
     flat = classes.select(F.col("cid"))
 
@@ -224,7 +225,7 @@ def groups(docs: DataFrame, report: dict | None = None) -> DataFrame:
         if more is not None:
             more = saved(more, "pairs")
             tried = tried.unionByName(more)
-        new = saved(rest_links(open_, texts) if more is None else confirmed(more, texts), "links")
+        new = saved(rest_links(open_, texts, percent, least_agreed) if more is None else confirmed(more, texts, percent), "links")
         if report is not None:
             report[step] = (0 if more is None else more.count(), new.count())
         if not new.isEmpty():
@@ -238,7 +239,7 @@ def groups(docs: DataFrame, report: dict | None = None) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, least_agreed: int = LEAST_AGREED) -> DataFrame:
     """The documents that :func:`groups` keeps, with all their columns."""
-    gone = groups(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = groups(docs, None, percent, bands, least_agreed).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")

@@ -194,6 +194,25 @@ def test_near_duplicates(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _, _, k in grouped(texts, ids) if k}
 
 
+def test_pipeline_near_duplicates_are_of_080(spark, sf):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    texts, kept, band = [], set(), 0
+    for _ in range(60):
+        a = [word() for _ in range(300)]
+        b = list(a)
+        for at in rnd.sample(range(5, 295), rnd.randrange(5, 9)):
+            b[at] = word()
+        one, two = (set(shingles.shingle_set(" ".join(x)).tolist()) for x in (a, b))
+        share = len(one & two) / len(one | two)
+        kept |= {len(texts)} | ({len(texts) + 1} if share < 0.8 else set())
+        band += 0.8 <= share < 0.85
+        texts += [" ".join(a), " ".join(b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert band > 5 and {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()} == kept
+    assert Counter(tuple(r) for r in neardup.groups(docs).collect()) == grouped(texts, list(range(len(texts))))
+
+
 def test_near_duplicates_of_nothing(spark, odd_documents):
     assert neardup.groups(odd_documents.limit(0)).count() == 0
     rows = neardup.groups(odd_documents).collect()
