@@ -21,6 +21,11 @@ NANP = r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|(?<![0-9])[0-9]{3}[.-])[0-9]{3}[ .-][0-
 PHONE = r"\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?![0-9])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 ANY = "|".join((EMAIL, IP, YMD, DMY, SSN, NANP, PHONE, CARD))
+#: Groups of digits that a card may stand in, up to where another form begins; possessive, as a text may be one long run.
+RUN = rf"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![A-Za-z])(?:(?:-|\x20(?!{EMAIL}|{IP}|{YMD}|{DMY}|{SSN}|{NANP}))[0-9]++(?![A-Za-z]))*+"
+FIRST = "|".join((EMAIL, IP, YMD, DMY, SSN, NANP, PHONE, RUN))
+#: How cards are grouped, as lengths; of those that begin at one place the first with a valid sum is taken.
+SHAPES = ["4 4 4 4 3", "4 4 4 4", "4 3 3 3", "4 6 5", "4 6 4", "4 4 5", "6 13", *map(str, range(19, 12, -1))]
 
 #: Dates permute within the 400 years from here: 146097 = 189 * 773 days.
 FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1800-01-01", 189, 773
@@ -158,6 +163,50 @@ def _email(m: Column, key: str) -> Column:
     return _let(F.transform(F.split(F.substring_index(m, "@", 1), ""), F.ascii), run)
 
 
+TOKEN = "array<struct<t:string,form:boolean>>"
+
+
+def _token(t: Column, form: bool) -> Column:
+    return F.array(F.struct(t.alias("t"), F.lit(form).alias("form")))
+
+
+def _tokens(text: Column, pattern: str, each: Callable[[Column], Column]) -> Column:
+    """The text between the pattern's places, as it is, and what ``each`` makes of those places, in turn."""
+    between, found = F.split(text, F.lit(pattern), -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.zip_with(between, F.transform(found, each), lambda a, b: F.concat(_token(a, False), F.coalesce(b, F.array().cast(TOKEN))))
+    return F.flatten(parts)
+
+
+def _cards(m: Column) -> Column:
+    """Tokens of a run of digit groups: cards of the usual shapes with a valid sum; what is left is searched by ANY."""
+    def run(g):
+        def groups_at(i):  # of the first shape that fits and has a valid sum
+            def fits(shape):
+                n = len(shape.split())
+                here = F.slice(g, i + 1, F.lit(n))
+                lengths = F.array_join(F.transform(here, lambda x: F.length(x).cast("string")), " ")
+                return (lengths == shape) & _let(_digits(F.array_join(here, "")), lambda d: (_luhn(d) % 10 == 0) & F.exists(d, lambda v: v > 0))
+
+            shape = F.filter(F.array(*(F.when(fits(x), len(x.split())) for x in SHAPES)), lambda n: n.isNotNull())
+            return F.when(F.length(F.get(g, i)).isin(4, 6, *range(13, 20)), F.coalesce(F.get(shape, F.lit(0)), F.lit(0))).otherwise(0)
+
+        def step(acc, i):
+            def placed(n):
+                size = F.aggregate(F.slice(g, i + 1, n), n - 1, lambda a, x: a + F.length(x))
+                taken = F.concat(acc["out"], _token(F.substring(m, acc["done"] + 1, acc["at"] - acc["done"]), False), _token(F.substring(m, acc["at"] + 1, size), True))
+                return F.struct(F.when(n > 0, taken).otherwise(acc["out"]).alias("out"), F.when(n > 0, acc["at"] + size).otherwise(acc["done"]).alias("done"),
+                                F.when(n > 0, i + n).otherwise(acc["next"]).alias("next"), (acc["at"] + F.length(F.get(g, i)) + 1).alias("at"))
+
+            return _let(F.when(i < acc["next"], 0).otherwise(groups_at(i)), placed)
+
+        start = F.struct(F.array().cast(TOKEN).alias("out"), F.lit(0).alias("done"), F.lit(0).alias("next"), F.lit(0).alias("at"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step, lambda acc: F.concat(acc["out"], _token(F.substring(m, acc["done"] + 1, F.length(m)), False)))
+
+    shaped = "|".join(" ".join(f"[0-9]{{{n}}}" for n in x.split()).replace(" ", "[ -]") for x in SHAPES)
+    pieces = F.when(m.rlike(f"(?<![0-9])(?:{shaped})(?![0-9])"), _let(F.split(m, "[ -]"), run)).otherwise(_token(m, False))
+    return F.flatten(F.transform(pieces, lambda p: F.when(p["form"], F.array(p)).otherwise(_tokens(p["t"], ANY, lambda x: _token(x, True)))))
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one found string; itself where it isn't valid."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
@@ -182,12 +231,12 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     The key is a literal of the plan: keep event logs private.
     """
     out = docs.select(row_of(docs).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    out = out.withColumn("found", F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), 0)))
-    some = F.size(F.coalesce("found", F.array().cast("array<string>"))) > 0
-    out = out.withColumn("some", some).withColumn("new", F.when(F.col("some"), F.transform("found", lambda m: pseudonym(m, key))))
-    between = F.when(F.col("some"), F.split("text", ANY, -1))
-    glued = F.array_join(F.zip_with(between, F.col("new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))
-    return out.select("row", F.when(F.col("some"), glued).otherwise(F.col("text")).alias("safe_text"),
-                      F.when(F.col("some"), F.size("found")).otherwise(0).cast("long").alias("n_found"),
+    each = lambda m: F.when(m.rlike("^[0-9][0-9 -]*$"), _cards(m)).otherwise(_token(m, True))
+    out = out.withColumn("tokens", F.when(F.col("text").rlike("[0-9@]"), _tokens(F.col("text"), FIRST, each)))
+    out = out.withColumn("some", F.exists(F.coalesce("tokens", F.array().cast(TOKEN)), lambda x: x["form"]))
+    out = out.withColumn("new", F.when(F.col("some"), F.transform("tokens", lambda x: F.when(x["form"], pseudonym(x["t"], key)).otherwise(x["t"]))))
+    found = F.size(F.filter("tokens", lambda x: x["form"]))
+    changed = F.size(F.filter(F.zip_with("tokens", "new", lambda a, b: a["t"] != b), lambda x: x))
+    return out.select("row", F.when(F.col("some"), F.array_join("new", "")).otherwise(F.col("text")).alias("safe_text"),
+                      F.when(F.col("some"), found).otherwise(0).cast("long").alias("n_found"),
                       F.when(F.col("some"), changed).otherwise(0).cast("long").alias("n_replaced"))

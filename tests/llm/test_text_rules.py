@@ -171,6 +171,26 @@ def test_pseudonyms(spark):
     assert other[0] != new[0][0] and pii.pseudonymize(docs.limit(0), "k").count() == 0
 
 
+def test_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    near = [("", " 12/27"), ("", " 123"), ("", " 03/2027"), ("order 12 ", ""), ("12 34 ", " 5 6"), ("1234 ", " 12-27"), ("", " 12/03/2027"), ("", " 10.0.0.1"), ("", " 12x")]
+    texts = [a + c + b for a, b in near for c in (card, card.replace(" ", ""), card.replace(" ", "-"))]
+    texts += [card, "3782 822463 10005 1234", f"{card} 4041894974608795 99", "12345 988-555-2485", f"988-555-2485 {card} 123-45-6789", "411111 1111111111 12345", "1 2 3 4 5 6 " * 5000 + card]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row.doc_id: r for r in pii.pseudonymize(docs, "k").collect()}
+    k = 3 * len(near)
+    safe = got[k].safe_text
+    assert safe != card and luhn(safe.replace(" ", ""))
+    for i, (a, b) in enumerate(near):
+        for j, c in enumerate((safe, safe.replace(" ", ""), safe.replace(" ", "-"))):
+            r = got[3 * i + j]
+            assert r.safe_text.startswith(a + c) and (b in (" 12/03/2027", " 10.0.0.1")) == (not r.safe_text.endswith(c + b)), r
+            assert r.n_replaced == (2 if b in (" 12/03/2027", " 10.0.0.1") else 1)
+    assert got[k + 1].n_replaced == 1 and got[k + 1].safe_text.endswith(" 1234") and got[k + 2].n_replaced == 2 and got[k + 2].safe_text.startswith(safe)
+    assert got[k + 3].n_replaced == 1 and got[k + 3].safe_text.startswith("12345 ") and got[k + 4].n_replaced == 3 and got[k + 5].n_replaced == 1
+    assert got[k + 6].n_replaced == 1 and got[k + 6].safe_text == "1 2 3 4 5 6 " * 5000 + safe
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(189 * 7).select("id", pii.feistel(F.array((F.col("id") / 7).cast("int"), (F.col("id") % 7).cast("int")), F.array(F.lit(189), F.lit(7)), "k", "t").alias("p"))
     got = {tuple(r.p) for r in pairs.collect()}
