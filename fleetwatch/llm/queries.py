@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, lines, mixing, neardup, pii, quality, repeats, secrets, warc
+from . import ann, bpe, lines, mixing, neardup, periodic, pii, quality, repeats, secrets, warc
 from .common import words_of
 
 
@@ -79,7 +79,11 @@ def op10_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op2_suffix_repeats, op3_line_spread, op4_learned_parts, op5_super_minhash, op6_quality_ratio, op7_bpe_automaton, op8_hierarchical_budgets, op9_feistel_pseudonyms, op10_credential_links)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.runs(periodic.with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op2_suffix_repeats, op3_line_spread, op4_learned_parts, op5_super_minhash, op6_quality_ratio, op7_bpe_automaton, op8_hierarchical_budgets, op9_feistel_pseudonyms, op10_credential_links, op13_periodic_runs)}
 SQL = {
     "op1_warc_dictionary": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
