@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import align, ann, bpe, lines, mixing, neardup, periodic, pii, quality, repeats, secrets, warc
+from . import align, ann, bpe, hnsw, lines, mixing, neardup, periodic, pii, quality, repeats, secrets, warc
 from .common import words_of
 
 
@@ -79,6 +79,10 @@ def op10_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_shard_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_copies(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,7 +93,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.runs(periodic.with_planted_runs(_table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op2_suffix_repeats, op3_line_spread, op4_learned_parts, op5_super_minhash, op6_quality_ratio, op7_bpe_automaton, op8_hierarchical_budgets, op9_feistel_pseudonyms, op10_credential_links, op12_token_alignment, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op2_suffix_repeats, op3_line_spread, op4_learned_parts, op5_super_minhash, op6_quality_ratio, op7_bpe_automaton, op8_hierarchical_budgets, op9_feistel_pseudonyms, op10_credential_links, op11_shard_graphs, op12_token_alignment, op13_periodic_runs)}
 SQL = {
     "op1_warc_dictionary": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
