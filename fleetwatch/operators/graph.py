@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.text import full_name, short_name
 from ..plans.replay import thin
@@ -147,11 +147,27 @@ def _rank(topics=WATCHED_TOPICS):
     return out
 
 
-def unauthorised_publishers(publishers: DataFrame, allow: DataFrame, topics=WATCHED_TOPICS) -> DataFrame:
-    """(robot_id, tick_ts, topic, nodes): first watched topic with unlisted publishers."""
-    bad = (
+def unauthorised_publishers(publishers: DataFrame, allow: DataFrame, topics=WATCHED_TOPICS, shown: int | None = None) -> DataFrame:
+    """(robot_id, tick_ts, topic, nodes): first watched topic with unlisted publishers.
+
+    With ``shown`` at most so many names are listed, in order, and ``more`` counts the rest.
+    """
+    strangers = (
         publishers.where((F.col("node_name") != UNKNOWN_PUBLISHER) & F.col("topic").isin(*topics))
         .join(allow.select("topic", "node_name"), ["topic", "node_name"], "left_anti")
+    )
+    if shown is not None:
+        # names are counted before they are ranked: a flood under one name is one row
+        counted = strangers.groupBy("robot_id", "tick_ts", "topic", "node_name").agg(F.count(F.lit(1)).alias("_n"))
+        ahead = W.partitionBy("robot_id", "tick_ts", "topic").orderBy("node_name")
+        ranked = counted.withColumn("_before", F.coalesce(F.sum("_n").over(ahead.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        listed = F.when(F.col("_before") < shown, F.struct("node_name", F.least(F.col("_n"), shown - F.col("_before")).cast("int").alias("n")))
+        bags = ranked.groupBy("robot_id", "tick_ts", "topic").agg(F.array_sort(F.collect_list(listed)).alias("_l"), F.sum("_n").alias("_total"))
+        bags = bags.withColumn("nodes", F.flatten(F.transform("_l", lambda x: F.array_repeat(x["node_name"], x["n"])))).withColumn("more", F.col("_total") - F.size("nodes"))
+        first = bags.groupBy("robot_id", "tick_ts").agg(F.min_by(F.struct("topic", "nodes", "more"), _rank(topics)).alias("_b"))
+        return first.select("robot_id", "tick_ts", "_b.topic", "_b.nodes", "_b.more")
+    bad = (
+        strangers
         .groupBy("robot_id", "tick_ts", "topic")
         .agg(F.array_sort(F.collect_list("node_name")).alias("nodes"))
     )

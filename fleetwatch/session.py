@@ -19,6 +19,7 @@ def local_session(cpus: str | int = "*", name: str = "fleetwatch", **conf: str)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.sql.redaction.string.regex", r"X'[0-9A-F]{128}'|0x[0-9A-Fa-f]{128}")
     )
     for k, v in conf.items():

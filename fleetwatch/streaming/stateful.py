@@ -12,8 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import ship
 
-#: Pandas can't tell null from NaN in a number column, so a flag goes with each.
-NAN = "_nan_"
+#: Pandas can't tell null from NaN in a number column, so a flag goes with each. No leading underscore: named tuples drop those names.
+NAN = "nan_of_"
 
 
 def _tuples(pdf: pd.DataFrame, names: Sequence[str]) -> list[tuple]:
