@@ -292,10 +292,10 @@ class _Episode(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         s = list(self.sums.get()) if self.sums.exists() else [None, 0, None, None, None, None, None, False]
-        late = []
+        late, done = [], s[7] or (s[5] is not None and s[5] <= now * 1000)  # passed, even if its timer comes after these rows
         for pdf in rows:
             for t, step, reward, closing, *last in _tuples(pdf, ["t", "step", "reward", "closing_", *self.last]):
-                if 0 < now * 1000 >= t or s[7]:
+                if done or 0 < now * 1000 >= t:
                     late.append((t, step, reward))
                     continue
                 if reward is not None:
