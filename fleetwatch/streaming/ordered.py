@@ -306,7 +306,7 @@ class _Episode(StatefulProcessor):
                 s[4] = t if s[4] is None else max(s[4], t)
                 if closing:
                     s[5] = t if s[5] is None else max(s[5], t)
-        if s[4] is not None:
+        if s[4] is not None and not done:
             self._arm(s, now)
             self.sums.update(tuple(s))
         if late:
