@@ -109,8 +109,40 @@ def training_guard(rows: DataFrame, **limits) -> DataFrame:
     return _machine(rows, TrainingGuard(**limits))
 
 
-def stuck_events(odom: DataFrame, **limits) -> DataFrame:
-    return _machine(odom, StuckWatch(**limits))
+def stuck_events(odom: DataFrame, gotos: DataFrame | None = None, pauses: DataFrame | None = None, **limits) -> DataFrame:
+    """(robot_id, t, stuck_no, turn) from (robot_id, recv_ts, seq, x, y, arrived).
+
+    ``gotos`` (robot_id, recv_ts, seq) are accepted targets: the count starts over. ``pauses`` (robot_id, pause_start,
+    pause_end in microseconds, as from ``pause_intervals``) hold the patrol; where they overlap the latest end counts.
+    Rows without a position are passed over.
+    """
+    if gotos is None and pauses is None:
+        return _machine(odom, StuckWatch(**limits))
+    line = patrol_line(odom, gotos, pauses)
+    return _machine(line, StuckWatch(events=True, **limits), order=("recv_ts", "rank", "seq"))
+
+
+def patrol_line(odom: DataFrame, gotos: DataFrame | None = None, pauses: DataFrame | None = None) -> DataFrame:
+    """Positions, targets, pauses and resumes in one order: (robot_id, recv_ts, rank, seq, x, y, arrived, kind).
+
+    At equal time a resume comes before a pause, both before targets, these before positions. A resume is left out if
+    another pause still lasts: the running latest end of the pauses before decides.
+    """
+    line = odom.select("robot_id", "recv_ts", F.lit(3).alias("rank"), "seq", "x", "y", "arrived", F.lit("odom").alias("kind"))
+    none = [F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(False).alias("arrived")]
+    if gotos is not None:
+        line = line.unionByName(gotos.select("robot_id", "recv_ts", F.lit(2).alias("rank"), "seq", *none, F.lit("goto").alias("kind")))
+    if pauses is not None:
+        # united intervals: one begins where no pause before lasts to its start
+        tl = Timeline.of(pauses, "robot_id", ("pause_start", "pause_end"))
+        seen = tl.running(pauses.select("robot_id", "pause_start", "pause_end"), {"_until": ("max", F.col("pause_end"))}, before=True)
+        first = F.col("_until").isNull() | (F.col("pause_start") > F.col("_until"))
+        starts = seen.where(first).select("robot_id", F.col("pause_start").alias("_at"), F.lit(1).alias("rank"), F.lit("pause").alias("kind"))
+        following = tl.following(tl.running(seen.withColumn("_first", first), {"_end": ("max", F.col("pause_end"))}), {"_next": "_first"})
+        ends = following.where(F.coalesce("_next", F.lit(True))).select("robot_id", F.col("_end").alias("_at"), F.lit(0).alias("rank"), F.lit("resume").alias("kind"))
+        both = starts.unionByName(ends)
+        line = line.unionByName(both.select("robot_id", F.timestamp_micros("_at").alias("recv_ts"), "rank", F.lit(0).cast("long").alias("seq"), *none, "kind"))
+    return line
 
 
 def security_status(alerts: DataFrame, ticks: DataFrame, timeout_s: float = 30.0, calm: str = "OK") -> DataFrame:

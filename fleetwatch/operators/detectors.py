@@ -245,7 +245,7 @@ def frame_repeat(scan: DataFrame, tl: Timeline | None = None, min_points: int =
 
     Frames of low spread or mostly at the maximum are never stored; a repeat
     equals what is stored, so the last of the remaining frames is the accepted
-    one. Small frames pass unjudged.
+    one. Small frames and null ones pass unjudged.
     """
     tl = tl or Timeline.of(scan, "robot_id", ORDER)
     judged = scan.withColumn("_low", (F.size("ranges") > min_points) & (frame_std(F.col("ranges")) < 0.01))
@@ -253,4 +253,4 @@ def frame_repeat(scan: DataFrame, tl: Timeline | None = None, min_points: int =
     stored = F.when(~F.col("_low") & ~F.col("_far"), F.col("ranges"))
     seen = tl.running(judged, {"_prev": ("last", stored)}, before=True)
     same = F.coalesce(F.col("ranges") == F.col("_prev"), F.lit(False))
-    return seen.withColumn("repeated", same & ~F.col("_low") & (F.size("ranges") > min_points)).drop("_low", "_far", "_prev")
+    return seen.withColumn("repeated", F.coalesce(same & ~F.col("_low") & (F.size("ranges") > min_points), F.lit(False))).drop("_low", "_far", "_prev")

@@ -1,6 +1,7 @@
-"""State machines over ordered rows: small pure steps, no Spark inside.
+"""State machines over ordered rows: small pure steps, no Spark inside ``run``.
 
-Each is run per key by ``plans.replay`` (batch) or ``streaming.stateful``.
+Each is run per key by ``plans.replay`` (batch), ``streaming.stateful`` or ``streaming.ordered``. A machine that
+forgets says in ``rests`` before which rows its state is that of the start (``_fresh``), for cutting large keys.
 ``run`` takes tuples ``(t, *cols)``. States are JSON values, so an exit state
 can be compared and handed on. Times are microseconds.
 """
@@ -9,9 +10,18 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import functions as F
+
+from ..plans.replay import after_silence
+
 SEC = 1_000_000
 
 
+def known(x: float | None, y: float | None) -> bool:
+    """Whether a position is one: rows with null or NaN in it are passed over."""
+    return x is not None and y is not None and not math.isnan(x) and not math.isnan(y)
+
+
 class PatrolPause:
     """Alerts pause the patrol; repeated pauses open a quiet time.
 
@@ -30,6 +40,10 @@ class PatrolPause:
     def initial(self):
         return {"pause": None, "history": [], "quiet": None}
 
+    def rests(self, rows, tl):
+        """After a silence longer than every limit nothing is held."""
+        return after_silence(rows, tl, max(self.pause, self.window, self.quiet))
+
     def run(self, rows, s):
         pause, history, quiet = s["pause"], list(s["history"]), s["quiet"]
         out = []
@@ -70,6 +84,12 @@ class MissionMode:
     def initial(self):
         return {"mode": "PATROL", "since": None, "stops": []}
 
+    def rests(self, rows, tl):
+        """After a tick that ends every recovery and finds no stop in the window: only whether it is stopped is held."""
+        seen = tl.running(rows, {"_alert": ("last", F.when(F.col("kind") == "alert", F.col("t")))}, before=True)
+        over = (F.col("kind") == "tick") & (F.col("_alert").isNull() | (F.col("t") - F.col("_alert") >= max(self.recovery, self.window)))
+        return tl.previous(seen.withColumn("_over", over), {"_fresh": "_over"}).withColumn("_fresh", F.coalesce("_fresh", F.lit(False))).drop("_alert", "_over")
+
     def run(self, rows, s):
         mode, since, stops = s["mode"], s["since"], list(s["stops"])
         out = []
@@ -104,10 +124,17 @@ class TrainingGuard:
     def initial(self):
         return {"stopped": False, "history": [], "quiet": None}
 
+    def rests(self, rows, tl):
+        """A reset long after the last alert: no flag, no history, no quiet time."""
+        quiet = after_silence(rows, tl, max(self.window, self.quiet), F.coalesce(F.col("kind") != "reset", F.lit(False)))
+        return quiet.withColumn("_fresh", F.col("_fresh") & F.coalesce(F.col("kind") == "reset", F.lit(False)))
+
     def run(self, rows, s):
         stopped, history, quiet = s["stopped"], list(s["history"]), s["quiet"]
         out = []
         for t, kind in rows:
+            if kind is None:
+                continue
             if kind == "reset":
                 stopped = False
                 continue
@@ -129,22 +156,40 @@ class StuckWatch:
     """Too little movement for too long: reverse with a growing, alternating turn.
 
     ``x``, ``y`` give the position, ``arrived`` a waypoint reached at that row.
+    With ``events`` rows have a ``kind``: ``odom``; ``goto`` (a new target: the
+    count starts over); ``pause`` and ``resume`` (nothing is judged while
+    paused; the wait and the anchor start over at the last position known).
     """
 
     schema = "t long, stuck_no long, turn double"
-    cols = ("x", "y", "arrived")
 
-    def __init__(self, dist: float = 0.03, time_s: float = 3.0, backup_s: float = 2.0, max_turn: float = 0.8, step: float = 0.3):
+    def __init__(self, dist: float = 0.03, time_s: float = 3.0, backup_s: float = 2.0, max_turn: float = 0.8, step: float = 0.3, events: bool = False):
         self.dist, self.time, self.backup = dist, int(time_s * SEC), int(backup_s * SEC)
         self.max_turn, self.step = max_turn, step
+        self.events = events
+        self.cols = ("x", "y", "arrived", "kind") if events else ("x", "y", "arrived")
 
     def initial(self):
-        return {"at": None, "since": None, "n": 0, "until": None}
+        return {"at": None, "since": None, "n": 0, "until": None} | ({"here": None, "paused": False} if self.events else {})
 
     def run(self, rows, s):
         at, since, n, until = s["at"], s["since"], s["n"], s["until"]
+        here, paused = s.get("here"), s.get("paused", False)
         out = []
-        for t, x, y, arrived in rows:
+        for t, x, y, arrived, *kind in rows:
+            if kind and kind[0] != "odom":
+                if kind[0] == "goto":
+                    n = 0
+                elif kind[0] == "pause":
+                    paused = True
+                elif kind[0] == "resume" and paused:
+                    paused, since, at = False, t, here
+                continue
+            if not known(x, y):
+                continue
+            here = [x, y]
+            if paused:
+                continue
             if at is None:
                 at, since = [x, y], t
             if until is not None:
@@ -161,7 +206,8 @@ class StuckWatch:
                 continue
             if arrived:
                 since, at, n = t, [x, y], 0
-        return out, {"at": at, "since": since, "n": n, "until": until}
+        held = {"at": at, "since": since, "n": n, "until": until}
+        return out, held | ({"here": here, "paused": paused} if self.events else {})
 
 
 class TurningStuck:
@@ -221,7 +267,7 @@ class VisitProgress:
         for t, x, y, rx, ry, gx, gy in rows:
             if gx is not None:
                 goto = [float(gx), float(gy)]
-            if done or len(rx) == 0:
+            if done or rx is None or len(rx) == 0 or not known(x, y):
                 continue
             tx, ty = goto if goto is not None else (float(rx[i]), float(ry[i]))
             target = -1 if goto is not None else i

@@ -5,18 +5,23 @@ eats ordered row tuples and returns ``(output tuples, state)``. The same object
 serves the stream (``streaming.stateful``). Spark partitions by key and sorts;
 a task walks its sorted rows batch by batch and holds one state, not a key.
 
-A key too large for one task is cut along its order; every slice starts from a
-guessed entry state, exit states are handed to the next slice and slices whose
-guess was wrong run again until nothing changes. The fixpoint is the sequential
-result; machines that forget quickly settle in two or three rounds.
+A key too large for one task is cut along its order. Where a machine forgets, say
+after a silence longer than all its limits (``rests``), rows before which its
+state is surely that of the start are known from one pass over the order; slices
+are cut there and all run at once. Machines that never forget, and stretches of a
+key without such a row, start every slice from a guessed entry state; exit states
+are handed to the next slice and slices whose guess was wrong run again until
+nothing changes. Either way the result is the sequential one.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -79,16 +84,6 @@ def _walk(df: DataFrame, group: Sequence[str], order: Sequence[str], machine, ex
     return sorted_rows.select(*wanted).mapInArrow(walk, schema)
 
 
-def islands(df: DataFrame, tl: Timeline, seconds: float, name: str = "_island", strict: bool = False) -> DataFrame:
-    """Numbers the runs of rows less than ``seconds`` apart."""
-    x = axis_of(df, tl.order[0])
-    gap = tl.previous(df.withColumn("_x", x), {"_px": "_x"})
-    d = F.col("_x") - F.col("_px")
-    far = d > int(seconds * 1e6) if strict else d >= int(seconds * 1e6)
-    fresh = gap.withColumn("_fresh", F.when(F.col("_px").isNull() | far, 1).otherwise(0)).drop("_px", "_x")
-    return tl.running(fresh, {name: ("sum", F.col("_fresh"))}).drop("_fresh")
-
-
 def replay(df: DataFrame, tl: Timeline, machine) -> DataFrame:
     """Runs ``machine`` over every key's rows in order.
 
@@ -101,46 +96,131 @@ def replay(df: DataFrame, tl: Timeline, machine) -> DataFrame:
     if tl.hot is None:
         return _walk(src, key, order, machine)
 
+    fresh = getattr(machine, "rests", None)
+    if fresh is not None:
+        parts, group = cut_at_rests(src, tl, lambda rows: fresh(rows, tl))
+        if parts is not None:
+            return _walk(parts, group, order, machine).drop("_from")
     cut = tl.cut(src)
     cold = _walk(cut.where(~F.col("_hot")), key, order, machine)
     slot = [*key, "_slice"]
     rows = checkpointed(cut.where("_hot").drop("_hot"))
+    hot = _walk(rows.join(entries(rows, tl, machine), slot), slot, order, machine).drop("_slice")
+    return cold.unionByName(hot)
+
+
+def entries(rows: DataFrame, tl: Timeline, machine) -> DataFrame:
+    """The state with which each slice of cut keys begins: (key, _slice, _in), found by rounds until nothing changes."""
+    key, slot = list(tl.key), [*tl.key, "_slice"]
     first = json.dumps(machine.initial())
     todo = rows.select(*slot).distinct().withColumn("_in", F.lit(first))
     known = None
     while True:
-        ran = _walk(rows.join(todo, slot), slot, order, machine, exits=True)
+        ran = _walk(rows.join(todo, slot), slot, list(tl.order), machine, exits=True)
         known = checkpointed(ran if known is None else known.join(todo.select(*slot), slot, "left_anti").unionByName(ran))
         along = W.partitionBy(*key).orderBy("_slice")
         entry = known.withColumn("_want", F.coalesce(F.lag("_out").over(along), F.lit(first)))
         todo = checkpointed(entry.where(F.col("_want") != F.col("_in")).select(*slot, F.col("_want").alias("_in")))
         if todo.isEmpty():
-            break
-    hot = _walk(rows.join(known.select(*slot, "_in"), slot), slot, order, machine).drop("_slice")
-    return cold.unionByName(hot)
+            return known.select(*slot, "_in")
+
+
+#: A stretch without a resting row may hold so many times the rows of a task before it is cut by rounds.
+STRETCH = 4
+
+
+def cut_at_rests(df: DataFrame, tl: Timeline, rests: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, list[str]]:
+    """Rows of cut keys in groups (key, _from) that begin where ``rests`` finds ``_fresh`` rows; None if some stretch is too long.
+
+    A group takes the slice of its first fresh row; slices without one belong to the group before.
+    """
+    marked = rests(df)
+    body = tl.cut(marked).drop("_hot")
+    at = F.when(F.col("_fresh"), F.col("_slice"))
+    parts = tl.running(body, {"_from": ("last", at)}).withColumn("_from", F.coalesce("_from", F.lit(-1))).drop("_fresh", "_slice")
+    group = [*tl.key, "_from"]
+    longest = parts.groupBy(*group).count().agg(F.max("count")).first()[0]
+    return (None if (longest or 0) > STRETCH * tl.limit else parts), group
+
+
+def after_silence(df: DataFrame, tl: Timeline, micros: int, eligible: Column | None = None) -> DataFrame:
+    """``_fresh``: no eligible row of the key within ``micros`` before."""
+    t = axis_of(df, tl.order[0]).cast("long")
+    ok = F.lit(True) if eligible is None else eligible
+    seen = tl.running(df.withColumn("_when", t).withColumn("_counts", ok), {"_last": ("last", F.when(F.col("_counts"), F.col("_when")))}, before=True)
+    return seen.withColumn("_fresh", F.col("_last").isNull() | (F.col("_when") - F.col("_last") >= micros)).drop("_when", "_last", "_counts")
 
 
 class CooldownMachine:
     """Keeps a row iff it is far enough after the last kept one."""
 
     schema = "_kept_t long, _kept_tie long"
+    cols = ("_ok",)
 
-    def __init__(self, seconds: float, strict: bool, tie: str):
-        self.gap = int(seconds * 1e6) + (1 if strict else 0)
-        self.cols = (tie,)
+    def __init__(self, gap: int):
+        self.gap = gap
 
     def initial(self):
         return None
 
     def run(self, rows, last):
         kept = []
-        for t, tie in rows:
-            if last is None or t - last >= self.gap:
+        for t, ok in rows:
+            if ok and (last is None or t - last >= self.gap):
                 last = t
-                kept.append((t, tie))
+                kept.append((t, 0))
         return kept, last
 
 
+def _marking(df: DataFrame, group: Sequence[str], order: Sequence[str], gap: int, mark: str | None, drop: Sequence[str]) -> DataFrame:
+    """One sorted walk that marks the kept rows where they stand, or passes only those on, with all their columns.
+
+    ``_t`` is the time, ``_ok`` who may be kept, ``_in`` (if there) the last kept time before the group, as JSON.
+    """
+    group, seeded = list(group), "_in" in df.columns
+    given = [c for c in df.columns if c not in drop]
+    schema = T.StructType([df.schema[c] for c in given] + ([T.StructField(mark, T.BooleanType())] if mark else []))
+    arrow = to_arrow_schema(schema)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for g in group:
+                codes = pc.dictionary_encode(batch.column(g), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            new[0] = True
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], n)
+            when = batch.column("_t")
+            ok = np.asarray(pc.and_(pc.fill_null(batch.column("_ok"), False), pc.is_valid(when)).to_numpy(zero_copy_only=False), bool)
+            t = pc.fill_null(when, 0).to_numpy(zero_copy_only=False)
+            hit = np.zeros(n, bool)
+            alone = (end - begin == 1) & (not seeded)
+            alone[[0, -1]] = False
+            hit[begin[alone]] = ok[begin[alone]]
+            for s, e in zip(begin[~alone].tolist(), end[~alone].tolist()):
+                here = tuple(batch.column(g)[s].as_py() for g in group)
+                if here != key:
+                    key, last = here, json.loads(batch.column("_in")[s].as_py()) if seeded else None
+                at = s + np.flatnonzero(ok[s:e])
+                times = t[at]
+                i = 0 if last is None else int(np.searchsorted(times, last + gap))
+                while i < len(times):
+                    hit[at[i]] = True
+                    last = int(times[i])
+                    i += int(np.searchsorted(times[i:], last + gap))
+            out = [batch.column(c) for c in given]
+            made = pa.RecordBatch.from_arrays([*out, pa.array(hit)] if mark else out, schema=arrow)
+            yield made if mark else made.filter(pa.array(hit))
+
+    ship(df.sparkSession)
+    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(walk, schema)
+
+
 def thin(
     df: DataFrame,
     tl: Timeline,
@@ -154,36 +234,25 @@ def thin(
     ``strict`` asks for more than ``seconds``. The timeline's order is
     ``(time, tie)`` with an integral tie that is unique per key and time. With
     ``mark`` all rows stay and that boolean column tells the kept ones; rows
-    that are not ``eligible`` are passed over by the rule.
+    that are not ``eligible``, or without a time, are passed over by the rule.
+
+    Rows are shuffled and sorted once and walked batch by batch with all their
+    columns. Cut keys walk the same way in groups that begin after a silence of
+    ``seconds``; keys that never pause so long get each slice's entry by rounds.
     """
-    key = list(tl.key)
-    ts, tie = tl.order
-    names = [c for c in df.columns if c not in key]
-    judged = df if eligible is None else df.where(eligible)
-    if mark:
-        judged = judged.select(*key, ts, tie)
+    key, order = list(tl.key), list(tl.order)
+    gap = int(seconds * 1e6) + (1 if strict else 0)
+    ok = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
+    rows = df.withColumn("_t", axis_of(df, order[0]).cast("long")).withColumn("_ok", ok)
+    helpers = ["_t", "_ok", "_from", "_slice", "_hot", "_in"]
     if tl.hot is None:
-        runs = islands(judged, tl, seconds, strict=strict)
-        carried = [tie] if mark else names
-        row = F.struct(axis_of(df, ts).alias("_t"), F.col(tie).cast("long").alias("_tie"), F.struct(*carried).alias("_row"))
-        gap = int(seconds * 1e6)
-
-        def step(acc: Column, r: Column) -> Column:
-            d = r["_t"] - acc["last"]
-            ok = acc["last"].isNull() | (d > gap if strict else d >= gap)
-            return F.when(ok, F.struct(r["_t"].alias("last"), F.concat(acc["kept"], F.array(r)).alias("kept"))).otherwise(acc)
-
-        packed = runs.groupBy(*key, "_island").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-        start = F.struct(F.lit(None).cast("long").alias("last"), F.slice("_rows", 1, 0).alias("kept"))
-        kept = packed.select(*key, F.explode(F.aggregate("_rows", start, step, lambda a: a["kept"])).alias("_k"))
-        if not mark:
-            return kept.select(*key, "_k._row.*").select(*df.columns)
-        ids = kept.select(*key, F.col("_k._t").alias("_kept_t"), F.col("_k._tie").alias("_kept_tie"))
-    else:
-        ids = replay(judged, tl, CooldownMachine(seconds, strict, tie))
-    ids = ids.withColumn("_hit", F.lit(True))
-    body = df.withColumn("_kept_t", axis_of(df, ts)).withColumn("_kept_tie", F.col(tie).cast("long"))
-    joined = body.join(ids, [*key, "_kept_t", "_kept_tie"], "left" if mark else "left_semi")
-    if not mark:
-        return joined.select(*df.columns)
-    return joined.select(*df.columns, F.coalesce("_hit", F.lit(False)).alias(mark))
+        return _marking(rows, key, order, gap, mark, helpers)
+    parts, group = cut_at_rests(rows, tl, lambda r: after_silence(r, tl, gap, F.col("_ok")))
+    if parts is not None:
+        return _marking(parts, group, order, gap, mark, helpers)
+    cut = checkpointed(tl.cut(rows))
+    narrow = cut.where("_hot").select(*key, "_slice", *order, F.col("_t").alias("t"), "_ok")
+    slot = [*key, "_slice"]
+    begun = cut.where("_hot").join(entries(narrow, tl, CooldownMachine(gap)), slot)
+    cold = _marking(cut.where("NOT _hot"), key, order, gap, mark, helpers)
+    return cold.unionByName(_marking(begun.select(*cut.columns, "_in"), slot, order, gap, mark, helpers))

@@ -4,7 +4,10 @@ Telemetry is ordered per robot, so nearly every operator is a window over
 ``robot_id``. A plain window puts a whole key in one task; one chatty robot can
 hold a third of all rows. A ``Timeline`` therefore measures the keys once
 (one column-pruned aggregate) and, only for keys above ``rows_per_task``, cuts
-the order axis in slices that become part of the partitioning:
+the order in slices of about equal depth that become part of the partitioning.
+Cells of equal width come first; a cell that still holds too many rows is cut at
+quantiles of (time, tie) from a KLL sketch, so neither a burst nor one instant
+stays whole:
 
 * row frames get the last n rows of the preceding slices copied in front;
 * running values are computed per slice and joined with the carry of the
@@ -24,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 ROWS_PER_TASK = 500_000
 OVERSPLIT = 4
 MAX_BROADCAST_KEYS = 100_000
+#: Quantiles taken of a crowded cell (at most so many pieces, less one), the sketch's accuracy, and cells whose cuts are broadcast.
+PIECES, ACCURACY, MAX_BROADCAST_CELLS = 256, 2048, 5_000
 
 
 def rows_per_task(df: DataFrame) -> int:
@@ -56,31 +61,82 @@ class Timeline:
     key: tuple[str, ...]
     order: tuple[str, ...]
     hot: DataFrame | None = None
+    fine: DataFrame | None = None
+    limit: int = ROWS_PER_TASK
 
     @staticmethod
     def of(df: DataFrame, key, order, limit: int | None = None) -> "Timeline":
         key = (key,) if isinstance(key, str) else tuple(key)
         order = (order,) if isinstance(order, str) else tuple(order)
         limit = limit or rows_per_task(df)
-        x = axis_of(df, order[0])
+        x, tie = axis_of(df, order[0]), Timeline._tie(df, order)
         sizes = (
             df.dropna(subset=list(key))
             .groupBy(*key)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_t0"), F.max(x).alias("_t1"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_t0"), F.max(x).alias("_t1"), F.min(tie).alias("_a"), F.max(tie).alias("_b"))
             .where(F.col("_n") > limit)
             .select(
                 *key,
                 "_t0",
                 ((F.col("_t1") - F.col("_t0") + 1) / F.ceil(F.col("_n") * OVERSPLIT / F.lit(limit))).alias("_w"),
+                "_a",
+                (F.col("_b").cast("double") - F.col("_a").cast("double") + 1).alias("_ties"),
             )
         )
         found = sizes.limit(MAX_BROADCAST_KEYS + 1).collect()
         if not found:
-            return Timeline(key, order)
+            return Timeline(key, order, limit=limit)
         if len(found) <= MAX_BROADCAST_KEYS:
-            small = df.sparkSession.createDataFrame(found, sizes.schema)
-            return Timeline(key, order, F.broadcast(small))
-        return Timeline(key, order, sizes)
+            sizes = F.broadcast(df.sparkSession.createDataFrame(found, sizes.schema))
+        tl = Timeline(key, order, sizes, limit=limit)
+        return replace(tl, fine=tl._refined(df))
+
+    @staticmethod
+    def _tie(df: DataFrame, order: tuple[str, ...]) -> Column:
+        """The second order column where it is a whole number, else null."""
+        whole = len(order) > 1 and isinstance(df.schema[order[1]].dataType, T.IntegralType)
+        return F.col(order[1]).cast("long") if whole else F.lit(None).cast("long")
+
+    def _celled(self, df: DataFrame) -> DataFrame:
+        """Adds ``_hot``, ``_cell`` and ``_v``, the place within the cell: it never falls along (time, tie)."""
+        kind = df.schema[self.order[0]].dataType
+        x = axis_of(df, self.order[0])
+        start = F.col("_t0") + F.col("_cell") * F.col("_w")
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType, T.IntegralType)):
+            # whole steps from the cell's start and a fraction below one for the tie
+            part = (F.col("_tiebreak").cast("double") - F.col("_a")) / F.col("_ties")
+            place = (x.cast("long") - F.floor(start)).cast("double") + F.coalesce(F.greatest(F.lit(0.0), F.least(part, F.lit(1 - 2**-20))), F.lit(0.0))
+        else:
+            place = x.cast("double") - start
+        return (
+            df.withColumn("_tiebreak", self._tie(df, self.order))
+            .join(self.hot, [c for c in self.hot.columns if c in self.key], "left")
+            .withColumn("_hot", F.col("_t0").isNotNull())
+            .withColumn("_cell", F.coalesce(F.floor((x.cast("double") - F.col("_t0")) / F.col("_w")), F.lit(0)))
+            .withColumn("_v", place)
+            .drop("_tiebreak", "_t0", "_w", "_a", "_ties")
+        )
+
+    def _refined(self, df: DataFrame) -> DataFrame | None:
+        """Cuts of the cells that hold more than ``limit`` rows, or None."""
+        keys = [c for c in self.hot.columns if c in self.key]
+        narrow = df.select(*dict.fromkeys([*self.key, *self.order[:2]]))
+        inside = self._celled(narrow).where("_hot")
+        crowded = inside.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > self.limit)
+        found = crowded.limit(MAX_BROADCAST_CELLS + 1).collect()
+        if not found:
+            return None
+        if len(found) <= MAX_BROADCAST_CELLS:
+            crowded = F.broadcast(df.sparkSession.createDataFrame(found, crowded.schema))
+        ranks = F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)])
+        pieces = F.least(F.ceil(F.col("_n") * OVERSPLIT / F.lit(self.limit)), F.lit(PIECES))
+        cuts = inside.join(crowded, [*keys, "_cell"]).groupBy(*keys, "_cell", "_n").agg(F.kll_sketch_agg_double("_v", F.lit(ACCURACY)).alias("_s"))
+        cuts = cuts.select(*keys, "_cell", "_n", F.kll_sketch_get_quantile_double("_s", ranks).alias("_q"))
+        some = F.filter("_q", lambda q, i: F.floor((i + 1) * pieces / PIECES) > F.floor(i * pieces / PIECES))
+        cuts = cuts.select(*keys, "_cell", F.array_distinct(some).alias("_cuts"))
+        if len(found) <= MAX_BROADCAST_CELLS:
+            return F.broadcast(df.sparkSession.createDataFrame(cuts.collect(), cuts.schema))
+        return cuts
 
     def ordered_by(self, *order: str) -> "Timeline":
         """Same keys and cut, other order columns on the same axis."""
@@ -100,14 +156,11 @@ class Timeline:
         """Adds ``_slice`` and ``_hot`` when some key has to be cut."""
         if self.hot is None:
             return df
-        x = axis_of(df, self.order[0])
-        return (
-            df.withColumn("_x", x.cast("double"))
-            .join(self.hot, [c for c in self.hot.columns if c in self.key], "left")
-            .withColumn("_hot", F.col("_t0").isNotNull())
-            .withColumn("_slice", F.coalesce(F.floor((F.col("_x") - F.col("_t0")) / F.col("_w")), F.lit(0)))
-            .drop("_x", "_t0", "_w")
-        )
+        body, piece = self._celled(df), F.lit(0)
+        if self.fine is not None:
+            body = body.join(self.fine, [c for c in self.fine.columns if c in (*self.key, "_cell")], "left")
+            piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))), F.lit(0))
+        return body.withColumn("_slice", F.col("_cell") * PIECES + piece).drop("_cell", "_v", "_cuts")
 
     def _sorted(self, ahead: bool = False) -> list[Column]:
         return [F.col(c).desc() if ahead else F.col(c).asc() for c in self.order]

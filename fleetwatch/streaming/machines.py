@@ -121,6 +121,8 @@ class ScanMotion:
         prev, diffs, n = s["prev"], list(s["diffs"]), s["n"]
         out = []
         for t, seq, ranges in rows:
+            if ranges is None:
+                continue
             cur = list(ranges)[: self.max_points]
             if len(cur) <= self.min_points:
                 continue
@@ -225,7 +227,7 @@ class Detectors:
                 s["beat"], s["latched"] = t, False
             elif kind == "alarm":
                 s["alarm"] = [t, info]
-            else:
+            elif kind == "tick":
                 out.append(self._tick(t, s))
         return out, s
 
@@ -392,6 +394,9 @@ class FrameRepeat:
     def run(self, rows, stored):
         out = []
         for t, seq, ranges in rows:
+            if ranges is None:
+                out.append((t, seq, False))
+                continue
             judged = len(ranges) > self.min_points
             cur = _plain(ranges)
             filled = np.array([self.top if r is None else r for r in cur])

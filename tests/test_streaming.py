@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetwatch.catalog import detector_queries as Q, inputs as I, message_queries as M
 from fleetwatch.operators import alerts as A, detectors as D, episodes as E, graph as G, integrity as S
-from fleetwatch.operators.machines import MissionMode, PatrolPause, StuckWatch, TrainingGuard
+from fleetwatch.operators.machines import MissionMode, PatrolPause, StuckWatch, TrainingGuard, VisitProgress
 from fleetwatch.streaming import joins as J, machines as SM
 from fleetwatch.streaming.stateful import run_stream
 
@@ -271,3 +271,62 @@ def test_open_silence_and_missing_beats(spark):
     assert [(r.robot_id, r.gap_s, r.open) for r in D.silent_scans(scan, 1.0, ticks=ticks).collect()] == [("stops", 50.0, True)]
     assert [(r.robot_id, r.missed, r.open) for r in D.beat_cadence(scan, 2.0, ticks=ticks).collect()] == [("stops", 24, True)]
     assert D.silent_scans(scan, 1.0).count() == 0
+
+
+def test_rows_without_scan_position_or_kind_equal_the_batch(spark, events):
+    """Nulls are passed over in both engines; NaN is no position."""
+    odd = F.col("seq") % 7
+    gone = lambda c, kind: F.when(odd == 3, F.lit(None)).otherwise(c).cast(kind)
+    scans = I.repeated_scans(spark, SF)
+    scans = scans.unionByName(scans.where("seq % 5 = 0").withColumn("ranges", F.lit(None).cast("array<double>")).withColumn("seq", F.col("seq") + 100_000))
+    stream, path = feed(spark, scans, "recv_ts", parts=2)
+    got = drain(spark, run_stream(stream, "robot_id", "recv_ts", SM.ScanMotion(), "1 hour"), path)
+    cols = ("seq", "diff", "diff4", "diff2", "frames", "d3")
+    assert lines(got, *cols) == lines(D.scan_motion(scans), *cols)
+    stream, path = feed(spark, scans, "recv_ts", parts=2)
+    got = drain(spark, run_stream(stream, "robot_id", "recv_ts", SM.FrameRepeat(), "1 hour"), path)
+    assert lines(got, "seq", "repeated") == lines(D.frame_repeat(scans), "seq", "repeated")
+
+    walked = events.select("robot_id", "recv_ts", "seq", gone(F.col("value"), "double").alias("x"), F.when(odd == 5, float("nan")).otherwise(F.col("k")).cast("double").alias("y"), (odd == 1).alias("arrived"))
+    for machine in (StuckWatch(60, 8 * HOUR, 5 * HOUR),):
+        stream, path = feed(spark, walked, "recv_ts", parts=2)
+        got = drain(spark, run_stream(stream, "robot_id", "recv_ts", machine, "1 hour"), path)
+        assert lines(got, "robot_id", "t", "stuck_no", "turn") == lines(A._machine(walked, machine), "robot_id", "t", "stuck_no", "turn")
+        whole = walked.where("x IS NOT NULL AND NOT isnan(y)")
+        assert lines(A._machine(whole, machine), "robot_id", "t", "stuck_no") == lines(got, "robot_id", "t", "stuck_no")
+
+    routed = walked.withColumns({"route_x": F.when(odd != 2, F.array(F.lit(50.0), F.lit(20.0))), "route_y": F.array(F.lit(50.0), F.lit(80.0)), "goto_x": F.lit(None).cast("double"), "goto_y": F.lit(None).cast("double")})
+    stream, path = feed(spark, routed, "recv_ts", parts=2)
+    got = drain(spark, run_stream(stream, "robot_id", "recv_ts", VisitProgress(30.0), "1 hour"), path)
+    assert lines(got, "robot_id", "t", "target", "reached") == lines(A._machine(routed, VisitProgress(30.0)), "robot_id", "t", "target", "reached")
+
+    kinds = events.withColumn("kind", F.when(odd == 3, F.lit(None)).when(odd == 1, "reset").otherwise("alert"))
+    stream, path = feed(spark, kinds, "recv_ts", parts=2)
+    got = drain(spark, run_stream(stream, "robot_id", "recv_ts", TrainingGuard(60 * HOUR, 3, 60 * HOUR), "1 hour"), path)
+    assert lines(got, "robot_id", "t", "action") == lines(A._machine(kinds.where("kind IS NOT NULL"), TrainingGuard(60 * HOUR, 3, 60 * HOUR)), "robot_id", "t", "action")
+
+
+def test_stuck_count_and_anchor_start_over_on_goto_and_resume(spark, events):
+    rows = [(0, "odom", 0.0), (2, "odom", 0.0), (4, "odom", 0.0), (7, "odom", 0.0), (11, "odom", 0.0), (12, "goto", None), (16, "odom", 0.0), (18, "pause", None), (19, "odom", 9.0), (30, "resume", None), (32, "odom", 9.0), (34, "odom", 9.0)]
+    made, _ = StuckWatch(events=True).run([(t * 1_000_000, x, 0.0 if x is not None else None, False, k) for t, k, x in rows], StuckWatch(events=True).initial())
+    # stuck at 4 and 11; the target at 12 starts the count over, the resume at 30 the wait: 34 is the first beyond
+    assert [(t // 1_000_000, n) for t, n, _ in made] == [(4, 1), (11, 2), (34, 1)]
+
+    odom = events.select("robot_id", "recv_ts", "seq", F.col("value").alias("x"), F.col("k").cast("double").alias("y"), (F.col("event_type") == "signup").alias("arrived"))
+    gotos = events.where("event_type = 'click'")
+    alerts = A.patrol_pause(events.where("event_type = 'error'"), pause_s=30 * HOUR, window_s=96 * HOUR, quiet_s=72 * HOUR)
+    pauses = A.pause_intervals(alerts, 30 * HOUR)
+    limits = dict(dist=60, time_s=8 * HOUR, backup_s=5 * HOUR)
+    line = A.patrol_line(odom, gotos, pauses)
+    want = A.stuck_events(odom, gotos, pauses, **limits)
+    assert 0 < want.count() != A.stuck_events(odom, **limits).count()
+    stream, path = feed(spark, line, "recv_ts")
+    got = drain(spark, run_stream(stream, "robot_id", "recv_ts", StuckWatch(events=True, **limits), "1 hour", order=("rank", "seq")), path)
+    assert lines(got, "robot_id", "t", "stuck_no", "turn") == lines(want, "robot_id", "t", "stuck_no", "turn")
+
+
+def test_overlapping_pauses_resume_once(spark):
+    pauses = spark.createDataFrame([("a", 0, 30), ("a", 10, 20), ("a", 25, 40), ("a", 50, 60), ("b", 5, 6)], "robot_id string, pause_start long, pause_end long")
+    odom = spark.createDataFrame([], "robot_id string, recv_ts timestamp, seq long, x double, y double, arrived boolean")
+    got = sorted((r.robot_id, r.t, r.kind) for r in A.patrol_line(odom, None, pauses).withColumn("t", F.unix_micros("recv_ts")).collect())
+    assert got == [("a", 0, "pause"), ("a", 40, "resume"), ("a", 50, "pause"), ("a", 60, "resume"), ("b", 5, "pause"), ("b", 6, "resume")]
