@@ -230,6 +230,12 @@ def _(spark, sf):
     return b.select("run_id", "n", *[r6(c).alias(c) for c in ("mean", "lo", "hi")])
 
 
+@query("bootstrap_interval_split", "F4")
+def _(spark, sf):
+    b = E.bootstrap_ci_split(I.episodes(spark, sf), "spl", 1000, seed=7, order=ORDER)
+    return b.select("run_id", "n", *[r6(c).alias(c) for c in ("mean", "lo", "hi")])
+
+
 @query("outcomes", "F10", sql=with_ctes(I.EP) + "SELECT run_id, event, count(*) AS episodes FROM ep GROUP BY ALL")
 def _(spark, sf):
     return E.outcomes(I.episodes(spark, sf))

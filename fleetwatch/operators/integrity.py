@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.crypto import hmac_sha256
 from ..functions.scan import bind
 from ..plans.replay import thin
-from ..plans.timeline import Timeline, axis_of
+from ..plans.timeline import Timeline, axis_of, rows_per_task
 from ..session import checkpointed
 
 # The six channels, the topics that carry them, and how old a
@@ -123,11 +123,17 @@ def verify(df: DataFrame, key: bytes, expected: Column, max_age: Column | float
            keys=("receiver", "nonce"), ttl: float = REPLAY_TTL_S, order=("recv_ts", "seq")) -> DataFrame:
     """All six checks; ``reject_reason`` ends with ``replay``.
 
-    Sizes of the copy groups come from the nonce text alone, before any hash is
-    computed.
+    Messages are inspected once and walked once, in the order of their copies.
+    Only if some text stands more often than a task should hold, groups of
+    copies are measured and cut; that is told from a hash of the text, without
+    parsing it.
     """
-    nonce = F.get_json_object(F.get_json_object("raw", "$.body"), "$.nonce")
-    tl = Timeline.of(df.withColumn("nonce", nonce), keys, order)
+    limit = rows_per_task(df)
+    flood = df.groupBy(*[k for k in keys if k in df.columns], F.xxhash64("raw").alias("_h")).count().where(F.col("count") > limit)
+    tl = Timeline(tuple(keys), tuple(order), limit=limit)
+    if not flood.isEmpty():
+        nonce = F.get_json_object(F.get_json_object("raw", "$.body"), "$.nonce")
+        tl = Timeline.of(df.withColumn("nonce", nonce), keys, order)
     seen = inspect(df, key, expected, max_age, skew, order[0])
     marked = drop_replays(seen, keys, ttl, order, "_first", F.col("reject_reason").isNull(), tl)
     reason = F.coalesce("reject_reason", F.when(~F.col("_first"), F.lit("replay")))

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.crypto import unit_hash
-from ..plans.timeline import Timeline, axis_of
+from ..plans.orderstat import first_rows
+from ..plans.timeline import axis_of
 
 # Ranges and chances of the episode perturbations.
 RANGES = {"noise": (0.0, 0.02), "dropout": (0.0, 0.05), "max_lin": (0.18, 0.22), "max_ang": (1.2, 1.8)}
@@ -130,27 +131,18 @@ def sample_routes(seeds: DataFrame, waypoints: DataFrame, seed: str = "seed", ma
 
 
 def minibatch(rows: DataFrame, n: int, seed: int, ids: list[str]) -> DataFrame:
-    """n rows uniformly without replacement; a top-n by hash, so no full sort."""
-    return rows.orderBy(unit_hash(F.lit(seed), *[F.col(c) for c in ids]), *ids).limit(n)
+    """n rows uniformly without replacement: those whose hash comes first, found from a histogram of the hashes."""
+    return first_rows(rows, n, [unit_hash(F.lit(seed), *[F.col(c) for c in ids]), *[F.col(c) for c in ids]])
 
 
-def keep_latest(rows: DataFrame, capacity: int, key: str | None = None, order=("recv_ts",), bucket_s: float = 3600) -> DataFrame:
+def keep_latest(rows: DataFrame, capacity: int, key: str | None = None, order=("recv_ts",)) -> DataFrame:
     """First-in first-out retention, per key or over the whole table.
 
     Per key, every task keeps ``capacity`` rows before the shuffle. Over the
-    whole table a count per time bucket finds the bucket where the capacity is
-    reached; only rows from there on are numbered, over all tasks.
+    whole table histograms find where the capacity is reached; only the rows
+    of the last bucket are sorted. Order columns are times or numbers.
     """
     if key is not None:
         w = W.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
         return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= capacity).drop("_r")
-    bucket = F.floor(axis_of(rows, order[0]) / int(bucket_s * 1_000_000))
-    counts = rows.groupBy((-bucket).alias("_b")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(0))
-    newer = Timeline.of(counts, "_k", "_b").running(counts, {"_newer": ("sum", F.col("_n"))}, before=True)
-    needed = newer.where(F.coalesce("_newer", F.lit(0)) < capacity)
-    edge = needed.agg(F.max("_b").alias("b"), F.sum("_n").alias("n")).first()
-    if edge.b is None:
-        return rows
-    recent = rows.where(-bucket <= F.lit(edge.b)).withColumn("_k", F.lit(0))
-    numbered = Timeline.of(recent, "_k", order).running(recent, {"_i": ("count", F.col("_k"))})
-    return numbered.where(F.col("_i") > edge.n - capacity).drop("_k", "_i")
+    return first_rows(rows, capacity, [-axis_of(rows, c) for c in order])

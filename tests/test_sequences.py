@@ -150,3 +150,42 @@ def test_results_do_not_depend_on_partitioning(spark):
     a = A.cooldown(rows.repartition(1)).select("seq").collect()
     b = A.cooldown(rows.repartition(13, "seq")).select("seq").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_split_bootstrap_draws_exactly_and_reproducibly(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    data = rng.lognormal(1, 0.7, 1500)
+    df = spark.createDataFrame([(r, i, float(v)) for r in ("a", "b") for i, v in enumerate(data if r == "a" else data[:37])], "run_id string, episode long, reward double")
+    for block in (64, 4096):
+        got = {r.run_id: r for r in E.bootstrap_ci_split(df, "reward", 2000, block=block).collect()}
+        for run, values in (("a", data), ("b", data[:37])):
+            want = np.percentile(values[np.random.default_rng(9).integers(0, len(values), (20_000, len(values)))].mean(1), [2.5, 97.5])
+            wide = want[1] - want[0]
+            assert got[run].n == len(values) and abs(got[run].mean - values.mean()) < 1e-9
+            assert abs(got[run].lo - want[0]) < 0.08 * wide and abs(got[run].hi - want[1]) < 0.08 * wide
+    a, b = ([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in E.bootstrap_ci_split(x, "reward", 50, seed=3, block=64).orderBy("run_id").collect()] for x in (df.repartition(1), df.repartition(11, "reward")))
+    assert a == b
+    # n draws exactly: resampled means of ones are one, and nulls count neither way
+    ones = df.withColumn("reward", F.when(F.col("episode") % 3 == 0, F.lit(None)).otherwise(F.lit(1.0)))
+    assert {(r.lo, r.hi) for r in E.bootstrap_ci_split(ones, "reward", 50, block=64).collect()} == {(1.0, 1.0)}
+    assert E.bootstrap_ci_split(df.limit(0), "reward", 50).count() == 0
+    assert [(r.lo, r.hi) for r in E.bootstrap_ci_split(episodes(spark, [7.0]), "reward", 50).collect()] == [(7.0, 7.0)]
+
+
+def test_first_rows_of_a_whole_table(spark):
+    import random
+
+    from fleetwatch.plans.orderstat import first_rows
+
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice([None, 1.5, 1.5, 2.0, rnd.random() * 1e6]), rnd.choice([7, None, rnd.randrange(-10**15, 10**15)])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, x double, y long").repartition(7).cache()
+    low = lambda v: (v is not None, v)
+    order = sorted(rows, key=lambda r: (low(r[1]), low(r[2]), low(r[0])))
+    for n in (0, 1, 50, 700, 1800, 2999, 3000, 4000):
+        for small in (5, 200, 10_000):
+            got = first_rows(df, n, [F.col("x"), F.col("y"), F.col("id")], small)
+            assert sorted(r.id for r in got.collect()) == sorted(r[0] for r in order[:n]), (n, small)
+    assert first_rows(df.limit(0), 5, [F.col("x")]).count() == 0
