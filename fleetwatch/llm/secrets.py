@@ -27,7 +27,30 @@ KINDS = ["assign", "access", "hex", "weak_id", "weak_secret", "endpoint"]
 #: Weak parts: identifiers, secrets and endpoints that prove nothing alone.
 WEAK_ID = re.compile(r"""\b(?:(?:client|account|tenant|access|user|app)[_-]?(?:id|key|name)|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""", re.I | re.A)
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""(?:\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3|sftp)://[^\s"'<>]+|\bendpoint["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws|azure|googleapis)\.com\b)""", re.I | re.A)
+ENDPOINT = re.compile(r"""\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3|sftp)://[^\s"'<>]+|\bendpoint["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]+""", re.I | re.A)
+#: Hosts of these clouds: labels, one of the names, com. A run of host characters is found first, so long ones cost no more than their length.
+HOST = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+){2,}", re.I | re.A)
+CLOUD = re.compile(r"\.(?:amazonaws|azure|googleapis)\.com\b", re.I | re.A)
+EDGE = re.compile(r"\b(?=[a-z0-9-])", re.I | re.A)
+
+
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Addresses with a scheme, values of ``endpoint`` and cloud hosts, leftmost first and without overlap."""
+    found = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+    clouds = [(m.start(), m.end()) for m in CLOUD.finditer(text)]
+    if clouds:
+        starts = [s for s, _ in clouds]
+        for m in HOST.finditer(text):
+            i = bisect_left(starts, m.end()) - 1
+            if i >= 0 and clouds[i][0] > m.start():
+                begin = EDGE.search(text, m.start(), clouds[i][0])
+                if begin:
+                    found.append((begin.start(), clouds[i][1]))
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not out or s >= out[-1][1]:
+            out.append((s, e))
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -48,7 +71,7 @@ def weak_parts(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, s
     """Weak parts that no base span overlaps."""
     found = [(m.start(), "weak_id", m.end()) for m in WEAK_ID.finditer(text)]
     found += [(m.start(), "weak_secret", m.end()) for m in WEAK_SECRET.finditer(text) if _random_looking(m[0])]
-    found += [(m.start(), "endpoint", m.end()) for m in ENDPOINT.finditer(text)]
+    found += [(s, "endpoint", e) for s, e in endpoints(text)]
     found.sort()
     starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max, initial=0))
     return [(s, k, e) for s, k, e in found if reach[bisect_left(starts, e)] <= s]

@@ -214,3 +214,52 @@ def test_tokens_equal_the_library(spark, documents, odd_documents):
     back = bpe.detokenize(bpe.tokenize(documents, vocabulary(), with_ids=True), vocabulary())
     assert back.join(documents.withColumnRenamed("text", "was"), "doc_id").where(F.coalesce("was", F.lit("")) != F.col("text")).count() == 0
     assert bpe.tokenize(documents.limit(0), vocabulary()).count() == 0
+
+
+def test_endpoints_equal_one_pattern_and_take_time_in_proportion():
+    import random
+    import time
+
+    old = re.compile(r"""(?:\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3|sftp)://[^\s"'<>]+|\bendpoint["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws|azure|googleapis)\.com\b)""", re.I | re.A)
+    rnd = random.Random(1)
+    parts = ["a", "-", "--", ".", "..", "_", "azure", "amazonaws", ".azure.com", ".amazonaws.com", "com", "https://", "endpoint", "=", ":", " ", "x-1", "é", ".googleapis.com", "\n", "'"]
+    for _ in range(20_000):
+        s = "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 14)))
+        assert secrets.endpoints(s) == [(m.start(), m.end()) for m in old.finditer(s)], s
+    for piece in ("a-", "a.", "b.azure.com ", "x@b.", "1 ", "a.azure.com.", "endpoint ", "AKIA", "=", "user_id=", "f"):
+        took = []
+        for n in (100_000, 1_000_000):
+            text = (piece * n)[:n]
+            start = time.process_time()
+            secrets.weak_parts(text, secrets.base_spans(text))
+            took.append(time.process_time() - start)
+        assert took[1] < 30 * took[0] + 1, piece
+
+
+def test_pseudonyms_of_hostile_texts(spark):
+    import time
+
+    pieces = ["a-", "b.", "1 ", "@a", "x@b.", "x@b.b.", "1", "4111 ", "+44 20 ", "1.", "1-", "(", "+1", "x@" + "b." * 3000 + "com "]
+    took = []
+    for n in (100_000, 400_000):
+        docs = spark.createDataFrame([(i, (p * n)[:n]) for i, p in enumerate(pieces)], "doc_id long, text string").repartition(len(pieces))
+        start = time.time()
+        rows = pii.pseudonymize(docs, "k").collect()
+        took.append(time.time() - start)
+        assert len(rows) == len(pieces) and all(len(r.safe_text) == n for r in rows)
+    assert took[1] < 12 * took[0] + 5
+
+
+def test_phones_beside_cards_and_their_calling_codes(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"+44 20 7946 0958 {card}", f"+49 30 1234567 {card}, {card}", f"{card} +44 20 7946 0958", f"+44 20 7946 0958 {card.replace(' ', '')}", f"call +351 912 345 678 {card} now",
+             "988 555 2485", "+351 912 345 678", "+7 912 345 67 89", "+34 912 345 678", "+44 20 7946 0958 123 456 789 12", "12 988 555 2485"]
+    got = [r.safe_text for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("row.doc_id").collect()]
+    hidden = pii.pseudonymize(spark.createDataFrame([(0, card)], "doc_id long, text string"), "k").first().safe_text
+    for i in range(5):
+        assert card not in got[i] and card.replace(" ", "") not in got[i] and "7946 0958" not in got[i] and "1234567" not in got[i] and "345 678" not in got[i], got[i]
+        assert hidden.replace(" ", "") in got[i].replace(" ", "")
+    assert got[5] != texts[5] and re.fullmatch(r"\d{3} \d{3} \d{4}", got[5])
+    assert got[6].startswith("+351 ") and got[6] != texts[6] and got[7].startswith("+7 ") and got[7] != texts[7] and got[8].startswith("+34 ") and got[8] != texts[8]
+    assert "20 7946 0958" not in got[9] and got[10] == texts[10]
+    assert [len(x) for x in got] == [len(x) for x in texts]
