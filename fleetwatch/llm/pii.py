@@ -12,18 +12,21 @@ from .common import row_of
 ROUNDS = 8
 
 #: How each kind is written, in the order in which they are tried.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 YMD = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2})(?![0-9])"
 DMY = r"(?<![0-9./-])(?:[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-NANP = r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|(?<![0-9])[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
-PHONE = r"\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?![0-9])"
+NANP = r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|(?<![0-9])[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])(?<![0-9][ -])[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?![ -]?[0-9])|\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+#: Up to five groups where no more than 15 digits follow one another, else up to three: these never have more.
+PHONE = r"\+(?:(?!(?:[ .-]?\(?[0-9]\)?){16})[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}|[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,3})(?![0-9])"
+#: Calling codes of one and of two digits; all others have three.
+ONE_DIGIT, TWO_DIGITS = r"^\+[17]", r"^\+(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 ANY = "|".join((EMAIL, IP, YMD, DMY, SSN, NANP, PHONE, CARD))
-#: Groups of digits that a card may stand in, up to where another form begins; possessive, as a text may be one long run.
-RUN = rf"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![A-Za-z])(?:(?:-|\x20(?!{EMAIL}|{IP}|{YMD}|{DMY}|{SSN}|{NANP}))[0-9]++(?![A-Za-z]))*+"
-FIRST = "|".join((EMAIL, IP, YMD, DMY, SSN, NANP, PHONE, RUN))
+#: Groups of digits that a card may stand in, after a phone too, up to where another form begins; possessive, as a text may be one long run.
+RUN = rf"(?<![0-9A-Za-z])(?:(?=[0-9](?:[ -]?[0-9]){{12}})|\+(?=[2-9](?:[ -]?[0-9]){{15}}))[0-9]++(?![A-Za-z])(?:(?:-|\x20(?!{EMAIL}|{IP}|{YMD}|{DMY}|{SSN}|{NANP}))[0-9]++(?![A-Za-z]))*+"
+FIRST = "|".join((EMAIL, IP, YMD, DMY, SSN, NANP, RUN, PHONE))
 #: How cards are grouped, as lengths; of those that begin at one place the first with a valid sum is taken.
 SHAPES = ["4 4 4 4 3", "4 4 4 4", "4 3 3 3", "4 6 5", "4 6 4", "4 4 5", "6 13", *map(str, range(19, 12, -1))]
 
@@ -212,7 +215,7 @@ def pseudonym(m: Column, key: str) -> Column:
     whole = lambda p: m.rlike(f"^(?:{p})$")
     nanp = F.when(m.startswith("+"), 1).otherwise(0)
     return (F.when(m.contains("@"), _email(m, key)).when(whole(IP), _ip(m, key)).when(whole(YMD), _date(m, key, True)).when(whole(DMY), _date(m, key, False))
-            .when(whole(SSN), _ssn(m, key)).when(whole(NANP), _phone(m, key, nanp)).when(whole(PHONE), _phone(m, key, F.lit(2))).otherwise(_card(m, key)))
+            .when(whole(SSN), _ssn(m, key)).when(whole(NANP), _phone(m, key, nanp)).when(whole(PHONE), _phone(m, key, F.when(m.rlike(ONE_DIGIT), 1).when(m.rlike(TWO_DIGITS), 2).otherwise(3))).otherwise(_card(m, key)))
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -222,16 +225,20 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     a known form) and ``n_replaced`` (those valid and changed), one row per
     input row. A value becomes the same pseudonym wherever it stands and in
     whatever grouping, and no two values of a form share one: cards keep their
-    first digit, length and check sum, phones their country, addresses their
+    first digit, length and check sum, phones their calling code, addresses their
     range, dates are days of 1800 to 2199, mail keeps its domain. Forms that
     fail their check (sum, range, calendar) stay. Null stays null, empty stays
     empty; repeated rows are treated alike; an empty table gives an empty
     result; other columns pass through under any name.
 
+    Mail domains have up to 126 labels of up to 63 characters before the last.
+    Work grows with the text however it is written: no rule repeats a group
+    without bound or looks back over a run of characters.
+
     The key is a literal of the plan: keep event logs private.
     """
     out = docs.select(row_of(docs).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    each = lambda m: F.when(m.rlike("^[0-9][0-9 -]*$"), _cards(m)).otherwise(_token(m, True))
+    each = lambda m: F.when(m.rlike(r"^(?:[0-9][0-9 -]*|\+(?:[ -]?[0-9]){16}[0-9 -]*)$"), _cards(m)).otherwise(_token(m, True))
     out = out.withColumn("tokens", F.when(F.col("text").rlike("[0-9@]"), _tokens(F.col("text"), FIRST, each)))
     out = out.withColumn("some", F.exists(F.coalesce("tokens", F.array().cast(TOKEN)), lambda x: x["form"]))
     out = out.withColumn("new", F.when(F.col("some"), F.transform("tokens", lambda x: F.when(x["form"], pseudonym(x["t"], key)).otherwise(x["t"]))))
