@@ -10,7 +10,7 @@ from ..plans.asof import hold
 from ..plans.replay import thin
 from ..plans.timeline import Timeline
 from . import inputs as I
-from .column_queries import DIRTY, _SHAPED, _dirty, shaped
+from .column_queries import DIRTY, _SHAPED, _dirty, hmac_sql, shaped
 from .registry import query, r6, with_ctes
 
 HOUR = 3600
@@ -196,11 +196,11 @@ def robots(spark, sf):
     return Timeline.of(rows, "robot_id", "recv_ts").ordered_by("recv_ts", "seq")
 
 
-def all_detections(spark, sf, tl):
+def all_detections(spark, sf, tl, measures=False):
     ev = I.events(spark, sf)
     alarm = G.publisher_alarm(tick_publishers(spark, sf), I.topic_allow(spark, sf), I.EVENT_TOPICS)
     return D.detections(
-        I.ticks(spark, sf), ev, ev, timed_scans(spark, sf), beats(spark, sf), alarm, lin_max=0.9, ang_max=4.5, share=0.45, beat_timeout=172800, tl=tl
+        I.ticks(spark, sf), ev, ev, timed_scans(spark, sf), beats(spark, sf), alarm, lin_max=0.9, ang_max=4.5, share=0.45, beat_timeout=172800, tl=tl, measures=measures
     )
 
 
@@ -236,6 +236,40 @@ def _(spark, sf):
     return out.select("robot_id", F.unix_micros("tick_ts").alias("t"), F.array_join("votes", ",").alias("votes"), "verdict", "emitted")
 
 
+# What each voting detector saw, the alert's text and the signed message of every emitted alert.
+_SIGNED = _ALL.rstrip() + ",\n" + greedy("kept", "(SELECT *, 0 AS seq FROM verdicts WHERE verdict IN ('vote', 'strong-D4'))", 86400, us="t") + f""",
+cmdx AS (
+  SELECT robot_id, us, max(abs(v_lin)) OVER {W5} AS max_lin, max(abs(v_ang)) OVER {W5} AS max_ang, avg(v_lin) OVER {W5} AS cmd5, avg(abs(v_lin)) OVER {W10} AS speed10,
+         count(CASE WHEN v_lin > 0.01 THEN 1 END) OVER {W20} AS fwd, count(CASE WHEN v_lin < -0.01 THEN 1 END) OVER {W20} AS bwd, count(*) OVER {W20} AS n20 FROM ev),
+sent AS (SELECT v.* FROM verdicts v JOIN kept k ON v.robot_id = k.robot_id AND v.t = k.us WHERE verdict IN ('vote', 'strong-D4')),
+saw AS (
+  SELECT s.robot_id, s.t, s.votes, s.verdict, MAP {{
+    'D1': 'lin=' || coalesce(floor(c.max_lin * 1000 + 1e-6)::BIGINT::VARCHAR, '-') || ' ang=' || coalesce(floor(c.max_ang * 1000 + 1e-6)::BIGINT::VARCHAR, '-'),
+    'D2': 'fwd=' || c.fwd || ' bwd=' || c.bwd || ' of ' || c.n20, 'D3': 'diff=' || coalesce(floor(m.diff4 * 1000000 + 1e-6)::BIGINT::VARCHAR, '-'),
+    'D4': p.d4_info, 'D5': 'silent ms=' || ((s.t - l.last_beat) // 1000),
+    'D6': 'speed=' || coalesce(floor(c.speed10 * 1000 + 1e-6)::BIGINT::VARCHAR, '-') || ' command=' || coalesce(floor(c.cmd5 * 1000 + 1e-6)::BIGINT::VARCHAR, '-')
+          || ' still=' || coalesce(floor(m.diff2 * 1000000 + 1e-6)::BIGINT::VARCHAR, '-')}} AS seen
+  FROM sent s ASOF LEFT JOIN cmdx c ON s.robot_id = c.robot_id AND s.t >= c.us ASOF LEFT JOIN motion m ON s.robot_id = m.robot_id AND s.t >= m.us
+  LEFT JOIN latch l ON s.robot_id = l.robot_id AND s.t = l.t LEFT JOIN alarm p ON s.robot_id = p.robot_id AND s.t = p.t),
+texts AS (
+  SELECT robot_id, t, verdict, '[behaviour alert] (' || CASE WHEN verdict = 'vote' THEN 'vote=' || len(votes) || '/6 >= 2' ELSE 'strong signal' END || '):' || chr(10)
+         || array_to_string(list_transform(votes, lambda v: '  - ' || v || '[' || coalesce(seen[v], '') || ']'), chr(10)) AS payload FROM saw),
+signed AS (
+  SELECT *, '{{"channel":"alerts","nonce":"' || substr({hmac_sql("robot_id || '|' || t || '|' || verdict", I.KEY)}, 1, 16) || '","payload":' || to_json(payload)::VARCHAR || ',"ts":' || (t // 1000000) || '}}' AS body FROM texts)
+"""
+
+
+def signed_alerts(spark, sf):
+    tl = robots(spark, sf)
+    return D.signed_alerts(all_detections(spark, sf, tl, True), I.KEY, 86400, tl)
+
+
+@query("signed_alerts", "G15", "C2", "B19", sql=_SIGNED + f"""
+SELECT robot_id, t, verdict, payload, '{{"body":' || to_json(body)::VARCHAR || ',"sig":"' || {hmac_sql('body', I.KEY)} || '"}}' AS raw FROM signed""")
+def _(spark, sf):
+    return signed_alerts(spark, sf).select("robot_id", F.unix_micros("tick_ts").alias("t"), "verdict", "payload", "raw")
+
+
 @query("detector_hits", "F2", sql=with_ctes(I.EV, PHYS) + """
 SELECT robot_id, day, d1, d2, sum(d1) OVER w::BIGINT AS d1_total, sum(d2) OVER w::BIGINT AS d2_total FROM (
   SELECT robot_id, us // 86400000000 AS day, count(*) FILTER (d1) AS d1, count(*) FILTER (v_lin < 0) AS d2 FROM fired GROUP BY ALL)

@@ -10,7 +10,7 @@ from ..operators import alerts as A, artifacts as R, graph as G, integrity as S,
 from ..session import checkpointed
 from . import inputs as I
 from .column_queries import hmac_sql
-from .detector_queries import HOUR, greedy
+from .detector_queries import HOUR, _SIGNED, greedy, signed_alerts
 from .registry import query, r6, with_ctes
 
 # -- messages ------------------------------------------------------------------
@@ -296,7 +296,8 @@ def _numbered(src: str) -> str:
     return f"src AS (SELECT *, row_number() OVER (PARTITION BY robot_id ORDER BY us, seq) AS rn FROM {src})"
 
 
-@query("patrol_pause", "G5", sql="WITH RECURSIVE " + I.EV + ",\n" + _numbered("(SELECT * FROM ev WHERE event_type = 'error')") + f""",
+#: Pauses of 12 hours, a quiet time of 72 after two within 96.
+_PAUSES = f""",
 m AS (
   SELECT robot_id, rn, us, 'pause' AS action, us AS pause, us AS hist, NULL::BIGINT AS quiet, false AS escalated FROM src WHERE rn = 1
   UNION ALL
@@ -308,13 +309,27 @@ m AS (
     SELECT s.robot_id, s.rn, s.us, m.pause, m.hist, m.quiet, CASE WHEN m.quiet IS NULL THEN m.hist END AS h,
            CASE WHEN m.quiet IS NOT NULL AND s.us < m.quiet THEN 'quiet' WHEN s.us < m.pause + {12 * HOUR}000000 THEN 'counted' ELSE 'pause' END AS action
     FROM m JOIN src s ON s.robot_id = m.robot_id AND s.rn = m.rn + 1))
-SELECT robot_id, us, action, escalated FROM m""")
+"""
+
+
+@query("patrol_pause", "G5", sql="WITH RECURSIVE " + I.EV + ",\n" + _numbered("(SELECT * FROM ev WHERE event_type = 'error')") + _PAUSES + "SELECT robot_id, us, action, escalated FROM m")
 def _(spark, sf):
     a = I.events(spark, sf).where("event_type = 'error'")
     p = A.patrol_pause(a, pause_s=12 * HOUR, window_s=96 * HOUR, quiet_s=72 * HOUR)
     return p.select("robot_id", F.col("t").alias("us"), "action", "escalated")
 
 
+@query("alert_to_pause", "G15", "C3", "G5", sql=_SIGNED.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + _numbered("(SELECT robot_id, t + 1000000 AS us, 0 AS seq FROM signed)") + _PAUSES + "SELECT robot_id, us, action, escalated FROM m")
+def _(spark, sf):
+    """Alerts signed by the detector node, delivered a second later and twice, verified by the patrol, which pauses."""
+    sent = signed_alerts(spark, sf).select("robot_id", "tick_ts", "raw")
+    copies = sent.withColumn("after", F.explode(F.array(F.lit(1), F.lit(2))))
+    arrived = copies.select("robot_id", (F.col("tick_ts") + F.make_dt_interval(secs=F.col("after"))).alias("recv_ts"), F.col("after").cast("long").alias("seq"), F.col("robot_id").alias("receiver"), "raw")
+    accepted = S.verify(arrived, I.KEY, F.lit("alerts")).where("reject_reason IS NULL")
+    p = A.patrol_pause(accepted, pause_s=12 * HOUR, window_s=96 * HOUR, quiet_s=72 * HOUR)
+    return p.select("robot_id", F.col("t").alias("us"), "action", "escalated")
+
+
 @query("mission_mode", "G6", sql="WITH RECURSIVE " + I.EV + ",\n" + _numbered("(SELECT *, CASE event_type WHEN 'error' THEN 'alert' WHEN 'view' THEN 'tick' ELSE 'sensor' END AS kind, k < 35 AS danger FROM ev)") + f""",
 m AS (
   SELECT robot_id, 0::BIGINT AS rn, 0::BIGINT AS us, 'PATROL' AS mode, NULL::BIGINT AS since, []::BIGINT[] AS stops, false AS escalated, false AS emitted, '' AS cause FROM src WHERE rn = 1

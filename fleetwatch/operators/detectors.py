@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.crypto import hmac_sha256
 from ..functions.scan import frame_diff, frame_std, gate_scan, share_near_max
+from ..functions.text import detector_text
 from ..plans.asof import hold
 from ..plans.replay import thin
 from ..plans.timeline import Timeline
 from ..session import checkpointed
+from .integrity import sign
 
 # The live limits of the six detectors.
 LIN_MAX, ANG_MAX = 0.23, 3.00
@@ -186,8 +189,8 @@ def detector_hits(at_ticks: DataFrame, detectors=("d1", "d2", "d3", "d4", "d5",
 def detections(ticks: DataFrame, cmd: DataFrame, odom: DataFrame, scan: DataFrame, beats: DataFrame,
                publisher_alarms: DataFrame, lin_max: float = LIN_MAX, ang_max: float = ANG_MAX, share: float = DIRECTION_SHARE,
                repeat: float = REPEAT_DIFF, still: float = STILL_DIFF, moving: float = MOVING, frozen: float = FROZEN,
-               beat_timeout: float = BEAT_TIMEOUT_S, min_points: int = 50, tl: Timeline | None = None) -> DataFrame:
-    """All six detectors at every tick.
+               beat_timeout: float = BEAT_TIMEOUT_S, min_points: int = 50, tl: Timeline | None = None, measures: bool = False) -> DataFrame:
+    """All six detectors at every tick; with ``measures`` also what they saw, for :func:`details`.
 
     Frame metrics are computed per message and carried to ticks by one as-of
     pass; that equals evaluating the buffers at the tick. Robot sizes are
@@ -200,9 +203,9 @@ def detections(ticks: DataFrame, cmd: DataFrame, odom: DataFrame, scan: DataFram
     held = hold(
         ticks,
         [
-            (commands.withColumnRenamed("seq", "_tie"), "recv_ts", ["d1", "d2", "cmd5", "cmds"]),
+            (commands.withColumnRenamed("seq", "_tie"), "recv_ts", ["d1", "d2", "cmd5", "cmds", *(["max_lin", "max_ang", "fwd", "bwd", "n20"] if measures else [])]),
             (odom_speed(odom, tl).withColumnRenamed("seq", "_tie"), "recv_ts", ["speed10", "odoms"]),
-            (scan_motion(scan, tl, repeat, min_points).withColumnRenamed("seq", "_tie"), "recv_ts", ["d3", "diff2", "frames"]),
+            (scan_motion(scan, tl, repeat, min_points).withColumnRenamed("seq", "_tie"), "recv_ts", ["d3", "diff2", "frames", *(["diff4"] if measures else [])]),
             (beats.select("robot_id", "recv_ts", F.col("seq").alias("_tie"), F.col("recv_ts").alias("last_beat")), "recv_ts", ["last_beat"]),
         ],
         "robot_id",
@@ -222,14 +225,45 @@ def detections(ticks: DataFrame, cmd: DataFrame, odom: DataFrame, scan: DataFram
     return latched(judged, tl)
 
 
-def ids(at_ticks: DataFrame, cooldown: float = COOLDOWN_S, tl: Timeline | None = None) -> DataFrame:
-    """Latch, vote and cooldown: alert ticks with ``emitted`` true or swallowed.
+def details(beat_ts: str = "last_beat") -> Column:
+    """One text per voting detector with what it saw, in whole thousandths (micro for scan differences); needs ``measures``."""
+    def whole(c: str, scale: int) -> Column:
+        return F.coalesce(F.floor(F.col(c) * scale + 1e-6).cast("string"), F.lit("-"))
+
+    gap = F.floor((F.unix_micros("tick_ts") - F.unix_micros(beat_ts)) / 1000).cast("string")
+    seen = {
+        "D1": F.concat(F.lit("lin="), whole("max_lin", 1000), F.lit(" ang="), whole("max_ang", 1000)),
+        "D2": F.concat(F.lit("fwd="), F.col("fwd").cast("string"), F.lit(" bwd="), F.col("bwd").cast("string"), F.lit(" of "), F.col("n20").cast("string")),
+        "D3": F.concat(F.lit("diff="), whole("diff4", 1_000_000)),
+        "D4": F.col("d4_info"),
+        "D5": F.concat(F.lit("silent ms="), gap),
+        "D6": F.concat(F.lit("speed="), whole("speed10", 1000), F.lit(" command="), whole("cmd5", 1000), F.lit(" still="), whole("diff2", 1_000_000)),
+    }
+    texts = F.create_map(*[x for k, v in seen.items() for x in (F.lit(k), F.concat(F.lit(f"{k}["), F.coalesce(v, F.lit("")), F.lit("]")))])
+    return F.transform("votes", lambda v: F.element_at(texts, v))
+
+
+def signed_alerts(at_ticks: DataFrame, key: bytes, cooldown: float = COOLDOWN_S, tl: Timeline | None = None, channel: str = "alerts") -> DataFrame:
+    """(robot_id, tick_ts, votes, verdict, payload, raw): emitted alerts, signed, from ``detections`` with ``measures``.
+
+    The nonce is a keyed hash of robot, tick and verdict: a repeated task or a
+    replayed trigger signs the same message again, which receivers refuse as a copy.
+    """
+    seen = ids(at_ticks, cooldown, tl, {"details": details()}).where("emitted")
+    text = seen.withColumn("payload", detector_text(F.col("votes"), F.col("details"), F.col("verdict")))
+    second = F.floor(F.unix_micros("tick_ts") / 1_000_000)
+    nonce = F.substring(hmac_sha256(F.concat_ws("|", "robot_id", F.unix_micros("tick_ts").cast("string"), "verdict"), key), 1, 16)
+    return sign(text, key, F.col("payload"), F.lit(channel), second, nonce).select("robot_id", "tick_ts", "votes", "verdict", "payload", "raw")
+
+
+def ids(at_ticks: DataFrame, cooldown: float = COOLDOWN_S, tl: Timeline | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """Latch, vote and cooldown: alert ticks with ``emitted`` true or swallowed, and the columns ``more``.
 
     The few alert ticks are written once; the cooldown reads them twice.
     """
     voting = vote(at_ticks.withColumn("d5", F.col("d5_new")))
     alerts = voting.where(F.col("verdict").isin("vote", "strong-D4")).withColumn("seq", F.lit(0).cast("long"))
-    alerts = checkpointed(alerts.select("robot_id", "tick_ts", "seq", "votes", "verdict"))
+    alerts = checkpointed(alerts.select("robot_id", "tick_ts", "seq", "votes", "verdict", *[c.alias(n) for n, c in (more or {}).items()]))
     tl = tl.ordered_by("tick_ts", "seq") if tl else Timeline.of(alerts, "robot_id", ("tick_ts", "seq"))
     return thin(alerts, tl, cooldown, mark="emitted").drop("seq")
 

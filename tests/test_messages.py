@@ -172,3 +172,16 @@ def test_alerts_of_a_robot_without_a_start_are_counted(spark):
     starts = spark.createDataFrame([("a", 95)], "robot_id string, s long").select("robot_id", F.timestamp_seconds("s").alias("started"))
     got = sorted((r.robot_id, r.window_start, r.total) for r in A.burst_summary(alerts, starts).select("robot_id", F.unix_seconds("window_start").alias("window_start"), "total").collect())
     assert got == [("a", 95, 1), ("b", 205, 2), ("b", 235, 1)]
+
+
+def test_signed_alerts_are_accepted_and_stable(spark):
+    from fleetwatch.catalog import detector_queries as Q, inputs as I
+
+    sent = Q.signed_alerts(spark, "/root/testdata/sf0.001").cache()
+    assert sent.count() > 20 and sent.where("raw IS NULL OR payload NOT LIKE '[behaviour alert]%  - D_[%'").isEmpty()
+    again = {r.raw for r in Q.signed_alerts(spark, "/root/testdata/sf0.001").collect()}
+    assert again == {r.raw for r in sent.collect()}
+    got = sent.select(F.lit("patrol").alias("receiver"), F.col("tick_ts").alias("recv_ts"), F.xxhash64("raw").alias("seq"), "raw")
+    assert S.verify(got, I.KEY, F.lit("alerts")).where("reject_reason IS NOT NULL").isEmpty()
+    twice = got.unionByName(got.withColumn("seq", F.col("seq") + 1))
+    assert S.verify(twice, I.KEY, F.lit("alerts")).where("reject_reason = 'replay'").count() == sent.count()
