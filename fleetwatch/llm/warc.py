@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+import warnings
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -13,13 +14,15 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fleetwatch.plans.orderstat import first_rows
+
 from .common import saved, shared_dir, small_batches
 
 #: Fixed value of the format: the little-endian magic number of a skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
 #: Payloads shorter than this are always written in full.
 LEAST_PAYLOAD = 100
-#: The sample that a dictionary is trained on: so many records of at most so many bytes; the dictionary's size.
+#: The sample that a dictionary is trained on: so many different payloads, of each at most so many characters; the dictionary's size.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1_000, 16_000, 64_000
 #: An archive is closed after the record that takes it over this size.
 ARCHIVE_BYTES = 128 << 20
@@ -27,13 +30,25 @@ LEVEL = 5
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded, seeded sample of the records to archive; empty if they are too few."""
-    small = pages.where((F.octet_length("html") > 0) & (F.octet_length("html") <= SAMPLE_BYTES))
-    sample = small.orderBy(F.xxhash64("html"), "html").select("html").limit(SAMPLE_RECORDS).collect()
-    records = [r.html.encode("utf-8", "replace") for r in sample]
+    """A dictionary from a bounded, seeded sample of the records to archive.
+
+    The sample holds at most SAMPLE_RECORDS different payloads, those whose
+    hash comes first, and of a long one a piece of SAMPLE_BYTES characters from
+    a place that its hash tells. Only the sample comes to the driver. Without
+    enough material there is no dictionary (empty), and a warning says so.
+    """
+    some = pages.where(F.octet_length("html") > 0).select(F.xxhash64("html").alias("h"), "html")
+    last = first_rows(some.select("h").distinct(), SAMPLE_RECORDS, [F.col("h")]).agg(F.max("h")).first()[0]
+    records = []
+    if last is not None:
+        start = F.pmod("h", F.greatest(F.length("html") - SAMPLE_BYTES, F.lit(0)) + 1) + 1
+        piece = F.substr(F.col("html"), start.cast("int"), F.lit(SAMPLE_BYTES))
+        drawn = some.where(F.col("h") <= last).select("h", piece.alias("piece")).groupBy("h").agg(F.min("piece").alias("piece")).collect()
+        records = [r.piece.encode("utf-8", "replace") for r in sorted(drawn, key=lambda r: r.h)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, records, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
+    except (zstandard.ZstdError, ValueError) as e:
+        warnings.warn(f"archives are written without a dictionary: {len(records)} records are too little to train on ({e})", stacklevel=2)
         return b""
 
 

@@ -49,6 +49,21 @@ def test_dictionary_frame_and_single_record_frames(spark, sf, tmp_path):
     assert n == listed[0].records
 
 
+def test_dictionary_sample_is_of_different_payloads(spark):
+    import random
+
+    rnd = random.Random(3)
+    words = [f"word{i}" for i in range(300)]
+    long = ["<p>" + " ".join(rnd.choice(words) for _ in range(6_000)) + "</p>" for _ in range(20)]
+    same = "<p>" + "one page " * 40 + "</p>"
+    pages = spark.createDataFrame([(i, t) for i, t in enumerate([same] * 1500 + long + [None, ""])], "page_id long, html string")
+    assert len(warc.train_dictionary(pages)) > 20_000  # from pieces of the long ones; the copies count once
+    with pytest.warns(UserWarning, match="without a dictionary"):
+        assert warc.train_dictionary(pages.where("page_id < 1500")) == b""
+    with pytest.warns(UserWarning, match="without a dictionary"):
+        assert warc.train_dictionary(pages.limit(0)) == b""
+
+
 def brute_repeats(texts, window):
     data = [(t or "").encode() for t in texts]
     count = Counter(d[i : i + window] for d in data for i in range(len(d) - window + 1))
