@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fleetwatch.plans.orderstat import first_rows
+
 from .common import saved
 
 #: The index is fitted on at most so many vectors, drawn by a hash of their ids; every vector is indexed.
@@ -183,7 +185,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int = PAR
     d = lengths[0]["d"] if lengths else 0
     clean = clean.where(F.size("vector") == d)
     asked = queries.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("id"), vec).where(F.size("vector") == d).distinct()
-    sample = [r.vector for r in clean.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
+    drawn = first_rows(clean.withColumn("h", F.xxhash64("id")), SAMPLE, [F.col("h"), F.col("id")]).collect()
+    sample = [r.vector for r in sorted(drawn, key=lambda r: (r.h, r.id))]
     router = fit(np.array(sample), parts) if sample else Router(np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     n_parts = router.w2.shape[1]
     tried = min(visits or router.visits, n_parts)
