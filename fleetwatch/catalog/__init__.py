@@ -6,6 +6,6 @@ from .registry import REGISTRY, Query
 
 
 def all_queries() -> dict[str, Query]:
-    from . import column_queries, detector_queries, episode_queries, message_queries  # noqa: F401
+    from . import column_queries, detector_queries, episode_queries, message_queries, storage_queries  # noqa: F401
 
     return REGISTRY

@@ -46,6 +46,14 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(target))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, a temporary one only on a local master without it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return found.rstrip("/") if found else "file://" + tempfile.mkdtemp(prefix="fleetwatch-shared-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder.
 

@@ -57,6 +57,23 @@ def test_queries_with_cut_keys(spark, con):
         spark.conf.unset("spark.fleetwatch.rowsPerTask")
 
 
+def test_readers_and_sinks_are_called_by_queries(spark, monkeypatch):
+    """Each reader and sink that a tag claims is called while its query runs."""
+    from fleetwatch.catalog import storage_queries as Q
+
+    claims = {"read_scans": {"read_scans"}, "read_motion": {"read_odom", "read_cmds", "read_imu"}, "read_messages": {"read_envelopes"}, "alert_log": {"write_alerts"},
+              "read_snapshots": {"read_node_snapshots", "read_publisher_snapshots", "reference_table"}, "health_log": {"write_health"}, "evaluation": {"write_eval", "read_episodes"}}
+    called = set()
+    for module in (Q.R, Q.K):
+        for name in [n for n in dir(module) if n.startswith(("read_", "write_", "reference_"))]:
+            real = getattr(module, name)
+            monkeypatch.setattr(module, name, lambda *a, _real=real, _name=name, **k: (called.add(_name), _real(*a, **k))[1])
+    for query, wanted in claims.items():
+        called.clear()
+        QUERIES[query].run(spark, SF)
+        assert wanted <= called, query
+
+
 def test_every_survey_row_is_covered():
     import re
     from pathlib import Path
