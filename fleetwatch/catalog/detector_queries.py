@@ -62,9 +62,10 @@ _DIFF = "coalesce(list_avg(list_filter(list_transform(range(1, least(len(a), len
 @query("frame_diff", "E3", sql=with_ctes(DIRTY) + f"""
 SELECT seq, round({_DIFF}, 6) AS diff FROM (
   SELECT seq, cut AS b, lag(cut) OVER (PARTITION BY robot_id ORDER BY seq) AS a
-  FROM (SELECT *, ranges[1:(51 + seq % 14)] AS cut FROM dirty)) WHERE a IS NOT NULL""")
+  FROM (SELECT *, list_concat(ranges, ranges[1:(seq % 14)]) AS cut FROM dirty)) WHERE a IS NOT NULL""")
 def _(spark, sf):
-    s = _dirty(spark, sf).withColumn("ranges", F.slice("ranges", F.lit(1), (51 + F.col("seq") % 14).cast("int")))
+    # frames of 64 to 77 beams: the first ones once more at the end
+    s = _dirty(spark, sf).withColumn("ranges", F.concat("ranges", F.slice("ranges", F.lit(1), (F.col("seq") % 14).cast("int"))))
     p = Timeline.of(s, "robot_id", ("recv_ts", "seq")).previous(s, {"before": "ranges"}).where("before is not null")
     return p.select("seq", r6(frame_diff(F.col("before"), F.col("ranges"))).alias("diff"))
 

@@ -66,10 +66,10 @@ def verified(spark, sf, ttl=12.0):
 
 @query("sign", "C2", sql=f"""
 SELECT doc_id, '{{"body":' || to_json(b)::VARCHAR || ',"sig":"' || {hmac_sql('b', I.KEY)} || '"}}' AS raw FROM (
-  SELECT doc_id, '{{"channel":"alerts","nonce":"' || substr(sha256(doc_id::VARCHAR), 1, 16) || '","payload":"' || lang || ' é ' || source || '","ts":' || doc_id || '}}' AS b FROM documents)""")
+  SELECT doc_id, '{{"channel":"alerts","nonce":"' || substr(sha256(doc_id::VARCHAR), 1, 16) || '","payload":' || to_json(concat_ws(' é ', lang, source, text))::VARCHAR || ',"ts":' || doc_id || '}}' AS b FROM documents)""")
 def _(spark, sf):
     d = I.text_table(spark, sf)
-    payload = F.concat_ws(" é ", "lang", "source")
+    payload = F.concat_ws(" é ", "lang", "source", "text")
     nonce = F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 16)
     return S.sign(d, I.KEY, payload, F.lit("alerts"), F.col("doc_id"), nonce).select("doc_id", "raw")
 
@@ -104,9 +104,12 @@ def _(spark, sf):
 
 
 @query("impostor_messages", "D8", sql=with_ctes(_VERIFIED) + """
-SELECT v.seq FROM verified v WHERE reason IS NULL AND NOT EXISTS (SELECT 1 FROM made m WHERE m.nonce = v.nonce AND m.seq % 5 <> 0)""")
+SELECT v.seq FROM verified v WHERE reason IS NULL AND NOT EXISTS (
+  SELECT 1 FROM made m JOIN supplier s ON m.robot_id = 'r' || s.s_suppkey WHERE m.nonce = v.nonce)""")
 def _(spark, sf):
-    ev = I.events(spark, sf).where("seq % 5 != 0")
+    """Own messages are those of robots that have a supplier's number."""
+    ours = I.table(spark, sf, "supplier").select(F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("robot_id"))
+    ev = I.events(spark, sf).join(ours, "robot_id", "left_semi")
     own = ev.select(F.substring(F.sha2(F.concat_ws("|", "event_type", F.col("k").cast("string"), F.col("user_id").cast("string")), 256), 1, 16).alias("nonce"))
     return S.impostor_messages(verified(spark, sf), own).select("seq")
 
