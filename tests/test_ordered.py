@@ -31,6 +31,15 @@ def shuffled(spark, df, by="recv_ts", parts=3, slack=SLACK, key="robot_id"):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{path}/in"), path
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """Each partition of a stateful operator starts a worker in every trigger."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="module")
 def events(spark):
     return I.events(spark, SF).cache()
