@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,8 +16,7 @@ from .common import small_batches
 
 #: The splitting rule of byte-level vocabularies, white space as Unicode's White_Space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-NEVER = 1 << 62
-#: Entries of the word and arc caches of a worker; beyond it they start anew.
+#: Entries of a worker's word memory and of its arc memory; beyond it they start anew.
 CACHED = 400_000
 
 
@@ -30,13 +30,19 @@ def byte_alphabet() -> dict[str, int]:
 class Automaton:
     """Deterministic automaton over token arcs that accepts just the sequences BPE produces.
 
-    It starts as one state with a loop per byte. The gadget of merge (u, v)
-    splits the state that u's arcs lead to: the copy lacks arc v, u's arcs lead
-    to the copy, and a new arc uv leads where v led from the old state. A copy
-    is stored as the one arc it lacks and when it lost it (``lost``), so the
-    table grows by one entry a merge: a state lacks what its token's right
-    parts had lost before the token was made (``right``, ``made``), and lacks
-    with an arc also the arcs made from it later (``left``).
+    It starts as state 0 with a loop per byte. The gadget of merge (u, v) adds
+    one state, numbered as the merge: a copy of the state that u's arcs lead to
+    (``goes``), without arc v. u's arcs lead to the copy, and every state with
+    an arc u gets a new arc uv that leads where v led. Copies made for one
+    token (``owner``) form a line that begins where its right part's arcs led
+    when the token was made (``origin``). The transition table is kept as the
+    arc each copy lost (``without``): a state has an arc unless it, or the part
+    of a line it comes from, lost the arc or a left part of it before that arc
+    was made.
+
+    A word is encoded by transitions: from each state along the longest arc
+    whose label stands there. Only one accepted sequence leads to each place
+    of a word, so a place from which no arc goes on is never tried again.
     """
 
     def __init__(self, spec: dict):
@@ -44,77 +50,86 @@ class Automaton:
         vocab: dict[str, int] = model["vocab"]
         self.labels: dict[int, bytes] = {i: bytes(alphabet[c] for c in t) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
-        self.labels |= {i: t.encode() for t, i in self.special.items()}
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.made: dict[int, int] = {}
-        self.lost: dict[tuple[int, int], int] = {}
-        for rank, merge in enumerate(model["merges"]):
+        size = max(vocab.values()) + 1
+        # of tokens: state their arcs lead to, left part, merge that made them, state their line begins from
+        self.goes, self.left, self.made, self.origin = array("i", [0]) * size, array("i", [-1]) * size, array("i", [-1]) * size, array("i", [0]) * size
+        # of states: token they were copied for; of (token, arc): state that lost the arc
+        self.owner, self.without = array("i", [-1]), {}
+        self.known: dict[int, bool] = {}
+        never = set()
+        for merge in model["merges"]:
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self._gadget(rank, vocab[a], vocab[b], vocab[a + b])
-        self.next: dict[int, int] = {}
-        self.token_at: dict[int, int] = {}
-        nodes = 1
-        for t, i in vocab.items():
-            node = 0
-            for b in self.labels[i]:
-                arc = node << 8 | b
-                if arc not in self.next:
-                    self.next[arc] = nodes
-                    nodes += 1
-                node = self.next[arc]
-            self.token_at[node] = i
-        self._allowed: dict[tuple[int, int], bool] = {}
-        split = regex.compile(SPLIT)
-        stops = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.split, self.stops = split, stops
-
-    def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
-        if uv in self.made or self.made.get(u, -1) >= rank or self.made.get(v, -1) >= rank:
+            if not self._gadget(vocab[a], vocab[b], vocab[a + b], never):
+                never.add(vocab[a + b])
+        # arc of each label, and the longest label that begins with two bytes
+        self.arcs = {self.labels[i]: i for i in vocab.values() if i not in never and (self.made[i] >= 0 or len(self.labels[i]) == 1)}
+        self.reach: dict[bytes, int] = {}
+        for label in self.arcs:
+            self.reach[label[:2]] = max(self.reach.get(label[:2], 1), len(label))
+        self.labels |= {i: t.encode() for t, i in self.special.items()}
+        self.split = regex.compile(SPLIT)
+        self.stops = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+
+    def _gadget(self, u: int, v: int, uv: int, never: set[int]) -> bool:
+        """Adds the state of a merge, whose number is its place among the merges plus one; False if u and v never meet."""
+        state = len(self.owner)
+        if self.made[uv] >= 0:
             raise ValueError("merges must make each token once, from tokens made before")
-        self.left[uv], self.right[uv], self.made[uv] = u, v, rank
-        self.lost[u, v] = rank
-
-    def arc(self, u: int, v: int) -> bool:
-        """Whether the state after token u has an arc for token v."""
-        known = self._allowed.get((u, v))
-        if known is None:
-            known, a, before = True, u, NEVER
-            while known and a is not None:
-                b, until = v, NEVER
-                while b is not None:
-                    when = self.lost.get((a, b))
-                    if when is not None and when < before and when <= until:
-                        known = False
-                        break
-                    until, b = self.made.get(b, -1), self.left.get(b)
-                before, a = self.made.get(a, -1), self.right.get(a)
-            if len(self._allowed) >= CACHED:
-                self._allowed.clear()
-            self._allowed[u, v] = known
-        return known
+        met = u not in never and v not in never and self.has(self.goes[u], v)
+        self.goes[uv] = self.origin[uv] = self.goes[v]
+        self.owner.append(u)
+        self.without[u << 32 | v] = self.goes[u] = state
+        self.left[uv], self.made[uv] = u, state
+        return met
+
+    def has(self, state: int, token: int) -> bool:
+        """Whether a state has an arc of a token."""
+        owner, origin, left, made, without = self.owner, self.origin, self.left, self.made, self.without
+        while state:
+            of = owner[state]
+            arc, until = token, state
+            while arc >= 0:
+                lost = without.get(of << 32 | arc)
+                if lost is not None and lost <= until:
+                    return False
+                until, arc = min(state, made[arc]), left[arc]
+            state = origin[of]
+        return True
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """Tokens of one pre-split word: each prefix has just one accepted sequence, so its last token is kept per place."""
-        n, follow, token_at, arc = len(word), self.next, self.token_at, self.arc
-        last: list[int | None] = [None] * (n + 1)
-        came = [0] * (n + 1)
-        for j in range(n):
-            u, node = last[j], 0
-            if u is None and j:
+        """Tokens of one pre-split word."""
+        token = self.arcs.get(word)
+        if token is not None:
+            return (token,)
+        n, arcs, reach, goes, labels, known = len(word), self.arcs, self.reach, self.goes, self.labels, self.known
+        out: list[int] = []
+        ends = bytearray(n + 1)  # places that lead nowhere
+        at = state = 0
+        to = min(n, reach.get(word[:2], 1))
+        while at < n:
+            while to > at:
+                token = arcs.get(word[at:to])
+                if token is not None and not ends[to]:
+                    fits = known.get(state << 32 | token)
+                    if fits is None:
+                        if len(known) >= CACHED:
+                            known.clear()
+                        fits = known[state << 32 | token] = self.has(state, token)
+                    if fits:
+                        break
+                to -= 1
+            else:
+                if not out:
+                    raise ValueError("a byte without a token")
+                ends[at] = 1
+                to = at - 1
+                at -= len(labels[out.pop()])
+                state = goes[out[-1]] if out else 0
                 continue
-            for i in range(j, n):
-                node = follow.get(node << 8 | word[i])
-                if node is None:
-                    break
-                t = token_at.get(node)
-                if t is not None and (not j or arc(u, t)):
-                    last[i + 1], came[i + 1] = t, j
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i = came[i]
-        return tuple(reversed(out))
+            out.append(token)
+            at, state = to, goes[token]
+            to = min(n, at + reach.get(word[at : at + 2], 1))
+        return tuple(out)
 
     def pieces(self, text: str) -> Iterator[str | int]:
         """Pre-split words of a text; a special token's string gives its id."""
@@ -127,7 +142,7 @@ class Automaton:
         yield from (self.split.findall(text, at) if at else self.split.findall(text))
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in self.pieces(text) for i in ((w,) if isinstance(w, int) else self.encode_word(w.encode()))]
+        return [i for w in self.pieces(text) for i in ((w,) if isinstance(w, int) else self.encode_word(w.encode("utf-8", "surrogatepass")))]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -201,7 +202,9 @@ def test_tokens_equal_the_library(spark, documents, odd_documents):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(vocabulary())
     machine = bpe.automaton(vocabulary())
-    tricky = ["<|endoftext|>a <|endoftext|>", "a" * 300, "!" * 77, "   \n\n x\t y", "I'll we've 'S", "\x1c\x1f\u0085​　字😀", "= " * 50, "…" * 20]
+    rnd = random.Random(3)
+    mixed = ["".join(rnd.choice("ab etnhis'.,!1 2\n\t\u2009—éß字\U0001f600") for _ in range(60)) for _ in range(300)] + ["".join(rnd.choice("ABCDEFabcdef0123456789+/") for _ in range(5000))]
+    tricky = [*mixed, "<|endoftext|>a <|endoftext|>", "a" * 300, "!" * 77, "   \n\n x\t y", "I'll we've 'S", "\x1c\x1f\u0085​　字😀", "= " * 50, "…" * 20]
     texts = tricky + [r.text for r in documents.limit(80).collect()]
     for t in texts:
         want = library.encode(t, add_special_tokens=False).ids
