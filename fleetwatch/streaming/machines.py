@@ -308,18 +308,20 @@ class NodeMonitor:
 class Notify:
     """Leading edge at once, a summary per window, push-limit flag.
 
-    Windows count from the epoch; a summary is emitted with the first row of a
+    Windows count from the epoch, or with ``from_first`` from the key's first
+    alert, as the batch plan does where ``starts`` names that time; a summary is emitted with the first row of a
     later window or when ``idle_s`` runs out.
     """
 
     schema = "t long, kind string, total long, listed long, overflow long, names array<string>, rate_limited boolean"
     cols = ("node", "is_exit")
 
-    def __init__(self, window_s: float = 30, limit_s: float = 15, cap: int = 256, shown: int = 10):
+    def __init__(self, window_s: float = 30, limit_s: float = 15, cap: int = 256, shown: int = 10, from_first: bool = False):
         self.window, self.limit, self.cap, self.shown = int(window_s * SEC), int(limit_s * SEC), cap, shown
+        self.from_first = from_first
 
     def initial(self):
-        return {"w": None, "total": 0, "joins": 0, "names": [], "edge": None, "sent": None}
+        return {"w": None, "total": 0, "joins": 0, "names": [], "edge": None, "sent": None, "origin": None if self.from_first else 0}
 
     def _send(self, s, t, kind, total, listed, overflow, names):
         limited = s["sent"] is not None and t - s["sent"] < self.limit
@@ -342,7 +344,9 @@ class Notify:
         s = dict(s)
         out = []
         for t, node, is_exit in rows:
-            w = t // self.window * self.window
+            if s["origin"] is None:
+                s["origin"] = t
+            w = (t - s["origin"]) // self.window * self.window + s["origin"]
             if s["w"] is not None and w > s["w"]:
                 out.extend(self._flush(s))
             s["w"] = w

@@ -1,6 +1,8 @@
 """A stream in several micro-batches gives what the batch gives."""
 
+import random
 import tempfile
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -330,3 +332,19 @@ def test_overlapping_pauses_resume_once(spark):
     odom = spark.createDataFrame([], "robot_id string, recv_ts timestamp, seq long, x double, y double, arrived boolean")
     got = sorted((r.robot_id, r.t, r.kind) for r in A.patrol_line(odom, None, pauses).withColumn("t", F.unix_micros("recv_ts")).collect())
     assert got == [("a", 0, "pause"), ("a", 40, "resume"), ("a", 50, "pause"), ("a", 60, "resume"), ("b", 5, "pause"), ("b", 6, "resume")]
+
+
+def test_notify_windows_from_the_first_alert(spark):
+    rnd = random.Random(5)
+    times = sorted(rnd.sample(range(1_000_007, 1_000_400), 60))
+    rows = [("r", datetime.fromtimestamp(t, timezone.utc), i, f"n{i}", i % 7 == 0) for i, t in enumerate(times)]
+    alerts = spark.createDataFrame(rows, "robot_id string, recv_ts timestamp, seq long, node string, is_exit boolean")
+    starts = spark.createDataFrame([rows[0][:2]], "robot_id string, started timestamp")
+    want = sorted((int(r.t), r.kind, r.total, r.rate_limited) for r in A.notify(alerts, starts=starts).selectExpr("unix_micros(sent_ts) t", "kind", "total", "rate_limited").collect())
+    machine = SM.Notify(from_first=True)
+    got, state = [], machine.initial()
+    for at in range(0, len(rows), 13):  # the state goes through several triggers
+        sent, state = machine.run([(t * 1_000_000, n, x) for t, (_, _, _, n, x) in list(zip(times, rows))[at : at + 13]], state)
+        got += sent
+    got += machine.expire(state)
+    assert sorted((r[0], r[1], r[2], r[6]) for r in got) == want and len(want) > 10
