@@ -4,13 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetwatch.plans.orderstat import first_rows
-
 from .common import SPACES, saved, words_of
 
 BUCKETS = 10_000
-#: Labelled rows that the target counts and the threshold are fitted on; the documented bound of the sample.
-LABELLED = 100_000
 BIN = 0.005
 SYMBOLS = "#*$%&|<>"
 
@@ -76,40 +72,44 @@ def with_score(df: DataFrame, weights: DataFrame) -> DataFrame:
     return df.withColumn("score", F.when(F.col("_n") > 0, total / (2 * F.col("_n") - 1)).otherwise(0.0)).drop("_weights")
 
 
-def labelled_sample(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
-    """At most ``bound`` labelled ids, the same ones each time: (id, good)."""
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every document with a label: (_text, _good, _q). Ids labelled several times are good if all their labels are."""
     one = labels.select(F.col("doc_id").alias("_id"), (F.col("quality") == 1).alias("_q"), (F.coalesce("toxic", F.lit(0)) == 1).alias("_t"))
-    one = one.where("_id IS NOT NULL AND _q IS NOT NULL").groupBy("_id").agg(F.min(F.col("_q") & ~F.col("_t")).alias("_good"), F.min("_q").alias("_q"))
-    return first_rows(one, bound, [F.xxhash64("_id"), F.col("_id")])
+    ids = one.where("_id IS NOT NULL AND _q IS NOT NULL").groupBy("_id").agg(F.min(F.col("_q") & ~F.col("_t")).alias("_good"), F.min("_q").alias("_q"))
+    return docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(ids.hint("shuffle_hash"), "_id").drop("_id")
+
 
+def _gram_counts(texts: DataFrame, text: str, name: str) -> DataFrame:
+    """(b, name): how often the words and word pairs of whole texts fall into each bucket."""
+    pairs = F.inline(F.arrays_zip(F.col("_h").alias("b"), F.concat(F.array(F.lit(None).cast("long")), F.col("_h")).alias("a")))
+    grams = hashed_words(texts.select(text), text).select(pairs.alias("b", "a")).where("b IS NOT NULL")
+    each = F.explode(F.array(_bucket(F.col("b")), F.when(F.col("a").isNotNull(), _bucket(F.xxhash64("a", "b")))))
+    return grams.select(each.alias("b")).where("b IS NOT NULL").groupBy("b").agg(F.count("*").alias(name))
 
-def gram_weights(docs: DataFrame, sample: DataFrame) -> DataFrame:
+
+def gram_weights(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """One row: ``weights``, the log ratio of target and raw probability of each bucket, with one added to each count.
 
-    Raw counts cover every document; target counts the good documents of the
-    labelled sample. Without any good document all weights are 0.
+    Raw counts cover every document, target counts every good one of
+    :func:`labelled_texts`. Without any good document all weights are 0.
     """
-    marked = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(sample.select("_id", "_good")), "_id", "left")
-    pairs = F.inline(F.arrays_zip(F.col("_h").alias("b"), F.concat(F.array(F.lit(None).cast("long")), F.col("_h")).alias("a")))
-    grams = hashed_words(marked, "_text").select(F.coalesce("_good", F.lit(False)).alias("good"), pairs.alias("b", "a")).where("b IS NOT NULL")
-    each = F.explode(F.array(_bucket(F.col("b")), F.when(F.col("a").isNotNull(), _bucket(F.xxhash64("a", "b")))))
-    counts = grams.select("good", each.alias("b")).where("b IS NOT NULL").groupBy("b").agg(F.count("*").alias("raw"), F.count(F.when(F.col("good"), 1)).alias("target"))
+    raw = saved(_gram_counts(docs, "text", "raw"), "raw-counts")
+    target = saved(_gram_counts(labelled.where("_good"), "_text", "target"), "target-counts")
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
-    full = every.join(F.broadcast(saved(counts, "gram-counts")), "b", "left").na.fill(0)
+    full = every.join(F.broadcast(raw), "b", "left").join(F.broadcast(target), "b", "left").na.fill(0)
     both = full.agg(F.array_sort(F.collect_list(F.struct("b", "target", "raw"))).alias("c"), F.sum("target").alias("t"), F.sum("raw").alias("r"))
     ratio = lambda x: F.log((x["target"] + 1) / (F.col("t") + BUCKETS)) - F.log((x["raw"] + 1) / (F.col("r") + BUCKETS))
     return both.select(F.when(F.col("t") > 0, F.transform("c", ratio)).otherwise(F.array_repeat(F.lit(0.0), BUCKETS)).alias("weights"))
 
 
-def fit_threshold(docs: DataFrame, sample: DataFrame, weights: DataFrame) -> float | None:
+def fit_threshold(labelled: DataFrame, weights: DataFrame) -> float | None:
     """The score from which labelled documents are kept.
 
-    Of all cuts between bins of the labelled scores the one with the largest
+    Of all cuts between bins of all labelled scores the one with the largest
     share of good documents kept plus share of bad ones refused; of equal ones
     the middle of the lowest run. Without bad labels nothing is refused.
     """
-    some = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(sample), "_id")
-    scored = with_score(hashed_words(some, "_text"), weights).select(F.floor(F.col("score") / BIN).alias("bin"), "_q")
+    scored = with_score(hashed_words(labelled, "_text"), weights).select(F.floor(F.col("score") / BIN).alias("bin"), "_q")
     bins = sorted(scored.groupBy("bin").agg(F.count(F.when(F.col("_q"), 1)).alias("good"), F.count(F.when(~F.col("_q"), 1)).alias("bad")).collect())
     good, bad = sum(r.good for r in bins), sum(r.bad for r in bins)
     if not good or not bad:
@@ -125,8 +125,8 @@ def fit_threshold(docs: DataFrame, sample: DataFrame, weights: DataFrame) -> flo
     return BIN * (low + 1 + cuts[0]) / 2
 
 
-def judge(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFrame:
-    """Base rules and likelihood ratio of every document.
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Base rules and likelihood ratio of every document, fitted on all labelled ones.
 
     ``docs`` has doc_id and text, ``labels`` doc_id, quality and toxic. Returns
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -137,9 +137,9 @@ def judge(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFram
     threshold; without good and bad labels the base rules decide alone.
     """
     docs = docs.select("doc_id", "text")
-    sample = saved(labelled_sample(labels, bound), "labelled")
-    weights = saved(gram_weights(docs, sample), "weights")
-    cut = fit_threshold(docs, sample, weights)
+    labelled = saved(labelled_texts(docs, labels), "labelled", "zstd")
+    weights = saved(gram_weights(docs, labelled), "weights")
+    cut = fit_threshold(labelled, weights)
     out = with_score(base_columns(hashed_words(docs, "text"), "text"), weights)
     cut_col = F.lit(cut).cast("double")
     kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= cut_col, F.lit(True))
@@ -149,9 +149,9 @@ def judge(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFram
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that :func:`judge` keeps, with all their columns."""
-    sample = saved(labelled_sample(labels), "labelled")
-    weights = saved(gram_weights(docs, sample), "weights")
-    cut = fit_threshold(docs, sample, weights)
+    labelled = saved(labelled_texts(docs, labels), "labelled", "zstd")
+    weights = saved(gram_weights(docs, labelled), "weights")
+    cut = fit_threshold(labelled, weights)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("text"))
     judged = with_score(base_columns(hashed_words(packed, "text"), "text"), weights)
     good = ~F.col("base_failed") & F.coalesce(F.col("score") >= F.lit(cut).cast("double"), F.lit(True))

@@ -81,6 +81,16 @@ def test_quality_without_labels_or_rows(spark, documents, sf):
     assert quality.keep_good(documents.limit(0), labels).columns == documents.columns
 
 
+def test_quality_is_fitted_on_every_label(spark):
+    n = 120_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "bad").otherwise("good").alias("text"))
+    labels = docs.select("doc_id", (F.col("text") == "good").cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    good, bad, size = n * 2 // 3, n // 3, quality.BUCKETS
+    score = {"good": math.log((good + 1) / (good + size)) - math.log((good + 1) / (n + size)), "bad": math.log(1 / (good + size)) - math.log((bad + 1) / (n + size))}
+    got = {r.doc_id % 3 > 0: r.score for r in quality.judge(docs, labels).where("doc_id < 3").collect()}
+    assert got == pytest.approx({True: score["good"], False: score["bad"]}, abs=1e-12)
+
+
 def brute_lines(rows, least):
     sites, first = defaultdict(set), {}
     for i, t, s in rows:
