@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.crypto import hashed_draws
 from ..functions.geometry import goal_distance, grid_cell
@@ -54,25 +58,137 @@ def running_min_clearance(steps: DataFrame, nearest: str = "nearest") -> DataFra
     return _steps(steps).running(steps, {"min_clearance": ("min", F.col(nearest))})
 
 
+#: What ``rolling_scores`` averages over the last n rows.
+SCORES = ("reward", "steps", "spl", "success", "collision", "timeout", "wp_done")
+
+
 def rolling_scores(episodes: DataFrame, n: int = 100, order=("episode",)) -> DataFrame:
-    """Means over the last n episodes of each run; clearance over its last n finite values."""
+    """Means over the last n episodes of each run; clearance over its last n finite values.
+
+    Rows are shuffled and sorted once and walked batch by batch; a walk holds the last n rows and the last n finite
+    clearances. Slices of cut runs begin with those of the slices before, from one narrow walk over the same rows.
+    """
     tl = Timeline.of(episodes, "run_id", order)
+    values = [*[F.col(c).cast("double") for c in SCORES], F.when(F.col("wp_done") >= 1, 1.0).otherwise(0.0), F.col("clearance").cast("double")]
+    rows = episodes.withColumns({f"_v{i}": c for i, c in enumerate(values)})
+    if tl.hot is None:
+        return _rolled(rows, tl.key, order, n, episodes.columns)
+    body = tl.cut(rows)
+    slot = [*tl.key, "_slice"]
+    narrow = body.where("_hot").select(*slot, *order, *[f"_v{i}" for i in range(len(values))])
+    begun = _slice_starts(checkpointed(_rolled(narrow, slot, order, n, None)), tl.key, n, len(values) - 1)
+    every = body.drop("_hot").withColumn("_at", F.lit(1)).unionByName(begun.withColumn("_at", F.lit(0)), allowMissingColumns=True)
+    return _rolled(every, slot, ("_at", *order), n, episodes.columns)
 
-    def build(w):
-        last = w.rowsBetween(1 - n, 0)
-        means = {f"mean_{c}": F.avg(c).over(last) for c in ("reward", "steps", "spl", "success", "collision", "timeout", "wp_done")}
-        return {
-            **means,
-            "std_reward": F.stddev_pop("reward").over(last),
-            "partial_rate": F.avg(F.when(F.col("wp_done") >= 1, 1.0).otherwise(0.0)).over(last),
-        }
-
-    scores = tl.frame(episodes, n - 1, build)
-    # finite and other rows are windowed apart; the last finite row's mean is carried on
-    marked = scores.withColumn("_fin", F.coalesce(finite(F.col("clearance")), F.lit(False)))
-    means = tl.within("_fin").frame(marked, n - 1, lambda w: {"_clear": F.avg("clearance").over(w.rowsBetween(1 - n, 0))})
-    means = means.withColumn("_clear", F.when(F.col("_fin"), F.col("_clear")))
-    return tl.running(means, {"mean_clearance": ("last", F.col("_clear"))}).drop("_clear", "_fin")
+
+def _slice_starts(ends: DataFrame, key, n: int, wide: int) -> DataFrame:
+    """(key, _slice, _rows, _fins) of what each slice's own end is: the last rows and finite values before each slice."""
+    along = W.partitionBy(*key).orderBy("_slice")
+
+    def last(c: str, count: int, first: int, end: int) -> Column:
+        whole = F.flatten(F.collect_list(c).over(along.rowsBetween(first, end)))
+        return F.slice(whole, F.greatest(F.lit(1), F.size(whole) - count + 1), F.lit(count))
+
+    slot = [*key, "_slice"]
+    some = ends.where(F.size("_fins") > 0).select(*slot, last("_fins", n, 1 - n, 0).alias("_upto"))
+    before = F.last("_upto", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1))
+    return ends.join(some, slot, "left").select(*slot, last("_rows", (n - 1) * wide, 1 - n, -1).alias("_rows"), before.alias("_fins"))
+
+
+def _rolled(df: DataFrame, group, order, n: int, given: list[str] | None) -> DataFrame:
+    """The means of sorted groups beside the ``given`` columns; without these one row per group with its last rows and finite values.
+
+    ``_v0``.. are the values, the clearance last. A row with ``_at`` = 0 opens a group with what came before it.
+    """
+    group, order, seeded = list(group), list(order), "_at" in df.columns
+    values = [c for c in df.columns if c.startswith("_v") and c[2:].isdigit()]
+    wide = len(values) - 1
+    names = [*[f"mean_{c}" for c in SCORES], "partial_rate", "std_reward", "mean_clearance"]
+    out = [*[f"mean_{c}" for c in SCORES], "std_reward", "partial_rate", "mean_clearance"]
+    if given is None:
+        schema = T.StructType([*[df.schema[c] for c in group], T.StructField("_rows", T.ArrayType(T.DoubleType())), T.StructField("_fins", T.ArrayType(T.DoubleType()))])
+    else:
+        schema = T.StructType([*[df.schema[c] for c in given], *[T.StructField(c, T.DoubleType()) for c in out]])
+    arrow = to_arrow_schema(schema)
+    views = np.lib.stride_tricks.sliding_window_view
+
+    def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+        c = batch.column(name)
+        return pc.fill_null(c, 0.0).to_numpy(zero_copy_only=False), pc.is_valid(c).to_numpy(zero_copy_only=False)
+
+    def start(rows=None, fins=None):
+        """Values and validity of the n - 1 rows before, oldest first, and the finite values before."""
+        v, ok = np.zeros((wide, n - 1)), np.zeros((wide, n - 1), bool)
+        if rows:
+            had = np.array(rows, object).reshape(-1, wide).T
+            ok[:, n - 1 - had.shape[1] :] = had != None  # noqa: E711
+            v[:, n - 1 - had.shape[1] :] = np.where(had == None, 0.0, had).astype(float)  # noqa: E711
+        return v, ok, np.array(fins or [], float)
+
+    def means(v, ok, fins, x, known, made):
+        """Writes the means of rows x into ``made`` (values, validity)."""
+        count = np.cumsum(np.pad(ok, ((0, 0), (1, 0))), axis=1)
+        count = count[:, n:] - count[:, :-n]
+        some = np.maximum(count, 1)
+        mean = views(v, n, axis=1).sum(axis=2) / some
+        made[0][:wide], made[1][:wide] = mean, count > 0
+        off = np.where(views(ok[0], n), views(v[0], n) - mean[0][:, None], 0.0)
+        made[0][wide], made[1][wide] = np.sqrt((off * off).sum(axis=1) / some[0]), count[0] > 0
+        real = known & np.isfinite(x)
+        every = np.concatenate([np.zeros(n - len(fins)), fins, x[real]])
+        held = np.minimum(len(fins) + np.arange(int(real.sum()) + 1), n)
+        at = np.cumsum(real)
+        made[0][wide + 1], made[1][wide + 1] = (views(every, n).sum(axis=1) / np.maximum(held, 1))[at], held[at] > 0
+        return every[len(every) - held[-1] :]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, (v, ok, fins) = None, start()
+
+        def end(v, ok, fins) -> pa.RecordBatch:
+            flat = [a if b else None for a, b in zip(v[:, ok[-1]].T.ravel().tolist(), ok[:, ok[-1]].T.ravel().tolist())]
+            return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((*key, flat, fins.tolist()), arrow)], schema=arrow)
+
+        for batch in batches:
+            many = batch.num_rows
+            if not many:
+                continue
+            new = np.zeros(many, bool)
+            new[0] = True
+            for g in group:
+                codes = pc.dictionary_encode(batch.column(g), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            begin = np.flatnonzero(new)
+            x, known = (np.array(a) for a in zip(*[column(batch, c) for c in values]))
+            opens = batch.column("_at").to_numpy(zero_copy_only=False) == 0 if seeded else np.zeros(many, bool)
+            made = np.zeros((wide + 2, many)), np.zeros((wide + 2, many), bool)
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), many]):
+                here = tuple(batch.column(g)[a].as_py() for g in group)
+                if here != key:
+                    if given is None and key is not None:
+                        yield end(v, ok, fins)
+                    key, (v, ok, fins) = here, start()
+                if opens[a]:
+                    v, ok, fins = start(batch.column("_rows")[a].as_py(), batch.column("_fins")[a].as_py())
+                    a += 1
+                if a == b:
+                    continue
+                v, ok = np.hstack([v, x[:wide, a:b]]), np.hstack([ok, known[:wide, a:b]])
+                if given is not None:
+                    fins = means(v, ok, fins, x[wide, a:b], known[wide, a:b], (made[0][:, a:b], made[1][:, a:b]))
+                else:
+                    last = x[wide, a:b][known[wide, a:b] & np.isfinite(x[wide, a:b])]
+                    fins = np.concatenate([fins, last[max(0, len(last) - n) :]])
+                    fins = fins[max(0, len(fins) - n) :]
+                v, ok = v[:, v.shape[1] - n + 1 :], ok[:, ok.shape[1] - n + 1 :]
+            if given is not None:
+                new_columns = {c: pa.array(a, mask=~k) for c, a, k in zip(names, *made)}
+                done = pa.RecordBatch.from_arrays([*[batch.column(c) for c in given], *[new_columns[c] for c in out]], schema=arrow)
+                yield done.filter(pa.array(~opens)) if seeded else done
+        if given is None and key is not None:
+            yield end(v, ok, fins)
+
+    ship(df.sparkSession)
+    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(walk, schema)
 
 
 def best_so_far(scores: DataFrame, metric: str, eligible: Column, order=("episode",)) -> DataFrame:

@@ -1,5 +1,8 @@
 """Sequence rules: detectors, votes, machines, episodes."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +192,31 @@ def test_first_rows_of_a_whole_table(spark):
             got = first_rows(df, n, [F.col("x"), F.col("y"), F.col("id")], small)
             assert sorted(r.id for r in got.collect()) == sorted(r[0] for r in order[:n]), (n, small)
     assert first_rows(df.limit(0), 5, [F.col("x")]).count() == 0
+
+
+def test_rolling_scores_of_cut_runs_read_the_rows_twice(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = []
+    for run in ("a", "b", None):
+        for i in range(300):
+            clear = None if i % 7 == 0 else float("inf") if i < 5 or 90 < i < 230 else rnd.random()
+            rows.append((run, i, None if i % 11 == 0 else rnd.gauss(50, 9), i % 5, rnd.random(), i % 2, i % 3, 0, None if i % 13 == 0 else i % 4, clear))
+    spark.createDataFrame(rows, "run_id string, episode long, reward double, steps int, spl double, success int, collision int, timeout int, wp_done int, clearance double").write.parquet(f"{tmp_path}/episodes")
+    episodes, n = spark.read.parquet(f"{tmp_path}/episodes"), 8
+    spark.conf.set("spark.fleetwatch.rowsPerTask", "30")
+    try:
+        scores = E.rolling_scores(episodes, n)
+    finally:
+        spark.conf.unset("spark.fleetwatch.rowsPerTask")
+    assert scores._jdf.queryExecution().optimizedPlan().toString().count("] parquet") <= 2
+    mean = lambda x: sum(x) / len(x) if x else None
+    for got in (scores, E.rolling_scores(episodes, n)):
+        for r in got.collect():
+            mine = [x for x in rows if x[0] == r.run_id and x[1] <= r.episode]
+            last = mine[-n:]
+            for c, name in enumerate(("reward", "steps", "spl", "success", "collision", "timeout", "wp_done"), 2):
+                assert r[f"mean_{name}"] == pytest.approx(mean([x[c] for x in last if x[c] is not None]), abs=1e-9)
+            reward = [x[2] for x in last if x[2] is not None]
+            assert r.std_reward == (pytest.approx(mean([(x - mean(reward)) ** 2 for x in reward]) ** 0.5, abs=1e-9) if reward else None)
+            assert r.partial_rate == pytest.approx(mean([float((x[8] or 0) >= 1) for x in last]))
+            assert r.mean_clearance == pytest.approx(mean([x[9] for x in mine if x[9] is not None and math.isfinite(x[9])][-n:]), abs=1e-9)
