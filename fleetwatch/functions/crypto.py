@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from .scan import bind
+import numpy as np
+from pyspark.sql import Column, functions as F
 
 
 def pads(key: bytes) -> tuple[bytes, bytes]:
@@ -32,21 +31,22 @@ def fingerprint(secret: Column, length: int = 16) -> Column:
     return F.substring(F.sha2(secret, 256), 1, length)
 
 
-def hashed_draws(df: DataFrame, draws: int, *parts: Column) -> DataFrame:
-    """Each row times ``draws``: adds ``_b`` = 0.. and ``_u``, uniform in [0, 1).
+def draw_text(*parts: Column) -> Column:
+    """What a row's draws are hashed from."""
+    return F.concat_ws("|", *[p.cast("string") for p in parts])
 
-    One SHA-256 over the parts and ``_b // 5`` yields five draws of 48 bits. Rows
-    are spread first: few short rows turn into much work.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = df.repartition(n, *parts).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 5))))
-    text = F.concat_ws("|", *[p.cast("string") for p in (*parts, F.col("_g"))])
 
-    def pieces(h: Column) -> Column:
-        return F.array(*[F.conv(F.substring(h, 1 + 12 * i, 12), 16, 10).cast("double") / float(1 << 48) for i in range(5)])
+def hashed_draws(texts: list[str], draws: int) -> np.ndarray:
+    """(rows, draws) uniform numbers in [0, 1), for use in a task on the :func:`draw_text` of its rows.
 
-    drawn = blocks.select("*", F.posexplode(bind(F.sha2(text, 256), pieces)).alias("_p", "_u"))
-    return drawn.withColumn("_b", F.col("_g") * 5 + F.col("_p")).where(F.col("_b") < draws).drop("_g", "_p")
+    One SHA-256 over the text and b // 5 yields five draws of 48 bits: same on every engine.
+    """
+    sha, ends = hashlib.sha256, [b"|%d" % g for g in range((draws + 4) // 5)]
+    raw = b"".join([sha(t + e).digest() for t in map(str.encode, texts) for e in ends])
+    pieces = np.frombuffer(raw, np.uint8).reshape(-1, 32)[:, :30].reshape(-1, 6)
+    wide = np.zeros((len(pieces), 8), np.uint8)
+    wide[:, 2:] = pieces
+    return (wide.view(">u8").astype(np.float64) / float(1 << 48)).reshape(len(texts), -1)[:, :draws]
 
 
 def unit_hash(*parts: Column) -> Column:

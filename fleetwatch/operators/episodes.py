@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.crypto import hashed_draws
+from ..functions.crypto import draw_text, hashed_draws
 from ..functions.geometry import goal_distance, grid_cell
 from ..functions.scan import finite
 from ..plans.replay import replay
@@ -330,22 +330,111 @@ def numbered(df: DataFrame, key="run_id", order=("episode",), tl: Timeline | Non
     return tl.running(one, {"_i": ("count", F.col("_one"))}, before=True).drop("_one")
 
 
+#: Draws that a task holds at once, binary digits of the rows in one block of values, and draws in one shuffled row.
+HELD, BLOCK_BITS, PACKED = 1_000_000, 16, 2_048
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    return pc.dictionary_encode(column, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """Few short rows turn into much work: deal them out first."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _by_resample(sums: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Arrays over the resamples as rows (key, _b, columns)."""
+    each = F.posexplode(F.arrays_zip(*columns)).alias("_b", "_x")
+    return sums.select(key, each).select(key, "_b", *[F.col("_x").getField(c).alias(c) for c in columns])
+
+
 def bootstrap_ci(df: DataFrame, col: str, draws: int = 1000, low: float = 2.5, high: float = 97.5, seed: int = 0,
                  key="run_id", order=("episode",)) -> DataFrame:
     """Percentile interval of resampled means: (run_id, n, mean, lo, hi).
 
     Draw i of resample b takes value floor(u * n) with u hashed from the seed,
-    the run, i and b: any partitioning gives the same interval. The join is on
-    (run, index), spread over all rows; sums per resample combine before the
-    last shuffle. For very long runs see ``bootstrap_ci_poisson``.
+    the run, i and b: any partitioning gives the same interval. Tasks draw for
+    their rows in numpy and send the draws, four bytes each, to the block of
+    values they fall into; a block adds up its values as the draws come by and
+    returns one sum per resample.
     """
     base = numbered(df.select(key, *order, col), key, order).select(key, "_i", F.col(col).cast("double").alias("_v"))
-    sizes = base.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
-    slots = base.join(sizes.select(key, "n"), key).select(key, "n", F.col("_i").alias("_slot"))
-    drawn = hashed_draws(slots, draws, F.lit(seed), F.col(key), F.col("_slot"))
-    picks = drawn.select(key, "_b", F.least(F.floor(F.col("_u") * F.col("n")), F.col("n") - 1).alias("_i"))
-    # Catalyst does not see that drawing multiplied the rows and would broadcast them.
-    means = picks.join(base.hint("shuffle_hash"), [key, "_i"]).groupBy(key, "_b").agg(F.avg("_v").alias("_m"))
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(col).cast("double")).alias("mean"))
+    slots = base.join(sizes.select(key, "n"), key).select(key, "n", "_i", "_v", draw_text(F.lit(seed), F.col(key), F.col("_i")).alias("_text"))
+    bits = min(BLOCK_BITS, ((1 << 31) // draws).bit_length() - 1)
+    kind = df.schema[key]
+    dealt = T.StructType([kind, *[T.StructField(n, t) for n, t in (("_block", T.LongType()), ("_kind", T.IntegerType()), ("_at", T.IntegerType()), ("_v", T.DoubleType()), ("_picks", T.BinaryType()))]])
+    summed = T.StructType([kind, T.StructField("_s", T.ArrayType(T.DoubleType())), T.StructField("_c", T.ArrayType(T.LongType()))])
+    to_blocks, to_sums = to_arrow_schema(dealt), to_arrow_schema(summed)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, max(1, HELD // draws)):
+                batch = whole.slice(at, max(1, HELD // draws))
+                run, n, i = _codes(batch.column(key)).astype(np.int64), *(batch.column(c).to_numpy() for c in ("n", "_i"))
+                rows = len(n)
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(i >> bits), pa.array(np.zeros(rows, np.int32)), pa.array((i & ((1 << bits) - 1)).astype(np.int32)), batch.column("_v"), pa.nulls(rows, pa.binary())], schema=to_blocks)
+                index = np.minimum(np.floor(hashed_draws(batch.column("_text").to_pylist(), draws) * n[:, None]).astype(np.int64), n[:, None] - 1)
+                block = index >> bits
+                many = int(block.max()) + 1
+                group = (run[:, None] * many + block).ravel()
+                if (int(run.max()) + 1) * many < 1 << 16:
+                    group = group.astype(np.uint16)  # sorted by counting
+                along = np.argsort(group, kind="stable")
+                group = group[along]
+                picks = ((np.arange(draws, dtype=np.int64) << bits) + (index & ((1 << bits) - 1))).ravel()[along].astype(np.int32)
+                begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                size = np.diff(np.append(begin, len(group)))
+                parts = -(-size // PACKED)
+                begin = np.repeat(begin, parts) + PACKED * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+                packed = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((4 * np.append(begin, len(group))).astype(np.int32).tobytes()), pa.py_buffer(picks.tobytes())])
+                first = along[begin]
+                count = len(begin)
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(first // draws)), pa.array(block.ravel()[first]), pa.array(np.ones(count, np.int32)), pa.nulls(count, pa.int32()), pa.nulls(count, pa.float64()), packed], schema=to_blocks)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, value, known, total, count = None, None, None, None, None
+        done: list[tuple] = []
+
+        def pack() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*done), to_sums)], schema=to_sums)
+
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            run, block, which = _codes(batch.column(key)), batch.column("_block").to_numpy(), batch.column("_kind").to_numpy()
+            begin = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (block[1:] != block[:-1])]))
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), rows]):
+                here = (batch.column(key)[a].as_py(), int(block[a]))
+                if here != held:
+                    if held is not None:
+                        done.append((held[0], total, count))
+                    held, value, known, total, count = here, np.zeros(1 << bits), np.zeros(1 << bits, bool), np.zeros(draws), np.zeros(draws, np.int64)
+                middle = a + int(np.searchsorted(which[a:b], 1))
+                if middle > a:
+                    v = batch.column("_v").slice(a, middle - a)
+                    at = batch.column("_at").slice(a, middle - a).to_numpy(zero_copy_only=False).astype(np.int64)
+                    value[at], known[at] = pc.fill_null(v, 0.0).to_numpy(zero_copy_only=False), pc.is_valid(v).to_numpy(zero_copy_only=False)
+                for data in batch.column("_picks").slice(middle, b - middle).to_pylist():
+                    picks = np.frombuffer(data, np.int32)
+                    sample, at = picks >> bits, picks & ((1 << bits) - 1)
+                    total += np.bincount(sample, value[at], draws)
+                    count += np.bincount(sample, known[at], draws).astype(np.int64)
+            if len(done) >= 100:
+                yield pack()
+                done = []
+        if held is not None:
+            done.append((held[0], total, count))
+        if done:
+            yield pack()
+
+    ship(df.sparkSession)
+    blocks = _spread(slots, key, "_i").mapInArrow(deal, dealt)
+    walked = blocks.repartition(key, "_block").sortWithinPartitions(key, "_block", "_kind").mapInArrow(add, summed)
+    sums = _by_resample(walked, key, "_s", "_c").groupBy(key, "_b").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+    means = sums.select(key, "_b", (F.col("_s") / F.when(F.col("_c") > 0, F.col("_c"))).alias("_m"))
     return sizes.join(_interval(means, key, low, high), key).select(key, "n", "mean", "lo", "hi")
 
 
@@ -359,18 +448,41 @@ def bootstrap_ci_poisson(df: DataFrame, col: str, draws: int = 1000, low: float
                          key="run_id", order=("episode",)) -> DataFrame:
     """The same interval with Poisson(1) weights: no join, one combined aggregate.
 
-    Each row weighs itself for every resample, so only ``draws`` partial sums
-    per run and task are shuffled. The resample size varies around n.
+    Each row weighs itself for every resample, so a task adds up its rows in
+    numpy and only ``draws`` partial sums per run and batch leave it. The
+    resample size varies around n.
     """
-    rows = df.select(key, *order, F.col(col).cast("double").alias("_v"))
-    drawn = hashed_draws(rows, draws, F.lit(seed), F.col(key), *[F.col(c) for c in order])
-    weight, total, p = F.lit(0.0), 0.0, 0.36787944117144233
+    rows = df.select(key, draw_text(F.lit(seed), F.col(key), *[F.col(c) for c in order]).alias("_text"), F.col(col).cast("double").alias("_v"))
+    total, p, least = 0.0, 0.36787944117144233, []
     for k in range(1, 13):
         total += p
-        weight = F.when(F.col("_u") >= total, F.lit(float(k))).otherwise(weight)
+        least.append(total)
         p /= k
-    weighed = drawn.withColumn("_w", weight)
-    sums = weighed.groupBy(key, "_b").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.sum("_w").alias("_n"))
+    arrays = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("_s", "_w")]
+    schema = T.StructType([df.schema[key], T.StructField("_known", T.LongType()), *arrays])
+    arrow = to_arrow_schema(schema)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, max(1, HELD // draws)):
+                batch = whole.slice(at, max(1, HELD // draws))
+                run = _codes(batch.column(key))
+                along = np.argsort(run, kind="stable")
+                run = run[along]
+                begin = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+                weight = np.searchsorted(least, hashed_draws(batch.column("_text").to_pylist(), draws), "right").astype(np.float64)[along]
+                known = pc.is_valid(batch.column("_v")).to_numpy(zero_copy_only=False)[along]
+                value = pc.fill_null(batch.column("_v"), 0.0).to_numpy(zero_copy_only=False)[along]
+                sums = np.add.reduceat(weight * value[:, None], begin, axis=0), np.add.reduceat(weight, begin, axis=0)
+                ends = np.arange(len(begin) + 1, dtype=np.int32) * draws
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel())) for x in sums]
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(along[begin])), pa.array(np.add.reduceat(known.astype(np.int64), begin)), *lists], schema=arrow)
+
+    ship(df.sparkSession)
+    weighed = _spread(rows, key, "_text").mapInArrow(weigh, schema)
+    # a run without a value has no sum
+    some = F.when(F.col("_known") > 0, F.col("_s")).otherwise(F.transform("_s", lambda x: F.lit(None).cast("double")))
+    sums = _by_resample(weighed.withColumn("_s", some), key, "_s", "_w").groupBy(key, "_b").agg(F.sum("_s").alias("_s"), F.sum("_w").alias("_n"))
     means = sums.where("_n > 0").select(key, "_b", (F.col("_s") / F.col("_n")).alias("_m"))
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(col).cast("double")).alias("mean"))
     return sizes.join(_interval(means, key, low, high), key).select(key, "n", "mean", "lo", "hi")

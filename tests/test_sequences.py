@@ -1,8 +1,10 @@
 """Sequence rules: detectors, votes, machines, episodes."""
 
+import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +222,38 @@ def test_rolling_scores_of_cut_runs_read_the_rows_twice(spark, tmp_path):
             assert r.std_reward == (pytest.approx(mean([(x - mean(reward)) ** 2 for x in reward]) ** 0.5, abs=1e-9) if reward else None)
             assert r.partial_rate == pytest.approx(mean([float((x[8] or 0) >= 1) for x in last]))
             assert r.mean_clearance == pytest.approx(mean([x[9] for x in mine if x[9] is not None and math.isfinite(x[9])][-n:]), abs=1e-9)
+
+
+def drawn(seed, *parts, draws):
+    """(b, u) of a row, one by one."""
+    for b in range(draws):
+        digest = hashlib.sha256("|".join(map(str, (seed, *parts, b // 5))).encode()).hexdigest()
+        yield b, int(digest[12 * (b % 5) : 12 * (b % 5) + 12], 16) / (1 << 48)
+
+
+def scored_runs(spark):
+    rnd = random.Random(6)
+    rows = [(run, i, None if i % 9 == 2 else rnd.random()) for run, n in (("a", 150), ("b", 3), ("c", 1), (None, 5)) for i in range(n)] + [("empty", 0, None)]
+    return rows, spark.createDataFrame(rows, "run_id string, episode long, spl double")
+
+
+def interval(means):
+    return pytest.approx([float(np.percentile(means, q)) for q in (2.5, 97.5)], abs=1e-12)
+
+
+def test_bootstrap_draws_go_to_blocks_without_a_row_each(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK_BITS", 4)
+    monkeypatch.setattr(E, "PACKED", 7)
+    rows, df = scored_runs(spark)
+    got = E.bootstrap_ci(df, "spl", 23, seed=7)
+    assert "sha2(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.run_id: r for r in got.collect()}
+    assert set(found) == {"a", "b", "c", "empty"} and found["empty"].lo is None
+    for run in "abc":
+        v, picks = [x[2] for x in rows if x[0] == run], [[] for _ in range(23)]
+        for i in range(len(v)):
+            for b, u in drawn(7, run, i, draws=23):
+                picks[b].append(v[min(math.floor(u * len(v)), len(v) - 1)])
+        real = [[x for x in p if x is not None] for p in picks]
+        assert [found[run].lo, found[run].hi] == interval([sum(x) / len(x) for x in real if x])
+        assert found[run].n == len(v)
