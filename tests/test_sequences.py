@@ -257,3 +257,19 @@ def test_bootstrap_draws_go_to_blocks_without_a_row_each(spark, monkeypatch):
         real = [[x for x in p if x is not None] for p in picks]
         assert [found[run].lo, found[run].hi] == interval([sum(x) / len(x) for x in real if x])
         assert found[run].n == len(v)
+
+
+def test_poisson_bootstrap_adds_up_in_the_tasks(spark):
+    rows, df = scored_runs(spark)
+    got = E.bootstrap_ci_poisson(df, "spl", 23, seed=7)
+    assert "sha2(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.run_id: r for r in got.collect()}
+    assert set(found) == {"a", "b", "c", "empty"} and found["empty"].lo is None
+    least = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    for run in "ab":
+        total, size = [0.0] * 23, [0] * 23
+        for _, i, v in (x for x in rows if x[0] == run):
+            for b, u in drawn(7, run, i, draws=23):
+                w = int((least <= u).sum())
+                total[b], size[b] = total[b] + w * (v or 0.0), size[b] + w
+        assert [found[run].lo, found[run].hi] == interval([t / k for t, k in zip(total, size) if k])
