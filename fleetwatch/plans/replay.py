@@ -33,6 +33,21 @@ def _struct(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
     return [T.StructField(n, df.schema[n].dataType) for n in names]
 
 
+def _plain(column: pa.Array) -> list:
+    """The column's values as Python objects; numbers and lists of them in bulk."""
+    kind = column.type
+    if pa.types.is_list(kind):
+        ends, inner = column.offsets.to_pylist(), _plain(column.values)
+        real = pc.is_valid(column).to_pylist() if column.null_count else [True] * len(column)
+        return [inner[a:b] if ok else None for a, b, ok in zip(ends, ends[1:], real)]
+    if not (pa.types.is_integer(kind) or pa.types.is_floating(kind)):
+        return column.to_pylist()
+    if not column.null_count:
+        return column.to_numpy().tolist()
+    values = pc.fill_null(column, 0).to_numpy().tolist()
+    return [v if ok else None for v, ok in zip(values, pc.is_valid(column).to_numpy(zero_copy_only=False).tolist())]
+
+
 def _walk(df: DataFrame, group: Sequence[str], order: Sequence[str], machine, exits: bool = False) -> DataFrame:
     """Runs the machine over every group of ``df`` (columns: group, order, ``t``, cols, maybe ``_in``).
 
@@ -56,8 +71,8 @@ def _walk(df: DataFrame, group: Sequence[str], order: Sequence[str], machine, ex
             return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
         for batch in batches:
-            keys = list(zip(*[batch.column(g).to_pylist() for g in group]))
-            rows = list(zip(*[batch.column(c).to_pylist() for c in fed]))
+            keys = list(zip(*[_plain(batch.column(g)) for g in group]))
+            rows = list(zip(*[_plain(batch.column(c)) for c in fed]))
             starts = batch.column("_in").to_pylist() if seeded else None
             out, i, n = [], 0, len(rows)
             while i < n:
@@ -68,7 +83,7 @@ def _walk(df: DataFrame, group: Sequence[str], order: Sequence[str], machine, ex
                     if exits and key is not None:
                         out.append((*key, entry, json.dumps(state)))
                     key, entry = keys[i], starts[i] if seeded else first
-                    state = json.loads(entry)
+                    state = json.loads(entry) if seeded else machine.initial()
                 made, state = machine.run(rows[i:j], state)
                 if not exits:
                     out.extend((*key, *m) for m in made)

@@ -69,6 +69,9 @@ class Timeline:
         key = (key,) if isinstance(key, str) else tuple(key)
         order = (order,) if isinstance(order, str) else tuple(order)
         limit = limit or rows_per_task(df)
+        # rows alone are counted first: where no key is large, what the order is made of needn't be computed
+        if df.dropna(subset=list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).isEmpty():
+            return Timeline(key, order, limit=limit)
         x, tie = axis_of(df, order[0]), Timeline._tie(df, order)
         sizes = (
             df.dropna(subset=list(key))
@@ -84,8 +87,6 @@ class Timeline:
             )
         )
         found = sizes.limit(MAX_BROADCAST_KEYS + 1).collect()
-        if not found:
-            return Timeline(key, order, limit=limit)
         if len(found) <= MAX_BROADCAST_KEYS:
             sizes = F.broadcast(df.sparkSession.createDataFrame(found, sizes.schema))
         tl = Timeline(key, order, sizes, limit=limit)

@@ -5,11 +5,14 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fleetwatch.operators import alerts as A, detectors as D, episodes as E
 from fleetwatch.operators.machines import SEC, MissionMode, PatrolPause, TrainingGuard, TurningStuck
+from fleetwatch.plans.replay import _plain
+from fleetwatch.plans.timeline import Timeline
 
 
 def cmds(spark, values):
@@ -273,3 +276,16 @@ def test_poisson_bootstrap_adds_up_in_the_tasks(spark):
                 w = int((least <= u).sum())
                 total[b], size[b] = total[b] + w * (v or 0.0), size[b] + w
         assert [found[run].lo, found[run].hi] == interval([t / k for t, k in zip(total, size) if k])
+
+
+def test_small_keys_are_measured_without_their_order(spark):
+    df = spark.range(100).select((F.col("id") % 5).alias("k"), F.raise_error(F.lit("the order is read")).cast("long").alias("step"))
+    assert Timeline.of(df, "k", "step").hot is None
+    assert Timeline.of(df.limit(0), "k", "step").hot is None
+
+
+def test_walks_take_columns_in_bulk():
+    lists = pa.array([[1.0, None], None, [], [2.5]]).slice(1)
+    assert _plain(lists) == [None, [], [2.5]]
+    assert _plain(pa.array([1, None, 3])) == [1, None, 3] and _plain(pa.array([1.5, 2.0])) == [1.5, 2.0]
+    assert _plain(pa.array(["a", None])) == ["a", None] and _plain(pa.array([True, None])) == [True, None]
