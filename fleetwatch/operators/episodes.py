@@ -69,14 +69,12 @@ def rolling_scores(episodes: DataFrame, n: int = 100, order=("episode",)) -> Dat
     clearances. Slices of cut runs begin with those of the slices before, from one narrow walk over the same rows.
     """
     tl = Timeline.of(episodes, "run_id", order)
-    values = [*[F.col(c).cast("double") for c in SCORES], F.when(F.col("wp_done") >= 1, 1.0).otherwise(0.0), F.col("clearance").cast("double")]
-    rows = episodes.withColumns({f"_v{i}": c for i, c in enumerate(values)})
     if tl.hot is None:
-        return _rolled(rows, tl.key, order, n, episodes.columns)
-    body = tl.cut(rows)
+        return _rolled(episodes, tl.key, order, n, episodes.columns)
+    body = tl.cut(episodes)
     slot = [*tl.key, "_slice"]
-    narrow = body.where("_hot").select(*slot, *order, *[f"_v{i}" for i in range(len(values))])
-    begun = _slice_starts(checkpointed(_rolled(narrow, slot, order, n, None)), tl.key, n, len(values) - 1)
+    narrow = body.where("_hot").select(*slot, *order, *SCORES, "clearance")
+    begun = _slice_starts(checkpointed(_rolled(narrow, slot, order, n, None)), tl.key, n, len(SCORES) + 1)
     every = body.drop("_hot").withColumn("_at", F.lit(1)).unionByName(begun.withColumn("_at", F.lit(0)), allowMissingColumns=True)
     return _rolled(every, slot, ("_at", *order), n, episodes.columns)
 
@@ -98,11 +96,10 @@ def _slice_starts(ends: DataFrame, key, n: int, wide: int) -> DataFrame:
 def _rolled(df: DataFrame, group, order, n: int, given: list[str] | None) -> DataFrame:
     """The means of sorted groups beside the ``given`` columns; without these one row per group with its last rows and finite values.
 
-    ``_v0``.. are the values, the clearance last. A row with ``_at`` = 0 opens a group with what came before it.
+    A row with ``_at`` = 0 opens a group with what came before it.
     """
     group, order, seeded = list(group), list(order), "_at" in df.columns
-    values = [c for c in df.columns if c.startswith("_v") and c[2:].isdigit()]
-    wide = len(values) - 1
+    wide = len(SCORES) + 1
     names = [*[f"mean_{c}" for c in SCORES], "partial_rate", "std_reward", "mean_clearance"]
     out = [*[f"mean_{c}" for c in SCORES], "std_reward", "partial_rate", "mean_clearance"]
     if given is None:
@@ -113,9 +110,17 @@ def _rolled(df: DataFrame, group, order, n: int, given: list[str] | None) -> Dat
     views = np.lib.stride_tricks.sliding_window_view
 
     def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-        c = batch.column(name)
+        c = batch.column(name).cast(pa.float64())
         return pc.fill_null(c, 0.0).to_numpy(zero_copy_only=False), pc.is_valid(c).to_numpy(zero_copy_only=False)
 
+    def valued(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Values and validity: the scores, whether a waypoint was done (always known) and the clearance."""
+        found = [column(batch, c) for c in SCORES]
+        done, known = found[SCORES.index("wp_done")]
+        some = known & ((done >= 1) | np.isnan(done))
+        every = [*found, (some.astype(float), np.ones(len(some), bool)), column(batch, "clearance")]
+        return np.array([v for v, _ in every]), np.array([k for _, k in every])
+
     def start(rows=None, fins=None):
         """Values and validity of the n - 1 rows before, oldest first, and the finite values before."""
         v, ok = np.zeros((wide, n - 1)), np.zeros((wide, n - 1), bool)
@@ -158,7 +163,7 @@ def _rolled(df: DataFrame, group, order, n: int, given: list[str] | None) -> Dat
                 codes = pc.dictionary_encode(batch.column(g), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
                 new[1:] |= codes[1:] != codes[:-1]
             begin = np.flatnonzero(new)
-            x, known = (np.array(a) for a in zip(*[column(batch, c) for c in values]))
+            x, known = valued(batch)
             opens = batch.column("_at").to_numpy(zero_copy_only=False) == 0 if seeded else np.zeros(many, bool)
             made = np.zeros((wide + 2, many)), np.zeros((wide + 2, many), bool)
             for a, b in zip(begin.tolist(), [*begin[1:].tolist(), many]):
