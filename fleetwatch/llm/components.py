@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import saved
+from .common import dealt, saved
 
 
 def _forest(frames):
@@ -40,10 +40,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = saved(forest.unionByName(forest.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "neighbours")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("least"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "least").alias("component"))
+        near = both.join(dealt(labels), both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("least"))
+        step = labels.join(dealt(near), labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "least").alias("component"))
         jump = step.select(F.col("node").alias("at"), F.col("component").alias("far"))
-        step = saved(step.join(jump, step["component"] == jump["at"]).select("node", "old", F.least("component", "far").alias("component")), "labels")
+        step = saved(step.join(dealt(jump), step["component"] == jump["at"]).select("node", "old", F.least("component", "far").alias("component")), "labels")
         labels = step.select("node", "component")
         if step.where("old <> component").isEmpty():
             return labels

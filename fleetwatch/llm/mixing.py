@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import row_of, saved, unrow
+from .common import dealt, row_of, saved, unrow
 
 LEVELS = ("domain", "lang", "source")
 #: Cells of the hash range by which a leaf's prefix is found; only one cell a leaf is ever ordered.
@@ -96,14 +96,14 @@ def mix(docs: DataFrame, weights: DataFrame, share: float, seed: int = 17, epoch
     cells = part.groupBy(*LEVELS, "rest", "cell").agg(F.sum("tokens").alias("in_cell"))
     running = Window.partitionBy(*LEVELS).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = saved(cells.withColumn("before", F.coalesce(F.sum("in_cell").over(running), F.lit(0))).where(F.col("before") < F.col("rest")), "mix-cells")
-    known = part.join(cells.select(*LEVELS, "cell", "before", "in_cell"), [*LEVELS, "cell"])
+    known = part.join(dealt(cells.select(*LEVELS, "cell", "before", "in_cell")), [*LEVELS, "cell"])
     sure = known.where(F.col("before") + F.col("in_cell") <= F.col("rest")).select("id", *LEVELS, "epoch")
     inner = Window.partitionBy(*LEVELS).orderBy("draw", "id").rowsBetween(Window.unboundedPreceding, -1)
     edge = known.where(F.col("before") + F.col("in_cell") > F.col("rest"))
     edge = edge.withColumn("before", F.col("before") + F.coalesce(F.sum("tokens").over(inner), F.lit(0))).where(F.col("before") < F.col("rest")).select("id", *LEVELS, "epoch")
     taken = whole.unionByName(sure).unionByName(edge)
     keys = [full[k].eqNullSafe(taken[k]) for k in ("id", *LEVELS)]
-    return full.join(taken, keys).select(full["row"], taken["epoch"], full["tokens"])
+    return full.join(dealt(taken), keys).select(full["row"], taken["epoch"], full["tokens"])
 
 
 def _fill_sql(name: str, nodes: str, parent: str) -> str:

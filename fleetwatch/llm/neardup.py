@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import saved, small_batches
+from .common import dealt, saved, small_batches
 from .components import components
 from .shingles import mix, shingle_set
 
@@ -115,17 +115,17 @@ def rest_links(members: DataFrame, texts: DataFrame, percent: int = PERCENT, lea
     """
     sizes = members.groupBy("band", "key", "component").count()
     largest = sizes.groupBy("band", "key").agg(F.max(F.struct("count", "component"))["component"].alias("largest"))
-    marked = members.join(largest, ["band", "key"])
+    marked = members.join(dealt(largest), ["band", "key"])
     each = marked.groupBy("cid").agg(F.min("leader").alias("family"), F.first("component").alias("component"), F.first("bands").alias("bands"),
                                      F.first("n_shingles").alias("n"), F.max(F.col("component") != F.col("largest")).alias("loose"))
     each = saved(each, "open-members")
     parts = each.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
     sub = F.pmod(F.xxhash64("cid"), F.greatest("parts", F.lit(1)))
-    block = saved(each.join(parts, "family").select("cid", "loose", F.struct("family", sub.alias("sub")).alias("block")), "blocks")
-    touched = marked.select("band", "key", "cid", (F.col("component") != F.col("largest")).alias("out")).join(block.select("cid", "block"), "cid")
+    block = saved(each.join(dealt(parts), "family").select("cid", "loose", F.struct("family", sub.alias("sub")).alias("block")), "blocks")
+    touched = marked.select("band", "key", "cid", (F.col("component") != F.col("largest")).alias("out")).join(dealt(block.select("cid", "block")), "cid")
     ones = touched.select("band", "key", F.col("block").alias("x")).distinct()
     loose = touched.where("out").select("band", "key", F.col("block").alias("y")).distinct()
-    met = saved(ones.join(loose, ["band", "key"]).select("x", "y").distinct(), "block-pairs")
+    met = saved(ones.join(dealt(loose), ["band", "key"]).select("x", "y").distinct(), "block-pairs")
     schema = "cid long, items array<long>"
 
     def sets(batches):
@@ -133,10 +133,10 @@ def rest_links(members: DataFrame, texts: DataFrame, percent: int = PERCENT, lea
             items = [shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64()))], ["cid", "items"])
 
-    full = each.select("cid", "component", "bands").join(texts.join(each.select("cid"), "cid", "left_semi").select("cid", "text").mapInArrow(sets, schema), "cid").join(block, "cid")
+    full = each.select("cid", "component", "bands").join(dealt(texts.join(dealt(each.select("cid")), "cid", "left_semi").select("cid", "text").mapInArrow(sets, schema)), "cid").join(dealt(block), "cid")
     full = saved(full, "open-sets")
-    left = full.join(met, full["block"] == met["x"]).select("x", "y", "cid", "component", "bands", "items")
-    right = full.where("loose").join(met, full["block"] == met["y"]).select(F.col("x").alias("u"), F.col("y").alias("v"), F.col("cid").alias("cid2"), F.col("component").alias("component2"), F.col("bands").alias("bands2"), F.col("items").alias("items2"))
+    left = full.join(dealt(met), full["block"] == met["x"]).select("x", "y", "cid", "component", "bands", "items")
+    right = full.where("loose").join(dealt(met), full["block"] == met["y"]).select(F.col("x").alias("u"), F.col("y").alias("v"), F.col("cid").alias("cid2"), F.col("component").alias("component2"), F.col("bands").alias("bands2"), F.col("items").alias("items2"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -166,9 +166,9 @@ def consensus_pairs(members: DataFrame) -> DataFrame:
     lanes = members.select("band", "key", "cid", F.posexplode(F.flatten(F.transform("bands", lambda k: F.array(*(F.call_function("shiftright", k, F.lit(16 * r)).bitwiseAND(F.lit(0xFFFF)) for r in range(ROWS)))))).alias("slot", "value"))
     counts = lanes.groupBy("band", "key", "slot", "value").count()
     modal = counts.groupBy("band", "key", "slot").agg(F.max(F.struct("count", "value"))["value"].alias("modal"))
-    score = lanes.join(modal, ["band", "key", "slot"]).groupBy("band", "key", "cid").agg(F.count(F.when(F.col("value") == F.col("modal"), 1)).alias("agreed"))
+    score = lanes.join(dealt(modal), ["band", "key", "slot"]).groupBy("band", "key", "cid").agg(F.count(F.when(F.col("value") == F.col("modal"), 1)).alias("agreed"))
     centre = score.groupBy("band", "key").agg(F.max(F.struct("agreed", -F.col("cid"), "cid"))["cid"].alias("centre"))
-    pairs = members.select("band", "key", "cid", "component").join(centre, ["band", "key"]).where("cid <> centre")
+    pairs = members.select("band", "key", "cid", "component").join(dealt(centre), ["band", "key"]).where("cid <> centre")
     return pairs.select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct()
 
 
@@ -194,7 +194,7 @@ def groups(docs: DataFrame, report: dict | None = None, percent: int = PERCENT,
     classes = saved(named.groupBy("f", "g").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "classes")
     banded = classes.select("cid", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.min("cid").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = saved(banded.join(shared.select("band", "key", "leader"), ["band", "key"]), "bucket-members")
+    members = saved(banded.join(dealt(shared.select("band", "key", "leader")), ["band", "key"]), "bucket-members")
     stars = saved(members.where("cid <> leader").groupBy(F.col("leader").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("bands")), "stars")
     inner = members.select("cid").distinct()
     texts = saved(source.join(inner.withColumnRenamed("cid", "doc_id").hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("cid"), "text"), "candidate-texts")
@@ -205,23 +205,23 @@ def groups(docs: DataFrame, report: dict | None = None, percent: int = PERCENT,
 
     def labelled(links):
         found = components(links)
-        return flat.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("component"))
+        return flat.join(dealt(found.withColumnRenamed("node", "cid")), "cid", "left").select("cid", F.coalesce("component", "cid").alias("component"))
 
     def across(pairs, label):
         ends = [label.select(F.col("cid").alias(k), F.col("component").alias(f"component_{k}")) for k in ("a", "b")]
-        return pairs.join(ends[0], "a").join(ends[1], "b").where("component_a <> component_b").select("a", "b")
+        return pairs.join(dealt(ends[0]), "a").join(dealt(ends[1]), "b").where("component_a <> component_b").select("a", "b")
 
     label = labelled(links)
     if report is not None:
         report |= {"classes": classes.count(), "members": inner.count(), "stars": stars.count(), "best": best.count(), "links": links.count()}
     for step in ("stars", "centres", "rest"):
         if step == "stars":
-            more = across(stars.select("a", "b").join(tried, ["a", "b"], "left_anti"), label)
+            more = across(stars.select("a", "b").join(dealt(tried), ["a", "b"], "left_anti"), label)
         else:
-            open_ = members.join(label, "cid")
+            open_ = members.join(dealt(label), "cid")
             mixed = open_.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
-            open_ = saved(open_.join(mixed, ["band", "key"]).join(classes.select("cid", "bands", "n_shingles"), "cid"), "open-buckets")
-            more = across(consensus_pairs(open_).join(tried, ["a", "b"], "left_anti"), label) if step == "centres" else None
+            open_ = saved(open_.join(dealt(mixed), ["band", "key"]).join(dealt(classes.select("cid", "bands", "n_shingles")), "cid"), "open-buckets")
+            more = across(consensus_pairs(open_).join(dealt(tried), ["a", "b"], "left_anti"), label) if step == "centres" else None
         if more is not None:
             more = saved(more, "pairs")
             tried = tried.unionByName(more)
@@ -233,8 +233,8 @@ def groups(docs: DataFrame, report: dict | None = None, percent: int = PERCENT,
             label = labelled(links)
     label = saved(label, "class-components")
     least = label.groupBy("component").agg(F.min("cid").alias("component_id"))
-    class_of = classes.select("f", "g", "cid").join(label, "cid").join(least, "component").select("f", "g", "component_id")
-    out = signed.join(class_of, ["f", "g"], "left")
+    class_of = classes.select("f", "g", "cid").join(dealt(label), "cid").join(dealt(least), "component").select("f", "g", "component_id")
+    out = signed.join(dealt(class_of), ["f", "g"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

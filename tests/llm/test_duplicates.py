@@ -323,3 +323,20 @@ def test_pipeline(spark, sf, documents):
     assert set(got) <= kept and len(got) >= 0.6 * len(kept)
     machine = bpe.automaton(vocabulary())
     assert all(machine.encode(text[i]) == v for i, v in got.items())
+
+
+def test_tables_that_grow_with_documents_are_not_broadcast(spark, documents, monkeypatch):
+    plans = []
+
+    def recorded(df, name, *rest, kept=neardup.saved):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return kept(df, name, *rest)
+
+    for module in ("neardup", "components"):
+        monkeypatch.setattr(f"fleetwatch.llm.{module}.saved", recorded)
+    last = neardup.groups(documents.select("doc_id", "text"))
+    assert {"open-buckets", "pairs", "open-members", "block-pairs", "labels"} <= {name for name, _ in plans}
+    assert [name for name, plan in [*plans, ("groups", last._jdf.queryExecution().executedPlan().toString())] if "BroadcastHashJoin" in plan] == []
+    mixed = mixing.mix(documents, corpus_pipeline.weight_table(spark), 0.5, tokens=F.length("text"), domain=F.lit("web"))
+    joins = re.findall(r"(\w+Join) \[coalesce\(id", mixed._jdf.queryExecution().executedPlan().toString())
+    assert joins and set(joins) == {"SortMergeJoin"}
