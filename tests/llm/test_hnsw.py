@@ -1,6 +1,7 @@
 """Near-duplicate vectors against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from fleetwatch.llm import hnsw
@@ -99,6 +100,56 @@ def test_audit_widens_a_poor_graph():
     assert hnsw.audited_beam(g, x[order], x[order], None, 0.93, 0.99) >= 4 * hnsw.BEAM
 
 
+@pytest.mark.parametrize("d", [1, 2, 5, 64])
+def test_bound_rules_out_no_link(d):
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(300, d))
+    x[1::3] = x[::3] + 0.2 * rng.normal(size=x[::3].shape)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = x[:200], x[100:]
+    of_a, of_b = hnsw.open_pairs(hnsw.heads(a.astype("f4")), hnsw.heads(b.astype("f4")), 0.93, False)
+    linked = a @ b.T >= 0.93
+    assert linked.any() and (of_a >= linked.sum(1)).all() and (of_b >= linked.sum(0)).all()
+    if d == 64:
+        assert (of_a > 0).sum() < 1.2 * linked.any(1).sum()
+
+
+def frames_of(x, dealt, d):
+    """Index rows of vectors dealt into shards, with the sides they are compared on."""
+    frame = pd.DataFrame({"label": "1", "d": d, "shards": int(dealt.max()) + 1, "shard": dealt, "key": np.arange(len(x)), "cid": np.arange(len(x)), "copies": 1, "vector": list(x)})
+    return pd.concat([hnsw._index(f) for _, f in frame.groupby("shard")]).assign(one=0, two=0)
+
+
+@pytest.mark.parametrize("kind", ["float32", "float64"])
+def test_few_vectors_walk_and_all_links_are_found(monkeypatch, kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 32))
+    x[1::30] = x[::30] + 0.03 * rng.normal(size=x[::30].shape)  # some pairs
+    x[2000:2300] = x[2000] + 0.03 * rng.normal(size=(300, 32))  # and a group, all linked
+    x = x.astype(kind)
+    walked = []
+    monkeypatch.setattr(hnsw, "walk", lambda g, q, *rest, walk=hnsw.walk, **more: walked.append(len(q)) or walk(g, q, *rest, **more))
+    rows = frames_of(x, rng.integers(3, size=len(x)), 32)
+    found = hnsw._compare(rows, 0.93, 0.99)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    truth = u @ u.T >= 0.93
+    np.fill_diagonal(truth, False)
+    got = found.groupby("key")["links"].sum().reindex(range(len(x)), fill_value=0).to_numpy()
+    assert (got == truth.sum(1)).all()
+    assert sum(walked) < 100
+
+
+def test_many_open_vectors_walk(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 32))
+    x[1::2] = x[::2] + 0.03 * rng.normal(size=x[::2].shape)
+    walked = []
+    monkeypatch.setattr(hnsw, "walk", lambda g, q, *rest, walk=hnsw.walk, **more: walked.append(len(q)) or walk(g, q, *rest, **more))
+    found = hnsw._compare(frames_of(x, np.zeros(len(x), int), 32), 0.93, 0.99)
+    assert sum(walked) >= len(x)
+    assert found["links"].sum() >= 0.99 * len(x)
+
+
 def test_query(spark, sf):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert rows_of(QUERIES["op11_shard_graphs"](spark, sf)) == brute(rows)
